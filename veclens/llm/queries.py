@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, tokens
+from . import mixing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uses.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.count("pass").alias("uses"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
@@ -50,10 +54,24 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word,
+                  generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER o AS n, array_to_string(list(word) OVER o, ' ') AS gram
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT gram, min(doc_id) AS least FROM g WHERE n = 13 GROUP BY gram),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (gram), (SELECT unnest(range(13)) AS k) WHERE n = 13 AND least < doc_id),
+j AS (SELECT w.doc_id, count(*) AS n_words, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (c.i IS NULL), '') AS kept
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.i = c.i GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN j USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op10_quality": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL}
