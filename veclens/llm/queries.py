@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, substring, tokens
+from . import lm_score, mixing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uses.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.count("pass").alias("uses"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -70,6 +74,7 @@ FROM documents LEFT JOIN j USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_lm_score": op3_lm_score,
     "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
     "op10_quality": op10_quality,

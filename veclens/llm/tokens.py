@@ -72,7 +72,7 @@ class Lengths(dict):
 
 
 def frequent_pretokens(docs: DataFrame, tokenizer: str = TOKENIZER, warm_docs: int = WARM_DOCS, entries: int = WARM_ENTRIES) -> dict[str, int]:
-    """The first tier: at most `entries` pre-tokens, the most frequent of `warm_docs` texts, with their lengths in tokens."""
+    """The first tier: at most `entries` pre-tokens, the most frequent of about `warm_docs` texts, with their lengths in tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, special = _load(public_tokenizers.path(tokenizer))
@@ -85,7 +85,8 @@ def frequent_pretokens(docs: DataFrame, tokenizer: str = TOKENIZER, warm_docs: i
         lengths = [len(e.ids) for e in tok.encode_batch([p for p, _ in top], add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array(lengths, pa.int64())], ["piece", "n", "tokens"])
 
-    rows = docs.select("text").limit(warm_docs).mapInArrow(count, "piece string, n long, tokens long")
+    every = max(1, docs.count() // warm_docs)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(count, "piece string, n long, tokens long")
     top = rows.groupBy("piece").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "piece").limit(entries)
     return {r.piece: r.tokens for r in top.collect()}
 
