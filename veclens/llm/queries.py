@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, mixing, quality, simhash, substring, tokens
+from . import decontam, lm_score, mixing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_lm_score": op3_lm_score,
+    "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
     "op10_quality": op10_quality,

@@ -14,6 +14,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)  # the low i bytes of eight
 
 
@@ -40,6 +42,17 @@ class Words:
         return out
 
 
+def trimmed(w: Words) -> Words:
+    """The same words without ASCII punctuation at their ends; a word of punctuation alone keeps its first character."""
+    start, end = w.start.copy(), w.end.copy()
+    for move, edge in ((-1, end), (1, start)):
+        at = np.arange(len(edge))
+        while len(at):
+            at = at[_MARK[w.data[edge[at] - (move < 0)]] & (end[at] - start[at] > 1)]
+            edge[at] += move
+    return Words(w.data, start, end, w.first, w.last)
+
+
 def tokenise(column: pa.Array, lower: bool = False) -> Words:
     """Words of a string column; a null text has none. lower: A-Z as a-z."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
