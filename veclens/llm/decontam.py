@@ -27,7 +27,7 @@ PIECE = 16
 SAMPLE_DOCS, TERMS, RANK = 500, 32_768, 96
 POWER_ROUNDS = 2
 #: Least cosine of a candidate; least share of an item's words in common order; least share of its answer.
-COSINE, COMMON, ANSWER = 0.38, 0.6, 0.5
+COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
 ANSWER_WORDS = 4
 #: Benchmark text that is broadcast at a time; a larger benchmark is searched for in blocks.
 BLOCK_BYTES = 16 << 20
@@ -153,8 +153,9 @@ def fit(docs: DataFrame, items: DataFrame, sample_docs: int = SAMPLE_DOCS, terms
             product[p.strip * strip : (p.strip + 1) * strip] = np.frombuffer(p.sums).reshape(-1, rank)
         left, scale, _ = np.linalg.svd(product, full_matrices=False)
         basis = left.astype(np.float32)
-    # whitened: no direction outweighs another, however common its words
-    place = idf[:, None] * left / np.maximum(np.sqrt(scale), 1e-6 * np.sqrt(scale[0]) + 1e-12)[None, :]
+    # whitened, and each term as long as its idf: no direction and no term outweighs another for being well covered
+    place = left / np.maximum(np.sqrt(scale), 1e-6 * np.sqrt(scale[0]) + 1e-12)[None, :]
+    place *= (idf / np.maximum(np.linalg.norm(place, axis=1), 1e-12))[:, None]
     return keys, idf, place.astype(np.float32)
 
 
@@ -207,6 +208,7 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, place, vectors, item, item_ids, texts, answers = shared.value
+        longest = max(map(len, texts), default=0)
         index, place = Terms(keys), np.r_[place, np.zeros((1, place.shape[1]), np.float32)]
         for batch in batches:
             for part in row_slices(batch, SLICE):
@@ -217,23 +219,37 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
                 hashes = w.hashes
                 ids = index.find(hashes)
                 best: dict[tuple[int, int], tuple] = {}
+                # each word is looked up once: a passage is the sum of the steps that it spans
+                steps, step_last, step_text = _passages(w, STEP, STEP)
+                grid = steps[:, None] + np.arange(STEP)
+                grid = np.where(grid < step_last[:, None], ids[np.minimum(grid, len(ids) - 1)], -1)
+                begin = np.searchsorted(steps, first)
                 for k in range(0, len(first), 2048):  # passages whose cosines are held at a time
                     a, b = first[k : k + 2048], last[k : k + 2048]
-                    cuts = np.unique(np.r_[a, b])  # steps between passages' ends: each word is summed once
-                    sums = np.add.reduceat(place[ids[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0], axis=0)
-                    run = np.r_[np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)]
-                    v = (run[np.searchsorted(cuts, b)] - run[np.searchsorted(cuts, a)]).astype(np.float32)
+                    lo = begin[k]
+                    sums = place[grid[lo : begin[k : k + 2048][-1] + SIZE // STEP]].sum(axis=1)
+                    v = np.zeros((len(a), place.shape[1]), np.float32)
+                    for j in range(SIZE // STEP):
+                        at = begin[k : k + 2048] + j
+                        own = np.flatnonzero(at < len(steps))
+                        own = own[step_text[at[own]] == text[k + own]]
+                        v[own] += sums[at[own] - lo]
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                     near = v @ vectors.T
-                    for p, q in zip(*np.nonzero(near >= cosine), strict=True):
+                    seen, around = -1, set()
+                    for p, q in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
                         pair, close = (int(text[k + p]), int(item[q])), float(near[p, q])
-                        words = texts[pair[1]]
+                        words, begins, ends = texts[pair[1]], w.first[pair[0]], w.last[pair[0]]
+                        if p != seen:  # as far as the longest item may reach
+                            seen, around = p, set(hashes[max(begins, a[p] - longest) : min(ends, b[p] + longest)].tolist())
+                        if len(answers[pair[1]] & around) < answer * len(answers[pair[1]]):
+                            continue
                         reach = max(0, len(words) - STEP)
-                        lo, hi = max(w.first[pair[0]], a[p] - reach), min(w.last[pair[0]], b[p] + reach)
+                        lo, hi = max(begins, a[p] - reach), min(ends, b[p] + reach)
                         there = hashes[lo:hi].tolist()
                         share, known = common_words(words, there) / len(words), len(answers[pair[1]] & set(there)) / len(answers[pair[1]])
                         if share >= common and known >= answer and (pair not in best or (share, close) > (best[pair][3], best[pair][2])):
-                            best[pair] = (int(lo - w.first[pair[0]]), int(hi - lo), close, share, known)
+                            best[pair] = (int(lo - begins), int(hi - lo), close, share, known)
                 if best:
                     rows = sorted(best.items())
                     columns = [part.column("doc_id").take(pa.array([d for (d, _), _ in rows])), pa.array([item_ids[i] for (_, i), _ in rows], pa.int64())]

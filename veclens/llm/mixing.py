@@ -22,6 +22,7 @@ SEED = 17
 BLOCK_WORDS, SHARD_BLOCKS = 16_384, 64
 #: Documents of a source that are laid out together, about.
 RUN_DOCS = 512
+SALTS = 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -119,7 +120,9 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
 
     # the line of each source: runs of a hashed order, then places within a run
     at = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("key"))
-    lined = sized.join(goals.select("key", "source_size", "target", "goal", "runs"), "key").withColumn("at", at)
+    # a hot source is joined in SALTS parts
+    salted = goals.select("key", "source_size", "target", "goal", "runs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lined = sized.withColumn("at", at).withColumn("salt", F.pmod("at", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
     lined = lined.withColumn("run", F.least(F.floor((F.col("at") / float(1 << 64) + 0.5) * F.col("runs")), F.col("runs") - 1))
     runs = lined.groupBy("key", "run").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
