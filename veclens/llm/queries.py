@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, mixing, quality, simhash, substring, tokens
-from .common import table
+from . import decontam, langid, lm_score, mixing, quality, simhash, substring, tokens, toxicity
+from .common import held_out, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out(4, 2))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs.where(~held_out(5, 0)))).withColumn("held_out", held_out(5, 0))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "failed_bits", "base_failed", "kept")
 
@@ -82,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL}
