@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm_score, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontam, langid, lm_score, mixing, quality, secrets, simhash, substring, tokens, toxicity
 from .common import held_out, table
 
 
@@ -46,6 +46,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs.where(~held_out(5, 0)))).withColumn("held_out", held_out(5, 0))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents")).where("is_secret")
+    return found.select("doc_id", "place", F.char_length("run").alias("n_chars"), F.sha2("run", 256).alias("secret_sha256"), "probability")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "failed_bits", "base_failed", "kept")
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL}
