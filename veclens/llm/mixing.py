@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -113,7 +113,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
     left, so that a source's words add up to its target, rounded. A null text has size 0; an empty table gives no rows; a null source is
     a source of its own; rows that repeat a doc_id and source are one document; equal seeds give equal mixes.
     """
-    sized = sizes(docs).withColumn("key", _key())
+    sized = staged(sizes(docs), "sizes").withColumn("key", _key())
     goals = targets(sized.drop("key"), weights, cap).withColumn("goal", F.round("target").cast("long"))
     goals = goals.withColumns({"runs": F.ceil(F.col("docs") / RUN_DOCS).cast("long"), "quota": F.ceil(F.col("goal") / block_words).cast("long")})
     shards = max(1, math.ceil((goals.agg(F.sum("quota")).first()[0] or 0) / shard_blocks))
@@ -150,3 +150,14 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
     local = Window.partitionBy("shard", F.when(F.col("shard").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4096)))).orderBy(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("key"), F.col("pass")), "doc_id", "pass")
     position = F.when(F.col("shard").isNotNull(), F.row_number().over(local) - 1)
     return out.select("doc_id", "source", "size", "source_size", "target", "pass", F.coalesce("words", F.lit(0)).cast("long").alias("words"), "shard", position.alias("position"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each use of a document as a row of docs, with mix_pass, mix_words, mix_shard and mix_position beside its columns.
+
+    mix_words tells how many of a text's words, from its first, that use takes; only a source's last use may be cut.
+    """
+    uses = draws(docs, **options).where("shard is not null")
+    uses = uses.select(F.col("doc_id").alias("use_id"), F.col("source").alias("use_source"), F.col("pass").alias("mix_pass"), F.col("words").alias("mix_words"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
+    rows = docs.withColumn("use_row", F.col("doc_id").cast("long"))
+    return rows.join(uses, F.col("use_row").eqNullSafe(F.col("use_id")) & F.col("source").eqNullSafe(F.col("use_source"))).drop("use_id", "use_source", "use_row")

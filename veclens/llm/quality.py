@@ -99,3 +99,8 @@ def ablation(book: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFra
 def judge(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """The ledger with base_failed and kept under `policy`."""
     return ledger(docs).withColumns({"base_failed": rejected(BASE), "kept": ~rejected(BASE) & ~rejected(policy)})
+
+
+def passing(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
+    """The rows of docs that `policy` keeps, with their own columns; no row is shuffled."""
+    return judge(docs, policy).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
