@@ -261,5 +261,5 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null doc_id stay unless a row without an id holds one."""
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")

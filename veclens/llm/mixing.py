@@ -155,9 +155,11 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each use of a document as a row of docs, with mix_pass, mix_words, mix_shard and mix_position beside its columns.
 
-    mix_words tells how many of a text's words, from its first, that use takes; only a source's last use may be cut.
+    mix_words tells how many of a text's words, from its first, that use takes; only a source's last use may be cut. Columns of docs by
+    those names give way.
     """
     uses = draws(docs, **options).where("shard is not null")
-    uses = uses.select(F.col("doc_id").alias("use_id"), F.col("source").alias("use_source"), F.col("pass").alias("mix_pass"), F.col("words").alias("mix_words"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
-    rows = docs.withColumn("use_row", F.col("doc_id").cast("long"))
-    return rows.join(uses, F.col("use_row").eqNullSafe(F.col("use_id")) & F.col("source").eqNullSafe(F.col("use_source"))).drop("use_id", "use_source", "use_row")
+    uses = uses.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *(F.col(c).alias(f"mix_{c}") for c in ("pass", "words", "shard", "position")))
+    rows = docs.drop(*(c for c in uses.columns if c in docs.columns))
+    joined = rows.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    return joined.drop("__id", "__source")

@@ -189,8 +189,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: i
     Of two texts whose shingles have a Jaccard similarity of 0.8, cosine 0.89, about 15 bits in a hundred differ; 102 of 640 stand for
     that. Rows with a null doc_id stay; rows that share one doc_id are one document.
     """
-    gone = near_duplicates(docs, shingle, radius, words64, quick=quick).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, shingle, radius, words64, quick=quick).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def hexadecimal(column: str = "fp_0") -> Column:
