@@ -37,7 +37,7 @@ def energy_score(spark, sf):
     return logits(spark, sf).select("q_id", _r(vectors.one_minus_top_softmax("x"), "msp"), _r(vectors.energy("x"), "energy"))
 
 
-@query(f"{_LOGITS}, pr AS (SELECT q_id, g_id AS label, exp(sim / 0.07::DOUBLE - top) / s AS p FROM r JOIN t USING (q_id)) SELECT q_id, label, round(p, 6) AS p FROM pr")
+@query(f"{_LOGITS}, pr AS (SELECT q_id, g_id AS label, exp(sim / 0.07::DOUBLE - top) / s AS p FROM r JOIN t USING (q_id)) SELECT q_id, label::BIGINT AS label, round(p, 6) AS p FROM pr")
 def softmax_scores(spark, sf):
     at = logits(spark, sf).select("q_id", "x", vectors.log_sum_exp("x").alias("all"))
     return at.select("q_id", "all", F.posexplode("x").alias("label", "z")).select("q_id", F.col("label").cast("long").alias("label"), _r(F.exp(F.col("z") - F.col("all")), "p"))
