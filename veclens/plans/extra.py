@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import names
+from ..functions import names, vectors
 from ..operators import metrics, similarity, splits, statistics
 from ..sources import tables
 from .more import _GRID, _ood, grid
 from .protocols import _BYSOURCE, _LOGITS, _SPACES, _TWO, label_table, logits, spaces, unchecked
-from .queries import _ACC, _FULL, WITH, E, _r, _roles, _sims, centroids, query
+from .queries import _ACC, _FULL, WITH, E, _placed, _r, _roles, _sims, centroids, query
 
 # ---- names
 
@@ -303,3 +303,80 @@ def class_geometry(spark, sf):
     d = sims.groupBy("q_label").agg(F.avg(F.when(same, 1 - F.col("sim"))).alias("inside"), F.avg(F.when(~same, 1 - F.col("sim"))).alias("outside"))
     top = sims.where("rank = 1").withColumn("pred", F.col("g_label"))
     return d.join(metrics.per_label(top), "q_label").select("q_label", _r("inside"), _r("outside"), _r(F.col("outside") - F.col("inside"), "margin"), _r("accuracy"))
+
+
+# ---- further compositions
+
+
+@query(f"{_LOGITS} SELECT q_id, round(1 - 1 / s, 6) AS msp FROM t")
+def msp_score(spark, sf):
+    return logits(spark, sf).select("q_id", _r(vectors.one_minus_top_softmax("x"), "msp"))
+
+
+@query(f"SELECT item_id, label, place <= greatest(1, floor(0.65::DOUBLE * n)) AS in_train FROM ({_placed('label, source')})")
+def split_train_65(spark, sf):
+    items = tables.read_embeddings(spark, sf).select("item_id", "label", F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source"))
+    return splits.placed(items, ["label", "source"]).select("item_id", "label", (F.col("place") <= splits.part(0.65, 1)).alias("in_train"))
+
+
+@query(f"""{_SPACES}, d AS (SELECT a.space, a.label AS q_label, a.label = b.label AS same, 1 - list_dot_product(a.v, b.v) / (a.l * b.l) AS d FROM n a JOIN n b ON a.space = b.space AND a.item_id % 2 = 1 AND b.item_id % 2 = 0 AND a.label <= 7 AND b.label <= 7 WHERE a.space = 'Full'),
+m AS (SELECT q_label, avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM d GROUP BY q_label), r AS (SELECT q.space, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
+FROM n q JOIN n g ON q.space = g.space AND q.item_id % 2 = 1 AND g.item_id % 2 = 0 AND q.label <= 7 AND g.label <= 7), a AS (SELECT space, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL),
+w AS (SELECT q_label, max(x) FILTER (space = 'Full') - max(x) FILTER (space = 'A') AS gain FROM a GROUP BY q_label) SELECT q_label, round(margin, 6) AS margin, round(gain, 6) AS gain FROM m LEFT JOIN w USING (q_label)""")
+def geometry_consequence(spark, sf):
+    """How far apart a label's rows lie, beside what the whole space gains it over half of it."""
+    gains = label_table(spark, sf).select("q_label", (F.col("whole") - F.col("a")).alias("gain"))
+    _, g, q, _ = _roles(spark, sf)
+    same = F.col("q_label") == F.col("g_label")
+    d = similarity.matches(q, g, None).groupBy("q_label").agg((F.avg(F.when(~same, 1 - F.col("sim"))) - F.avg(F.when(same, 1 - F.col("sim")))).alias("margin"))
+    return d.join(gains, "q_label", "left").select("q_label", _r("margin"), _r("gain"))
+
+
+@unchecked
+def transfer_wilcoxon(spark, sf):
+    """Accuracy by label between facets, one facet's galleries against the next one's."""
+    items = tables.read_embeddings(spark, sf)
+    sims = similarity.matches(items, items, None).where("q_id % 3 <> g_id % 3").withColumn("facet", F.col("g_id") % 3)
+    place = F.row_number().over(Window.partitionBy("q_id", "facet").orderBy(F.desc("sim"), "g_id"))
+    best = metrics.per_label(sims.withColumn("k", place).where("k = 1").withColumn("pred", F.col("g_label")), ["facet"])
+    wide = best.groupBy("q_label").pivot("facet", [0, 1, 2]).agg(F.max("accuracy")).toDF("q_label", "a", "b", "c")
+    pairs = wide.select(F.lit("0-1").alias("pair"), F.col("a").alias("x"), F.col("b").alias("y")).unionByName(wide.select(F.lit("1-2").alias("pair"), F.col("b").alias("x"), F.col("c").alias("y"))).dropna()
+    return statistics.wilcoxon(pairs, ["pair"], "x", "y").select("pair", "n", _r("statistic"), _r("p_value"))
+
+
+@unchecked
+def claim_table(spark, sf):
+    """Each claim with both means, their difference, its test, the step-down p and an interval of the first mean."""
+    wide = label_table(spark, sf)
+    long = wide.unpivot(["q_label", "whole"], ["a", "b"], "space", "other")
+    means = long.groupBy("space").agg(F.avg("whole").alias("mean"), F.avg("other").alias("other_mean"))
+    tests = metrics.holm(statistics.wilcoxon(long, ["space"], "whole", "other").withColumn("family", F.lit("spaces")), ["family"], order="space")
+    ci = statistics.mean_interval(wide.select(F.lit("all").alias("g"), "q_label", "whole"), ["g"], "whole", ["q_label"], 200)
+    rows = means.join(tests, "space").crossJoin(F.broadcast(ci.select("ci_lo", "ci_hi")))  # one row
+    return rows.select("space", _r("mean"), _r("other_mean"), _r(F.col("mean") - F.col("other_mean"), "delta"), _r("p_value"), _r("p_holm"), _r("ci_lo"), _r("ci_hi"))
+
+
+@unchecked
+def incremental_baselines(spark, sf):
+    """Old and new accuracy of the exemplar means and of the rehearsal head, a row each."""
+    from .more import exemplar_mean_classifier
+
+    return exemplar_mean_classifier(spark, sf).withColumn("variant", F.lit("exemplar mean")).unionByName(rehearsal_head(spark, sf).withColumn("variant", F.lit("rehearsal head")))
+
+
+@query(f"""{_SPACE_BOTH}, l AS (SELECT space, metric, value FROM (SELECT space, 'r1' AS metric, r1 AS value FROM ra UNION ALL SELECT space, 'proto', proto FROM pa)) SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) AS n FROM l GROUP BY metric""")
+def seed_sensitivity(spark, sf):
+    """Mean and spread of each measure over several heads: the spaces stand for them."""
+    rows = _space_rows(spark, sf, "r1").join(_space_rows(spark, sf, "proto"), "space").unpivot("space", ["r1", "proto"], "metric", "value")
+    return rows.groupBy("metric").agg(_r(F.avg("value"), "mean"), _r(F.stddev_samp("value"), "std"), _r(F.min("value"), "least"), _r(F.max("value"), "most"), F.count("*").alias("n"))
+
+
+@query(f"""{WITH}, a AS ({_ACC}), y AS (SELECT 'macro' AS metric, avg(accuracy) AS value FROM a UNION ALL SELECT 'micro', avg((q_label = g_label)::INT) FROM r WHERE rank = 1 UNION ALL SELECT 'mean_similarity', avg(sim) FROM r WHERE rank = 1) SELECT metric, round(value, 6) AS value FROM y""")
+def run_report(spark, sf):
+    """The key measures of a run, a row each, from one table of neighbours."""
+    _, g, q, _ = _roles(spark, sf)
+    top = similarity.nearest(q, g)
+    macro = metrics.macro(top).select(F.lit("macro").alias("metric"), F.col("macro").alias("value"))
+    micro = top.agg(F.avg(metrics.hit("correct")).alias("value")).select(F.lit("micro").alias("metric"), "value")
+    sim = top.agg(F.avg("sim").alias("value")).select(F.lit("mean_similarity").alias("metric"), "value")
+    return macro.unionByName(micro).unionByName(sim).select("metric", _r("value"))
