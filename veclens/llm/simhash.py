@@ -183,13 +183,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, words64:
     return marked.join(node, fps, "left").select("doc_id", *fps, F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: int = 102, quick: tuple[int, int] = (2, 30)) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: int = 102, quick: tuple[int, int] = (2, 30), block: int = 4 * BLOCK) -> DataFrame:
     """docs without near copies: of each component the row of the smallest doc_id stays, with all its columns.
 
     Of two texts whose shingles have a Jaccard similarity of 0.8, cosine 0.89, about 15 bits in a hundred differ; 102 of 640 stand for
-    that. Rows with a null doc_id stay; rows that share one doc_id are one document.
+    that. Rows with a null doc_id stay; rows that share one doc_id are one document. Nearly all tile pairs are compared at that radius, so
+    larger blocks send fewer copies of each.
     """
-    gone = near_duplicates(docs, shingle, radius, words64, quick=quick).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, shingle, radius, words64, block, quick).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
