@@ -24,7 +24,7 @@ SIZE, STEP = 32, 16
 #: Words of a benchmark item's piece.
 PIECE = 16
 #: Documents whose passages the index is fitted on, about; terms and dimensions of it.
-SAMPLE_DOCS, TERMS, RANK = 500, 32_768, 96
+SAMPLE_DOCS, TERMS, RANK = 500, 8192, 96
 POWER_ROUNDS = 2
 #: Least cosine of a candidate; least share of an item's words in common order; least share of its answer.
 COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, items: DataFrame, sample_docs: int = SAMPLE_DOCS, terms
         product = np.zeros(basis.shape)
         for p in parts:
             product[p.strip * strip : (p.strip + 1) * strip] = np.frombuffer(p.sums).reshape(-1, rank)
+        shared.destroy()
         left, scale, _ = np.linalg.svd(product, full_matrices=False)
         basis = left.astype(np.float32)
     # whitened, and each term as long as its idf: no direction and no term outweighs another for being well covered
