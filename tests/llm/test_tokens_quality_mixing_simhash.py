@@ -148,6 +148,53 @@ def test_simhash_against_brute_force(spark, radius):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def _reach(sets):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("most", [simhash.GROUP_SHINGLES, 700])
+def test_near_copies_are_those_of_their_shingles(spark, most):
+    import random
+
+    rng = random.Random(11)
+    rows, line = list(ROWS), "one line that comes again and again "
+    for k in range(100):  # changes of one place each touch five shingles: similarities from 0.7 to 0.9
+        base = [f"w{k}x{j}" for j in range(196 if k % 2 else 60)]
+        rows.append((1000 + 10 * k, " ".join(base), "en", "a", 0, "", "", "", ""))
+        for copy in range(1, 4):
+            words = list(base)
+            for at in rng.sample(range(3, len(words) - 3), rng.randrange(2, 8) if k % 2 else rng.randrange(1, 3)):
+                words[at] = f"y{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * k + copy, " ".join(words), "en", "a", 0, "", "", "", ""))
+        words = [line * 200, *(f"z{k}x{j}" for j in range(60))]  # one line often, all else different
+        rows.append((5000 + k, " ".join(words), "en", "a", 0, "", "", "", ""))
+    for k in range(20):  # four shingles of five
+        rows += [(7000 + 2 * k, " ".join(f"v{k}x{j}" for j in range(8)), "en", "a", 0, "", "", "", ""), (7001 + 2 * k, " ".join(f"v{k}x{j}" for j in range(9)), "en", "a", 0, "", "", "", "")]
+    want = _reach({r[0]: _shingles(r[1]) for r in rows if r[0] is not None and r[0] not in (3, 4, 5)}) | {3: 3, 4: 3, 5: 3}
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.component_id for r in simhash.copies(docs, most=most).collect()} == want
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i in want if want[i] == i] + [None])
+    assert simhash.deduplicated(empty(spark)).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

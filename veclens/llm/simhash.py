@@ -4,6 +4,9 @@ Fingerprints are grouped into tiles by the population counts of their halves. Tw
 the radius in those counts, so most tile pairs need no comparison; the others are compared whole, by numpy exclusive-or and bit counts.
 A tile pair returns a spanning forest of its links rather than all of them: components stay the same, and a group of thousands of near
 copies doesn't return the square of its size.
+
+Where a similarity of shingles is asked for, a radius well beyond it only gathers candidates; each group of them is then compared by the
+shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,10 @@ from .recompression import mix
 BLOCK = 4096
 #: Rows of one side that are compared at a time.
 STRIP = 256
+#: Shingles of a group of candidates that are compared at a time, about.
+GROUP_SHINGLES = 1 << 18
+#: The least Jaccard similarity of near copies, as a fraction.
+ALIKE = (4, 5)
 SEED = 42
 _STEP = 0x9E3779B97F4A7C15
 
@@ -46,28 +54,35 @@ def _bits_over_half(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFrame:
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, A-Z lower-cased; one of all its words where they are fewer than a shingle."""
+    words = text.lower().split()  # bytes: only ASCII letters and ASCII white space count
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1, sets: bool = False) -> DataFrame:
     """doc_id and fp_0..: SimHashes of the word shingles of every whole text, 64 bits a column.
 
     A-Z are lower-cased; a text of fewer words than a shingle has one shingle of all its words; a null text or one without words has
     fingerprint zero. Repeated rows and null ids are kept as they are. The first 64 bits are those of XXH64, further ones of its scrambled
-    values.
+    values. sets: each shingle of a text counts once, and print, a hash of the set, and n, its size, come with it.
     """
     names = [f"fp_{i}" for i in range(words64)]
+    more = ["print", "n"] if sets else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = partial(xxhash.xxh64_intdigest, seed=SEED)
         for batch, texts in in_slices(batches):
-            shingles, ends = [], []
-            for text in texts:
-                words = text.lower().split()  # bytes: only ASCII letters and ASCII white space count
-                shingles += map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
-                ends.append(len(shingles))
-            first = np.fromiter(map(digest, shingles), np.uint64, len(shingles))
-            sums = [_bits_over_half(mix(first + np.uint64(i * _STEP % (1 << 64))) if i else first, np.array(ends)) for i in range(words64)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in sums)], ["doc_id", *names])
+            hashes = [_shingle_hashes(text, shingle) for text in texts]
+            if sets:
+                hashes = [np.unique(x) for x in hashes]
+            size = np.array(list(map(len, hashes)), np.int64)
+            first, ends = np.concatenate(hashes), np.cumsum(size)
+            sums = [_bits_over_half(mix(first + np.uint64(i * _STEP % (1 << 64))) if i else first, ends) for i in range(words64)]
+            known = [np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=SEED) for x in hashes], np.uint64), size] if sets else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in [*sums, *known])], ["doc_id", *names, *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in [*names, *more])]))
 
 
 def _halves(words64: int) -> list[Column]:
@@ -183,14 +198,89 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, words64:
     return marked.join(node, fps, "left").select("doc_id", *fps, F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: int = 102, quick: tuple[int, int] = (2, 30), block: int = 4 * BLOCK) -> DataFrame:
+def _alike(values: np.ndarray, sizes: np.ndarray, ids: np.ndarray, alike: tuple[int, int] = ALIKE) -> list[tuple[int, int]]:
+    """Links that connect just what pairs of sets of a Jaccard similarity of `alike` or more connect. values: the sets, one after another."""
+    codes = np.unique(values, return_inverse=True)[1]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+    label = np.arange(len(sizes))
+    for i in range(len(sizes) - 1):
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        mine = codes[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[codes[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        mark[mine] = False
+        near = np.flatnonzero(alike[1] * both >= alike[0] * (sizes[i] + sizes[i + 1 :] - both)) + i + 1
+        if len(near):
+            met = np.unique(label[np.r_[i, near]])
+            label[np.isin(label, met)] = met[0]
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, label, ids)
+    return sorted({(int(x), int(y)) for x, y in zip(ids, root[label], strict=True) if x != y})
+
+
+def alike_links(docs: DataFrame, groups: DataFrame, shingle: int, most: int = GROUP_SHINGLES) -> DataFrame:
+    """(a, b) of doc_ids: links that connect what pairs of alike shingle sets within a group connect. groups: node (a doc_id), n, group.
+
+    All pairs of a group are compared, group by group; a large group in parts, each pair of parts by itself.
+    """
+    sizes = groups.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
+    members = groups.join(sizes, "group").select(F.col("node").alias("doc_id"), "group", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "group", "parts", "part", "text")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in in_slices(batches):
+            sets = [np.unique(_shingle_hashes(text, shingle)) for text in rows]
+            own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, sets)))].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], own], ["node", "group", "parts", "part", "items"])
+            yield out.filter(pa.array([len(x) > 0 for x in sets]))
+
+    sets = texts.mapInArrow(collect, "node long, group long, parts int, part int, items array<long>")
+    blocks = staged(sets.groupBy("group", "parts", "part").agg(F.collect_list(F.struct("node", "items")).alias("rows")), "sets")
+    alone = blocks.where("parts = 1").select(F.col("rows").alias("x"), F.slice("rows", 1, 0).alias("y"))
+    many = blocks.where("parts > 1")
+    left = many.select("group", F.col("rows").alias("x"), F.explode(F.expr("sequence(part, parts - 1)")).alias("part"), F.col("part").alias("own"))
+    both = left.join(many.select("group", "part", F.col("rows").alias("y")), ["group", "part"])
+    both = both.select("x", F.when(F.col("own") == F.col("part"), F.slice("y", 1, 0)).otherwise(F.col("y")).alias("y"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = pa.concat_arrays([batch.column(k).slice(i, 1).flatten() for k in (0, 1)])
+                fields = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+                size = pc.list_value_length(fields["items"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = _alike(fields["items"].flatten().to_numpy(zero_copy_only=False), size, fields["node"].to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return alone.unionByName(both).mapInArrow(compare, "a long, b long")
+
+
+def copies(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: int = 170, quick: tuple[int, int] = (2, 48), block: int = 4 * BLOCK, most: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, component_id of every document with an id: the smallest doc_id that pairs of shingle sets of Jaccard similarity 0.8 or more reach.
+
+    Fingerprints only gather candidates: of two sets of that similarity about 15 bits in a hundred differ, at most 19 (four shingles of
+    five), so 170 of 640, and 48 of the first 128, are five standard deviations and more beyond. What they connect is compared whole,
+    set by set. Equal sets are one node; texts without words are equal. Rows that share one doc_id are one document.
+    """
+    fps = [f"fp_{i}" for i in range(words64)]
+    marked = staged(fingerprints(docs, shingle, words64, sets=True).where("doc_id is not null"), "fingerprints")
+    uniq = staged(marked.groupBy("print", "n", *fps).agg(F.min("doc_id").alias("node")), "nodes")
+    reach = components(links(uniq, radius, words64, block, quick=quick)).withColumnRenamed("component", "group")
+    groups = staged(uniq.groupBy("node").agg(F.sum("n").alias("n")).join(reach, "node"), "groups")
+    equal = marked.join(uniq.select("print", "n", *fps, "node"), ["print", "n", *fps]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    reach = components(alike_links(docs, groups, shingle, most).unionByName(equal.where("a <> b")))
+    return marked.select("doc_id").distinct().join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without near copies: of each component the row of the smallest doc_id stays, with all its columns.
 
-    Of two texts whose shingles have a Jaccard similarity of 0.8, cosine 0.89, about 15 bits in a hundred differ; 102 of 640 stand for
-    that. Rows with a null doc_id stay; rows that share one doc_id are one document. Nearly all tile pairs are compared at that radius, so
-    larger blocks send fewer copies of each.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Rows with a null doc_id stay; rows that share
+    one doc_id are one document.
     """
-    gone = near_duplicates(docs, shingle, radius, words64, block, quick).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = copies(docs, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
