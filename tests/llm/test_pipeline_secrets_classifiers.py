@@ -39,6 +39,48 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark)).where("is_secret").count() == 0
 
 
+def test_every_secret_of_a_word(spark):
+    rng = random.Random(18)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    both, digit = string.ascii_letters + string.digits, string.digits
+    rows, planted = [], {}
+    for i in range(1000, 1240):
+        words, kind = prose(rng), i % 8
+        a, b = pick("0123456789abcdef", 40), "AKIA" + pick(string.ascii_uppercase + digit, 16)
+        jwt = ".".join(["eyJ" + pick(both, 30), "eyJ" + pick(both, 60), pick(both, 43)])
+        word, own = [
+            (f'{{"path":"/srv/apps/reports/2024","key":"{b}"}}', [b]),
+            (f"?token={a}&page=2&secret={b}", [a, b]),
+            (f"API_KEY={a}", [a]),
+            (f"AWS_SECRET_ACCESS_KEY={a}", [a]),
+            (jwt, [jwt]),
+            (f'{{"api_secret_access_key":"{a}","commit":"{pick("0123456789abcdef", 40)}"}}', [a]),
+            ("rivergardenbridgesummer " + pick(digit, 16), []),
+            ("commit " + pick("0123456789abcdef", 40), []),
+        ][kind]
+        words.insert(10, word)
+        planted[i] = set(own)
+        rows.append((i, " ".join(words), "en", "a", 0, "", "", "", ""))
+    docs = documents(spark, rows)
+    seen = {}
+    for r in secrets.scan(docs).where("is_secret").collect():
+        assert r.place == 10
+        seen.setdefault(r.doc_id, set()).add(r.run)
+    assert seen == {i: own for i, own in planted.items() if own}
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, text, *_ in rows:
+        for key in planted[i]:
+            text = text.replace(key, secrets.MASK)
+        assert out[i] == text
+
+
+def test_runs():
+    found = lambda word: re.findall(secrets.RUN, word)
+    assert found("a" * 15) == [] and found("a" * 14 + "==") == ["a" * 14 + "=="] and found("a" * 16 + "=b") == ["a" * 16]
+    assert found("x=" + "a" * 20 + "==,y=" + "b" * 17) == ["a" * 20 + "==", "b" * 17]
+    assert found("a" * 24 + ".abcdef." + "b" * 27 + ".com") == ["a" * 24 + ".abcdef." + "b" * 27]
+
+
 def test_language(spark):
     rng = random.Random(3)
     tongues = {"aa": ["thal", "merin", "osk", "dunver", "pelly"], "bb": ["quiro", "fenta", "zubal", "hik", "wosmer"]}
