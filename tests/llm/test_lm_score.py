@@ -66,3 +66,40 @@ def test_scores(spark):
     one = spark.createDataFrame([(1, "Hello world"), (2, "hello  WORLD")], "doc_id long, text string")
     a, b = lm_score.score_texts(one).collect()
     assert a.score == pytest.approx(b.score)
+
+
+def _cuts(word, pieces):
+    """Each way to cut a word, as numbers of pieces; bytes follow the pieces."""
+    if not word:
+        yield []
+        return
+    for i in [len(pieces) + word[0], *(i for i, p in enumerate(pieces) if word.startswith(p))]:
+        for rest in _cuts(word[1 if i >= len(pieces) else len(pieces[i]) :], pieces):
+            yield [i, *rest]
+
+
+def test_length_does_not_change_what_is_learned(monkeypatch):
+    rng = np.random.default_rng(4)
+    pieces = [b" ", b" a", b"a", b"ab", b"b", b"abba", b"ba", "同".encode(), "同じ".encode()]
+    prob = rng.random(len(pieces) + 256) + 0.01
+    lattice = lm_score.Lattice(pieces, prob / prob.sum())
+    few = [b"abba", b"babab", "同じa".encode()]
+    many = [rng.choice(np.frombuffer(b"abx", np.uint8), n).tobytes() for n in (49, 50, 77, 128, 200)] + [("同じ" * 20).encode()]
+    for words, limits in ((few, (0, 48)), (many, (48, 1000))):
+        data = np.frombuffer(b"".join(words), np.uint8)
+        end = np.cumsum(list(map(len, words)))
+        start, counts = end - list(map(len, words)), np.arange(1, len(words) + 1)
+        found = []
+        for limit in limits:
+            monkeypatch.setattr(lm_score, "LONG", limit)
+            found.append((lattice.expected(data, start, end, counts), lattice.scores(data, start, end)))
+        assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1])
+        size = np.array([*map(len, pieces), *([1] * 256)])
+        assert np.isclose(found[0][0] @ size, sum(n * (len(w) + 1) for n, w in zip(counts, words)))
+        if words is few:
+            want = np.zeros(len(prob))
+            for n, word in zip(counts, words):
+                ways = [(cut, np.exp(lattice.log[cut].sum())) for cut in _cuts(b" " + word, pieces)]
+                for cut, p in ways:
+                    np.add.at(want, cut, n * p / sum(p for _, p in ways))
+            assert np.allclose(found[0][0], want)

@@ -10,6 +10,7 @@ joined with their counts, and none of them is frequent, so no key is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,7 @@ class Lattice:
         self.pieces, self.index = pieces, {p: i for i, p in enumerate(pieces)}
         self.bytes0, self.size = len(pieces), len(pieces) + 256
         self.longest = max(map(len, pieces))
+        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.tables = {}
         lengths = np.array(list(map(len, pieces)))
         for size in range(1, self.longest + 1):
@@ -78,6 +80,7 @@ class Lattice:
     def weigh(self, prob: np.ndarray) -> None:
         with np.errstate(divide="ignore"):
             self.log = np.r_[np.log(prob), -np.inf]  # at -1: no piece
+        self.logs = self.log.tolist()
 
     def _edges(self, chars: np.ndarray) -> list[np.ndarray]:
         """For each length from 1, which piece starts at each place of each word, -1 for none. chars: places by words."""
@@ -104,18 +107,38 @@ class Lattice:
             alpha[t] = self._into(chars, edges, t, alpha)
         return alpha
 
+    def _from(self, word: bytes, t: int) -> Iterator[tuple[int, int]]:
+        """End and number of each piece that starts at place t of a word."""
+        yield t + 1, self.bytes0 + word[t]
+        for end in range(t + 1, min(len(word), t + self.longest) + 1):
+            part = word[t:end]
+            if part not in self.prefixes:
+                return
+            i = self.index.get(part)
+            if i is not None:
+                yield end, i
+
+    def _forward_one(self, word: bytes) -> list[float]:
+        """The forward pass of a long word by itself: the log probability of all ways to each of its places."""
+        alpha, ways = [0.0], {}
+        for t in range(len(word)):
+            for end, i in self._from(word, t):
+                ways.setdefault(end, []).append(alpha[t] + self.logs[i])
+            alpha.append(_log_sum_one(ways.pop(t + 1)))
+        return alpha
+
     def _one(self, word: bytes) -> float:
         """A long word by itself."""
-        alpha = [0.0]
-        for t in range(1, len(word) + 1):
-            ways = [alpha[t - 1] + self.log[self.bytes0 + word[t - 1]]]
-            for k in range(1, min(t, self.longest) + 1):
-                i = self.index.get(word[t - k : t])
-                if i is not None:
-                    ways.append(alpha[t - k] + self.log[i])
-            top = max(ways)
-            alpha.append(top + float(np.log(sum(np.exp(np.array(ways) - top)))))
-        return alpha[-1]
+        return self._forward_one(word)[-1]
+
+    def _expect_one(self, word: bytes, times: float, out: np.ndarray) -> None:
+        """Adds to out how often each piece is expected in a long word, which counts `times` times."""
+        alpha, beta = self._forward_one(word), [0.0] * (len(word) + 1)
+        for t in range(len(word) - 1, -1, -1):
+            ways = [(i, beta[end] + self.logs[i]) for end, i in self._from(word, t)]
+            beta[t] = _log_sum_one([way for _, way in ways])
+            for i, way in ways:
+                out[i] += times * math.exp(alpha[t] - alpha[-1] + way)
 
     def _groups(self, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
         size = end - start
@@ -141,13 +164,13 @@ class Lattice:
         return out
 
     def expected(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in the words, each counted `counts` times; very long words only by their bytes."""
+        """How often each piece is expected in the words, each counted `counts` times."""
         out = np.zeros(self.size)
         for group in self._groups(start, end) if len(start) else ():
             size, n = int(end[group[0]] - start[group[0]]), counts[group].astype(float)
             if size > LONG:
                 for i, times in zip(group, n, strict=True):
-                    out[self.bytes0 :] += times * np.bincount(data[start[i] : end[i]], minlength=256)
+                    self._expect_one(b" " + data[start[i] : end[i]].tobytes(), times, out)
                 continue
             chars = self._chars(data, start[group], size)
             edges = self._edges(chars)
@@ -172,6 +195,11 @@ def _log_sum(ways: list[np.ndarray]) -> np.ndarray:
     return top + np.log(np.exp(ways - top).sum(axis=0))
 
 
+def _log_sum_one(ways: list[float]) -> float:
+    top = max(ways)
+    return top + math.log(sum(math.exp(way - top) for way in ways))
+
+
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """data, start, end of a binary column without nulls."""
     column = column.cast(pa.large_binary())
