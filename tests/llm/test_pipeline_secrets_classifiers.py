@@ -3,7 +3,7 @@ import re
 import string
 
 import corpus_pipeline
-from tests.llm.cases import ROWS, documents, empty
+from tests.llm.cases import ROWS, SCHEMA, documents, empty
 from veclens.llm import langid, secrets, toxicity
 
 VOCABULARY = ["river", "stone", "window", "letter", "garden", "market", "summer", "bridge", "number", "silver", "carpet", "doctor"] + [f"wort{c}{d}" for c in "abcdefgh" for d in "aeiou"]
@@ -94,8 +94,15 @@ def test_language(spark):
     assert all(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in got if (r.doc_id or 0) >= 1000)
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"}
     assert all(0 <= r.score <= 1 for r in got)
-    assert {r.lang_pred for r in langid.predict(documents(spark), {}).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(documents(spark), langid.learn(empty(spark))).collect()} == {"und"}
     assert langid.predict(empty(spark), langid.learn(empty(spark))).count() == 0
+    model = langid.learn(train)
+    one, two = (sorted((r.doc_id or 0, r.lang_pred, round(r.score, 9), r.accepted) for r in langid.predict(documents(spark, rows[:60]), model, block=b).collect()) for b in (1, 2))
+    assert one == two
+    # a row that a third of the table repeats counts once, and a text's end teaches as much as its beginning
+    hot = [(1, "thal merin", "aa")] * 300 + [(2, "osk " * 3000 + "dunver " * 3000, "aa"), (3, "quiro", "bb")]
+    (a, b) = langid.learn(spark.createDataFrame(hot, "doc_id long, text string, lang string"), dict_bytes=400).orderBy("place").collect()
+    assert a.data.count("merin") == 1 and {"osk", "dunver"} <= set(a.data.split()) and len(a.data) <= 400 and b.data == "quiro"
 
 
 def test_toxicity(spark):
@@ -115,6 +122,7 @@ def test_toxicity(spark):
     assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) > 0.97 * len(held)
     assert all(r.score == 0 for r in got if r.doc_id in (3, 4, 5))
     assert toxicity.learn(docs, marked.limit(0)) is None
+    assert toxicity.learn(documents(spark, [rows[30]] * 400 + rows[31:34]), marked) is not None
     assert {r.score for r in toxicity.score_texts(docs, None).collect()} == {0.0}
 
 
@@ -129,11 +137,18 @@ def test_pipeline(spark, tmp_path):
     rows.append((2000, rows[-1][1] + " end", "en", "a", 0, "", "", "", ""))
     rows.append((2001, rows[-1][1], "en", "b", 0, "", "", "", ""))
     rows.append((2002, " ".join(text(40) + [item] + text(40)), "en", "b", 0, "", "", "", ""))
-    rows.append((2003, " ".join(text(60) + ["token", "=", '"0123456789abcdef0123456789abcdef01234567"'] + text(40)), "en", "b", 0, "", "", "", ""))
+    for i in range(2003, 2013):
+        rows.append((i, " ".join(text(60) + ["token", "=", '"0123456789abcdef0123456789abcdef01234567"'] + text(40)), "en", ("a", "b")[i % 2], 0, "", "", "", ""))
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
     assert not ids & {2000, 2001, 2002} and len(ids & set(range(1000, 1060))) > 40
     assert all(r.mix_words > 0 for r in out)
-    assert all("0123456789abcdef" not in r.text for r in out) and re.search(r"\[SECRET\]", " ".join(r.text for r in out if r.doc_id == 2003) or "[SECRET]")
+    assert all("0123456789abcdef" not in r.text for r in out) and len(ids & set(range(2003, 2013))) > 3 and all("[SECRET]" in r.text for r in out if r.doc_id in range(2003, 2013))
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows[:20] + rows[-10:]], f"{SCHEMA}, once int, run int, print int, h int, mix_words int")
+    for name, table in (("clash", clash), ("none", clash.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert set(clash.columns) < set(out.columns) and (out.count() > 0) == (name == "clash")

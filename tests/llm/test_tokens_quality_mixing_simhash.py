@@ -1,9 +1,11 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.cases import PASSAGE, ROWS, TEXTS, documents, empty
@@ -103,6 +105,27 @@ def test_splitting_tree_keeps_quotas(spark):
     assert all(abs(s - 1000 / sum(quotas)) < 0.006 for s in share) and len(set(share)) > 3
 
 
+def test_shuffled_is_a_permutation(spark):
+    for n in (1, 2, 7, 1000):
+        got = [r[0] for r in spark.range(n).select(mixing._shuffled(F.col("id"), F.lit(n), F.lit(3), F.lit("key"))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 1000 or abs(np.corrcoef(got, range(n))[0, 1]) < 0.1)
+
+
+def test_mixed_takes_repeated_rows_once_each(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f g h", "x"), (None, "i j", "x"), (2, None, "x"), (3, "", None), (4, "k l m n", None), (5, "o", "y")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, mix_words int")
+    out = mixing.mixed(docs, block_words=2, shard_blocks=2).collect()
+    draws = mixing.draws(docs, block_words=2, shard_blocks=2, by_text=True).collect()
+    want = {s: sum(r.words for r in draws if r.source == s) for s in ("x", "y", None)}
+    assert {s: sum(r.mix_words for r in out if r.source == s) for s in want} == want and want["x"] == 12
+    per = Counter()
+    for r in out:
+        per[(r.doc_id, r.text)] += r.mix_words
+        assert 0 < r.mix_words <= len(r.text.split())
+    assert all(n <= 3 * rows.count((i, t, s)) * len((t or "").split()) for i, t, s in rows for n in [per[(i, t)]])
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def _fingerprint(text, shingle=3):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([b" ".join(words)] if words else [])

@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sampled, staged
 from .words import Words, row_slices, tokenise, trimmed
 
 #: Words of a passage and from one passage to the next: any SIZE - STEP + 1 words in a row lie inside one.
@@ -24,17 +25,24 @@ SIZE, STEP = 32, 16
 #: Words of a benchmark item's piece.
 PIECE = 16
 #: Documents whose passages the index is fitted on, about; terms and dimensions of it.
-SAMPLE_DOCS, TERMS, RANK = 500, 8192, 96
+SAMPLE_DOCS, TERMS, RANK = 500, 32_768, 96
 POWER_ROUNDS = 2
 #: Least cosine of a candidate; least share of an item's words in common order; least share of its answer.
 COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
 ANSWER_WORDS = 4
-#: Benchmark text that is broadcast at a time; a larger benchmark is searched for in blocks.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text that is broadcast at a time, and with it the terms of the index that it adds; a larger benchmark is searched for in blocks.
+BLOCK_BYTES = 2 << 20
 SLICE = 1 << 20
+#: Passages, and pieces of items, whose cosines are held at a time.
+TALL, BROAD = 2048, 4096
 _SEED = 7
 
 
+def _words(column: pa.Array) -> Words:
+    """Words in lower case, of any alphabet, without ASCII punctuation at their ends."""
+    return trimmed(tokenise(pc.utf8_lower(column)))
+
+
 def _passages(w: Words, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, last word + 1, and text of each passage; a text's last passage may be short, an empty text has none."""
     counts = np.where(w.last > w.first, np.maximum(-(-(w.last - w.first - size) // step), 0) + 1, 0)
@@ -50,7 +58,7 @@ def _keys(docs: DataFrame, size: int, step: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, SLICE):
-                w = trimmed(tokenise(part.column("text"), lower=True))
+                w = _words(part.column("text"))
                 first, last, _ = _passages(w, size, step)
                 n = last - first
                 flat = w.hashes[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())].view(np.int64)
@@ -105,10 +113,9 @@ def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 def fit(docs: DataFrame, items: DataFrame, sample_docs: int = SAMPLE_DOCS, terms: int = TERMS, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, idf, place) of each term of the index: all words of the items and the most frequent ones of about `sample_docs` documents.
 
-    The sample is taken evenly by a hash of doc_id; only the index rests on it, every passage is then searched. place: terms by rank.
+    The sample is taken evenly by a hash of doc_id and text, repeated rows once; only the index rests on it, every passage is then searched. place: terms by rank.
     """
-    every = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = sampled(docs, sample_docs)
     rows = staged(_keys(sample, SIZE, STEP).withColumn("own", F.lit(False)).unionByName(_keys(items, PIECE, PIECE).withColumn("own", F.lit(True))), "passages")
     total = rows.count()
     df = rows.select("own", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.max("own").alias("own"))
@@ -141,23 +148,33 @@ def fit(docs: DataFrame, items: DataFrame, sample_docs: int = SAMPLE_DOCS, terms
                         _add(out, own, value.astype(np.float32)[:, None] * y[row])
             if out.any():
                 for k in range(0, len(out), strip):
-                    yield pa.RecordBatch.from_arrays([pa.array([k // strip], pa.int32()), pa.array([out[k : k + strip].tobytes()], pa.binary())], ["strip", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k // strip], pa.int32()), pa.array([out[k : k + strip].astype(np.float32).tobytes()], pa.binary())], ["strip", "sums"])
 
         def add(table: pa.Table) -> pa.Table:
-            sums = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+            sums = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in table.column("sums")).astype(np.float32)
             return pa.table({"strip": table.column("strip").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
 
-        parts = rows.select("keys").mapInArrow(gram, "strip int, sums binary").groupBy("strip").applyInArrow(add, "strip int, sums binary").collect()
-        product = np.zeros(basis.shape)
-        for p in parts:
-            product[p.strip * strip : (p.strip + 1) * strip] = np.frombuffer(p.sums).reshape(-1, rank)
+        product = np.zeros(basis.shape, np.float32)
+        for p in rows.select("keys").mapInArrow(gram, "strip int, sums binary").groupBy("strip").applyInArrow(add, "strip int, sums binary").toLocalIterator():
+            product[p.strip * strip : (p.strip + 1) * strip] = np.frombuffer(p.sums, np.float32).reshape(-1, rank)
         shared.destroy()
-        left, scale, _ = np.linalg.svd(product, full_matrices=False)
-        basis = left.astype(np.float32)
+        # the thin factors of a tall matrix from its small Gram matrix, so that the driver holds no more than two such matrices
+        squares, right = np.linalg.eigh(product.T.astype(float) @ product)
+        scale = np.sqrt(np.maximum(squares[::-1], 0))
+        basis = product @ (right[:, ::-1] / np.maximum(scale, 1e-6 * scale[0] + 1e-12)[None, :]).astype(np.float32)
+        del product
     # whitened, and each term as long as its idf: no direction and no term outweighs another for being well covered
-    place = left / np.maximum(np.sqrt(scale), 1e-6 * np.sqrt(scale[0]) + 1e-12)[None, :]
-    place *= (idf / np.maximum(np.linalg.norm(place, axis=1), 1e-12))[:, None]
-    return keys, idf, place.astype(np.float32)
+    basis /= np.maximum(np.sqrt(scale), 1e-6 * np.sqrt(scale[0]) + 1e-12)[None, :].astype(np.float32)
+    basis *= (idf / np.maximum(np.linalg.norm(basis, axis=1), 1e-12))[:, None].astype(np.float32)
+    return keys, idf, basis
+
+
+def _near(a: np.ndarray, b: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+    """Row of a, row of b and cosine of the pairs of `cosine` or more, BROAD rows of b at a time."""
+    for j in range(0, len(b), BROAD):
+        near = a @ b[j : j + BROAD].T
+        p, q = np.nonzero(near >= cosine)
+        yield from zip(p.tolist(), (q + j).tolist(), near[p, q].tolist(), strict=True)
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -192,7 +209,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, co
 def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, answer: float) -> DataFrame:
     keys, idf, place = fit(docs, items)
     held = items.toArrow()  # at most a block's bytes
-    w = trimmed(tokenise(held.column("text"), lower=True))
+    w = _words(held.column("text"))
     index = Terms(keys)
     ids = index.find(w.hashes) if len(w.start) else np.zeros(0, np.int32)
     first, last, item = _passages(w, PIECE, PIECE)
@@ -213,7 +230,7 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
         index, place = Terms(keys), np.r_[place, np.zeros((1, place.shape[1]), np.float32)]
         for batch in batches:
             for part in row_slices(batch, SLICE):
-                w = trimmed(tokenise(part.column("text"), lower=True))
+                w = _words(part.column("text"))
                 first, last, text = _passages(w, SIZE, STEP)
                 if not len(first) or not len(vectors):
                     continue
@@ -225,21 +242,20 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
                 grid = steps[:, None] + np.arange(STEP)
                 grid = np.where(grid < step_last[:, None], ids[np.minimum(grid, len(ids) - 1)], -1)
                 begin = np.searchsorted(steps, first)
-                for k in range(0, len(first), 2048):  # passages whose cosines are held at a time
-                    a, b = first[k : k + 2048], last[k : k + 2048]
+                for k in range(0, len(first), TALL):
+                    a, b = first[k : k + TALL], last[k : k + TALL]
                     lo = begin[k]
-                    sums = place[grid[lo : begin[k : k + 2048][-1] + SIZE // STEP]].sum(axis=1)
+                    sums = place[grid[lo : begin[k : k + TALL][-1] + SIZE // STEP]].sum(axis=1)
                     v = np.zeros((len(a), place.shape[1]), np.float32)
                     for j in range(SIZE // STEP):
-                        at = begin[k : k + 2048] + j
+                        at = begin[k : k + TALL] + j
                         own = np.flatnonzero(at < len(steps))
                         own = own[step_text[at[own]] == text[k + own]]
                         v[own] += sums[at[own] - lo]
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    near = v @ vectors.T
                     seen, around = -1, set()
-                    for p, q in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
-                        pair, close = (int(text[k + p]), int(item[q])), float(near[p, q])
+                    for p, q, close in _near(v, vectors, cosine):
+                        pair = (int(text[k + p]), int(item[q]))
                         words, begins, ends = texts[pair[1]], w.first[pair[0]], w.last[pair[0]]
                         if p != seen:  # as far as the longest item may reach
                             seen, around = p, set(hashes[max(begins, a[p] - longest) : min(ends, b[p] + longest)].tolist())
@@ -261,6 +277,10 @@ def _search(docs: DataFrame, items: DataFrame, cosine: float, common: float, ans
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id stay unless a row without an id holds one."""
+    """docs without the documents that hold a benchmark item, all their columns kept.
+
+    Null and empty texts hold nothing and stay; rows that share a doc_id go together; rows with a null doc_id stay unless a row without
+    an id holds one. An empty benchmark leaves docs as it is; an empty table stays empty; other columns may have any name.
+    """
     leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")

@@ -27,8 +27,8 @@ from .words import row_slices, tokenise
 VOCABULARY = "piece_bpe_32k.model"
 #: Words in the broadcast table at most; they decide what is shuffled, never a result.
 FREQUENT = 65_536
-#: Rounds of re-estimation on the frequent words before the one on all words.
-WARM_ROUNDS = 4
+#: Rounds of re-estimation before the one on all words, and the most frequent words that they learn from.
+WARM_ROUNDS, WARM_WORDS = 4, 65_536
 #: Weight of the vocabulary's own scores in each re-estimate, in words.
 PRIOR = 1000.0
 #: What each distinct training word gives of its count to the lattice.
@@ -249,15 +249,16 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, frequent:
     n_docs = train.count()
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, n_distinct = (totals.n or 0) + n_docs, totals.v + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
+    first = counts.orderBy(F.desc("n"), "key").limit(max(frequent, WARM_WORDS)).toArrow()
+    top = first.slice(0, frequent)
     top = top.take(np.argsort(top.column("key").to_numpy().view(np.uint64)))
     keys, times = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
 
     pieces, prior = vocabulary(name)
     lattice = Lattice(pieces, prior)
-    words = _bytes(pa.array(top.column("word").to_pylist(), pa.binary()))
+    words, warmest = (_bytes(pa.array(x.column("word").to_pylist(), pa.binary())) for x in (top, first.slice(0, WARM_WORDS)))
     for _ in range(WARM_ROUNDS):
-        _estimate(lattice, lattice.expected(*words, np.ones(len(times))), prior)
+        _estimate(lattice, lattice.expected(*warmest, np.ones(len(warmest[1]))), prior)
     context = docs.sparkSession.sparkContext
     warm = context.broadcast(np.exp(lattice.log[:-1]))
 

@@ -87,7 +87,8 @@ def rejected(policy: Policy) -> Column:
 def ablation(book: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFrame:
     """version, rule, n_rejected, n_only: per policy and rule, the documents that fail it and those that no other rule of it rejects.
 
-    The ledger is first counted by distinct bit pattern, at most 2 to the number of rules, whatever the input.
+    The ledger is first counted by distinct bit pattern, at most 2 to the number of rules, whatever the input. An empty ledger gives no
+    rows; repeated rows count each.
     """
     patterns = book.groupBy("failed_bits").agg(F.count("*").alias("n"))
     rows = [F.struct(F.lit(p.version).alias("version"), F.lit(r).alias("rule"), F.lit(p.mask).cast("long").alias("mask"), F.lit(1 << i).cast("long").alias("bit")) for p in policies.values() for i, r in enumerate(RULES) if r in p.rules]
@@ -97,13 +98,15 @@ def ablation(book: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFra
 
 
 def judge(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
-    """The ledger with base_failed and kept under `policy`."""
+    """The ledger with base_failed and kept under `policy`; nulls, repeated rows and empty tables as in `ledger`."""
     return ledger(docs).withColumns({"base_failed": rejected(BASE), "kept": ~rejected(BASE) & ~rejected(policy)})
 
 
 def passing(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """The rows of docs that `policy` keeps, with their own columns; no row is shuffled.
 
+    A null or empty text has too few words and goes; repeated rows stay or go together; a null doc_id is kept; an empty table stays empty.
+
     The column `once` keeps the optimiser from moving the filter below the measurements, which would work each of them out many times.
     """
     book = ledger(docs).select("row", "failed_bits", F.monotonically_increasing_id().alias("once"))

@@ -48,13 +48,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents")).where("is_secret")
-    return found.select("doc_id", "place", F.char_length("run").alias("n_chars"), F.sha2("run", 256).alias("secret_sha256"), "probability")
+    return found.select("doc_id", "place", "nth", F.char_length("run").alias("n_chars"), F.sha2("run", 256).alias("secret_sha256"), "probability")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "failed_bits", "base_failed", "kept")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -77,6 +81,12 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
+_RULES = ", ".join(f"('{p.version}', '{r}', {p.mask}, {1 << i})" for p in quality.POLICIES.values() for i, r in enumerate(quality.RULES) if r in p.rules)
+ABLATION_SQL = f"""
+SELECT version, rule, count_if(failed_bits & bit <> 0)::BIGINT AS n_rejected, count_if(failed_bits & mask = bit)::BIGINT AS n_only
+FROM ({QUALITY_SQL}) AS ledger, (VALUES {_RULES}) AS p(version, rule, mask, bit) GROUP BY version, rule
+"""
+
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word,
                   generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
@@ -101,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "quality_ablation": quality_ablation,
 }
-ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL, "quality_ablation": ABLATION_SQL}

@@ -23,12 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, window: int, odd: np.uint64 = _ODD) -> np.ndarray:
     """A hash of each `window` consecutive words, document ends not heeded; shorter than words by window - 1."""
     n = max(0, len(words) - window + 1)
     out = np.zeros(n, np.uint64)
     for k in range(window):
-        out = out * _ODD + words[k : k + n]
+        out = out * odd + words[k : k + n]
     return mix(out)
 
 

@@ -29,7 +29,7 @@ DIGESTS = r"(?i)(commit|sha|hash|md5|digest|checksum|uuid|build|version|etag)"
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_](live|test)?[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{20,})"
 FEATURES = ("n_chars", "digits", "capitals", "smalls", "marks", "changes", "distinct", "clusters", "hex", "covered", "path", "quoted", "named", "assigned", "digest")
 #: Labelled findings of each class that the forest learns from at most; words of the dictionary.
-CLASS_ROWS, DICT_WORDS = 2000, 150
+CLASS_ROWS, DICT_WORDS = 2000, 1000
 #: Characters before and behind a run that tell whether it is part of a path, or which name of several it belongs to.
 AROUND = 200
 TREES, DEPTH, SEED = 24, 6, 5
@@ -38,10 +38,26 @@ MASK = "[SECRET]"
 
 
 def dictionary(docs: DataFrame, words: int = DICT_WORDS) -> list[str]:
-    """The most frequent words of three letters or more in all documents."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,12}"), F.lit(0))).alias("word")
+    """The most frequent words of four to twelve letters in all documents."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,12}"), F.lit(0))).alias("word")
     top = docs.select(word).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return sorted((r.word for r in top.collect()), key=lambda w: (-len(w), w))
+    return sorted(r.word for r in top.collect())
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of any of the words, the longest that is there, each letter of a common beginning looked at once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [letter + pattern(node[letter]) for letter in sorted(node) if letter]
+        return "" if not ways else f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return pattern(tree) or r"\b\B"
 
 
 def _share(chars: str) -> Column:
@@ -68,7 +84,7 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
     near = F.when(lone, F.concat_ws(" ", "earlier", "before", "gap")).otherwise(name)
     cut = r"[^\"'`,;&{}\[\]()<>|=]*"
     piece = F.concat(F.regexp_extract(head, cut + "$", 0), "run", F.regexp_extract(F.left("after", F.lit(AROUND)), "^" + cut, 0))
-    known = "|".join(words) or r"\b\B"
+    known = _any_of(words)
     flag = lambda c: c.cast("double")
     return (
         found.withColumns({"near": near, "piece": piece})
@@ -113,7 +129,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     text has no candidates; repeated rows share their findings; a null doc_id is kept; only doc_id and text are read; an empty table
     gives no rows.
     """
-    found = candidates(docs, dictionary(docs))
+    found = staged(candidates(docs, dictionary(docs)), "candidates")
     rows = own_labels(found) if labelled is None else labelled
     order = F.xxhash64(*(["run", "place", "nth"] if labelled is None else list(FEATURES)))
     parts = [rows.where(F.col("label") == k).select("label", *FEATURES, order.alias("h")).orderBy("h", *FEATURES).limit(CLASS_ROWS) for k in (0.0, 1.0)]
@@ -123,12 +139,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(vectors.transform(learned.repartition(1).sortWithinPartitions("label", "h")))
     judged = forest.transform(vectors.transform(found)).withColumn("probability", vector_to_array("probability")[1])
-    judged = judged.select("doc_id", "print", "place", "nth", "run", "probability", F.monotonically_increasing_id().alias("once"))  # a filter above stays above the forest
-    return judged.select("doc_id", "print", "place", "nth", "run", "probability", ((F.col("probability") >= threshold) & (F.col("once") >= 0)).alias("is_secret"))
+    return judged.select("doc_id", "print", "place", "nth", "run", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each secret in text replaced by MASK, and n_chars, where there is such a column, counted anew; no row goes."""
+    """docs with each secret in text replaced by MASK, and n_chars, where there is such a column, counted anew; no row goes.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; a null doc_id is kept; an empty table stays empty. Other
+    columns, whatever their names, are left alone.
+    """
     own = scan(docs, labelled, threshold).where("is_secret").groupBy(F.col("doc_id").alias("its_id"), F.col("print").alias("its_print"))
     secrets = own.agg(F.sort_array(F.collect_set(F.struct(F.char_length("run").alias("n"), "run")), asc=False).alias("secrets"))  # a text's own, longest first
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("print"))

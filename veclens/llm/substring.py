@@ -9,8 +9,8 @@ run of high-level symbols inside them. Four steps, all dealt out by a bucket of
 4. each document cuts its windows whose least document is smaller.
 
 Texts are shuffled once, by bucket, and every step reads that exchange. Whole copies of a text with a smaller id are cut without any of
-this. A bucket sends a window once or twice however many of its documents hold it, so that a passage in a third of all documents costs
-a row or two a bucket.
+this. A bucket sends a window once however many of its documents hold it, so that a passage in a third of all documents costs a row a
+bucket; windows over those rows spill and never stand in a Python task.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .recompression import anchors, window_hashes
 from .words import Words, row_slices, tokenise
@@ -36,6 +37,9 @@ ROUNDS, REACH = 1, 5
 BUCKET_BYTES = 4 << 20
 SLICE = 1 << 20
 _COPY, _FOUND = 0, 1
+#: Another hash of a window's words, by which windows of one key are told apart.
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
+_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def _firsts(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,55 +65,52 @@ def _copies(table: pa.Table, notes: pa.Table) -> np.ndarray:
     return np.fromiter(((i, h) in marks for i, h in zip(table.column("doc_id").to_pylist(), signed, strict=True)), bool, table.num_rows)
 
 
-def _found(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that came back to the bucket, with their documents."""
+def _found(notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that came back to the bucket, sorted with their checks, and their documents."""
     notes = notes.filter(pc.equal(notes.column("kind"), _FOUND))
-    key, doc = notes.column("key").to_numpy().view(np.uint64), notes.column("doc").fill_null(0).to_numpy()
-    order = np.argsort(key)
-    return key[order], doc[order]
+    key, check = (notes.column(c).to_numpy().view(np.uint64) for c in ("key", "check"))
+    order = np.lexsort((check, key))
+    return key[order], check[order], notes.column("doc").fill_null(0).to_numpy()[order]
 
 
-def _among(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value stands in sorted keys, and whether it does."""
+def _among(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key with its check stands among the sorted ones, and whether it does."""
     if not len(keys):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return at, keys[at] == values
-
-
-def _ends(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key with its least document, and once more with its greatest where that is another."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-    last = np.r_[keys[1:] != keys[:-1], True][: len(keys)]
-    other = last & ~first
-    other[other] = docs[other] != docs[np.flatnonzero(first)[np.cumsum(first)[other] - 1]]
-    keep = first | other
-    return keys[keep], docs[keep]
-
-
-def _rows(bucket: int, keys: np.ndarray, docs: np.ndarray) -> pa.Table:
-    return pa.table({"key": pa.array(keys.view(np.int64)), "bucket": pa.array(np.full(len(keys), bucket, np.int32)), "doc": pa.array(docs, pa.int64())})
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of (key, bucket, doc), dealt out by key: for keys of two documents or more, a row for each bucket that has the
-    key, with its greatest document and the least of all."""
-    parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, bucket, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, bucket, key))
-    key, bucket, doc = key[order], bucket[order], doc[order]
-    new = key[1:] != key[:-1]
-    at = np.flatnonzero(np.r_[True, new])
-    sizes = np.diff(np.r_[at, len(key)])
-    least, most = np.repeat(np.minimum.reduceat(doc, at), sizes), np.repeat(np.maximum.reduceat(doc, at), sizes)
-    keep = np.flatnonzero((least < most) & np.r_[new | (bucket[1:] != bucket[:-1]), True])
-    for start in range(0, len(keep), 100_000):
-        i = keep[start : start + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), pa.array(bucket[i]), pa.array(doc[i]), pa.array(least[i])], ["key", "bucket", "doc", "least"])
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    there = (keys[at] == key) & (checks[at] == check)
+    other = np.flatnonzero((keys[at] == key) & ~there)
+    while len(other):  # different windows of one key stand side by side
+        other = other[at[other] + 1 < len(keys)]
+        at[other] += 1
+        other = other[keys[at[other]] == key[other]]
+        there[other] = checks[at[other]] == check[other]
+        other = other[~there[other]]
+    return at, there
+
+
+def _once(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key and check once, with its least document, and whether it has two documents or more."""
+    order = np.lexsort((docs, checks, keys))
+    keys, checks, docs, two = keys[order], checks[order], docs[order], two[order]
+    new = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    first = np.flatnonzero(np.r_[True, new][: len(keys)])
+    if not len(first):
+        return keys, checks, docs, two
+    last = np.r_[first[1:], len(keys)] - 1
+    return keys[first], checks[first], docs[first], np.logical_or.reduceat(two, first) | (docs[first] != docs[last])
+
+
+def _rows(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    keys, checks, docs, two = _once(*(np.concatenate([x, *own]) for x, *own in zip(_NOTHING, *parts, strict=True)))
+    return pa.table({"key": pa.array(keys.view(np.int64)), "check": pa.array(checks.view(np.int64)), "bucket": pa.array(np.full(len(keys), bucket, np.int32)), "doc": pa.array(docs, pa.int64()), "two": pa.array(two)})
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """bucket, key, check, doc, two, least of the keys of two documents or more: a row for each bucket that has the key, and the least document of all."""
+    own = Window.partitionBy("key", "check")
+    every = rows.withColumns({"least": F.min("doc").over(own), "most": F.max("doc").over(own), "any": F.max("two").over(own)})
+    return every.where("any or least < most").select("bucket", "key", "check", "doc", "two", "least")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, reach: int = REACH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -117,7 +118,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, rea
 
     A null or empty text has no words and keeps nothing. Windows are judged on the input. Two rows with one doc_id never cut each other;
     a row with a null doc_id is neither cut nor a reason to cut. Texts shorter than a window stay. An empty table gives no rows; only
-    doc_id and text are read. Windows and anchors are told apart by 64-bit hashes of their words.
+    doc_id and text are read. Windows are told apart by two 64-bit hashes of their words that share nothing; an anchor that stands for two
+    things only lets windows through that these then rule out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -126,47 +128,42 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, rea
 
     digest = docs.where("doc_id is not null and text <> ''").select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("key"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    copies = digest.join(first, "digest").where("doc_id > least").select(bucket, F.lit(_COPY).alias("kind"), "key", F.col("doc_id").alias("doc"))
+    copies = digest.join(first, "digest").where("doc_id > least").select(bucket, F.lit(_COPY).alias("kind"), "key", F.lit(0).cast("long").alias("check"), F.col("doc_id").alias("doc"))
 
     placed = docs.select(bucket, "doc_id", "text").groupBy("bucket")
 
-
     def send_anchors(key, table: pa.Table, notes: pa.Table) -> pa.Table:
-        skip, keys, found = _copies(table, notes), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        table = table.filter(pa.array(~skip))
-        for part in row_slices(table, SLICE):
+        skip, found = _copies(table, notes), []
+        for part in row_slices(table.filter(pa.array(~skip)), SLICE):
             (ids, missing), w = _ids(part), tokenise(part.column("text"))
             start, anchor = anchors(w.hashes, w.first, w.last, window, rounds, reach)
             text = np.searchsorted(w.last, start, side="right")
-            a, d = _ends(anchor[~missing[text]], ids[text[~missing[text]]])
-            keys.append(a)
-            found.append(d)
-        return _rows(key[0].as_py(), *_ends(np.concatenate(keys), np.concatenate(found)))
+            keep = ~missing[text]
+            found.append(_once(anchor[keep], np.zeros(keep.sum(), np.uint64), ids[text[keep]], np.zeros(keep.sum(), bool)))
+        return _rows(key[0].as_py(), found)
 
     def send_windows(key, table: pa.Table, notes: pa.Table) -> pa.Table:
-        skip, keys, found = _copies(table, notes), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        shared = _found(notes)[0]
-        table = table.filter(pa.array(~skip)) if len(shared) else table.slice(0, 0)
-        for part in row_slices(table, SLICE):
+        skip, found = _copies(table, notes), []
+        keys, checks, _ = _found(notes)
+        for part in row_slices(table.filter(pa.array(~skip)) if len(keys) else table.slice(0, 0), SLICE):
             (ids, missing), w = _ids(part), tokenise(part.column("text"))
             hashes = w.hashes
             start, anchor = anchors(hashes, w.first, w.last, window, rounds, reach)
             text = np.searchsorted(w.last, start, side="right")
-            keep = _among(shared, anchor)[1] & ~missing[text]
-            h, d = _ends(window_hashes(hashes, window)[start[keep]], ids[text[keep]])
-            keys.append(h)
-            found.append(d)
-        return _rows(key[0].as_py(), *_ends(np.concatenate(keys), np.concatenate(found)))
+            keep = _among(keys, checks, anchor, np.zeros(len(anchor), np.uint64))[1] & ~missing[text]
+            at = start[keep]
+            found.append(_once(window_hashes(hashes, window)[at], window_hashes(w.hashed(_CHECK), window, _CHECK)[at], ids[text[keep]], np.zeros(len(at), bool)))
+        return _rows(key[0].as_py(), found)
 
     def cut(key, table: pa.Table, notes: pa.Table) -> pa.Table:
-        shared, least = _found(notes)
+        keys, checks, least = _found(notes)
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
         for part in row_slices(table, SLICE):
             (ids, missing), w = _ids(part), tokenise(part.column("text"))
             start, text = _firsts(w, window)
             gone = np.zeros(len(w.start) + 1, np.int64)
-            if len(shared) and len(start):
-                at, there = _among(shared, window_hashes(w.hashes, window)[start])
+            if len(keys) and len(start):
+                at, there = _among(keys, checks, window_hashes(w.hashes, window)[start], window_hashes(w.hashed(_CHECK), window, _CHECK)[start])
                 there &= ~missing[text]
                 there[there] = least[at[there]] < ids[text[there]]
                 np.add.at(gone, start[there], 1)
@@ -182,14 +179,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, rea
                 out["n_removed"].append(n)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
 
-    def back(rows: DataFrame) -> DataFrame:
-        """Keys of two documents or more, a note to each bucket that has them."""
-        dealt = rows.repartition("key").mapInArrow(_shared, "key long, bucket int, doc long, least long")
-        return dealt.select("bucket", F.lit(_FOUND).alias("kind"), "key", "doc", "least")
+    def noted(rows: DataFrame, doc: Column) -> DataFrame:
+        return rows.select("bucket", F.lit(_FOUND).alias("kind"), "key", "check", doc.alias("doc"))
 
-    row = "key long, bucket int, doc long"
+    row = "key long, check long, bucket int, doc long, two boolean"
     sent = placed.cogroup(copies.groupBy("bucket")).applyInArrow(send_anchors, row)
-    notes = copies.unionByName(back(sent).select("bucket", "kind", "key", F.lit(None).cast("long").alias("doc")))
+    notes = copies.unionByName(noted(_shared(sent), F.lit(None).cast("long")))
     sent = placed.cogroup(notes.groupBy("bucket")).applyInArrow(send_windows, row)
-    late = back(sent).where("doc > least").select("bucket", "kind", "key", F.col("least").alias("doc"))
+    late = noted(_shared(sent).where("two or doc > least"), F.col("least"))
     return placed.cogroup(copies.unionByName(late).groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

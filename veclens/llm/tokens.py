@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import sampled
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts whose pre-tokens the first tier is filled from, and the entries that it holds at most. They decide speed, never a result.
 WARM_DOCS, WARM_ENTRIES = 2000, 65_536
@@ -81,12 +83,13 @@ def frequent_pretokens(docs: DataFrame, tokenizer: str = TOKENIZER, warm_docs: i
             for text in batch.column(0).to_pylist():
                 for part in _segments(text or "", special)[0]:
                     seen.update(p for p in _pieces(tok, part) if len(p) <= LONGEST)
+                if len(seen) > 8 * entries:
+                    seen = Counter(dict(seen.most_common(4 * entries)))
         top = seen.most_common(entries)
         lengths = [len(e.ids) for e in tok.encode_batch([p for p, _ in top], add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array(lengths, pa.int64())], ["piece", "n", "tokens"])
 
-    every = max(1, docs.count() // warm_docs)
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(count, "piece string, n long, tokens long")
+    rows = sampled(docs, warm_docs).select("text").mapInArrow(count, "piece string, n long, tokens long")
     top = rows.groupBy("piece").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "piece").limit(entries)
     return {r.piece: r.tokens for r in top.collect()}
 

@@ -198,12 +198,19 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> tuple[np.n
 
 
 def learn(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS):
-    """A model from at most `class_docs` documents of each class, the first by a hash of doc_id, none longer than DOC_BYTES."""
+    """A model from at most `class_docs` documents of each class, the first by a hash of doc_id and text, none longer than DOC_BYTES.
+
+    Rows that repeat a doc_id and text count once, however many they are; of a doc_id's labels the greatest counts. None without rows of
+    both classes.
+    """
     ids = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(~held_out(4, 2))
-    parts = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_docs) for k in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select("doc_id", "text").where(f"octet_length(text) <= {DOC_BYTES} and text <> ''").join(chosen, "doc_id").orderBy("doc_id", "text").collect()
+    texts = docs.where(f"octet_length(text) <= {DOC_BYTES} and text <> ''").select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    known = texts.groupBy("doc_id", "h").agg(F.lit(1).alias("one")).join(ids, "doc_id")
+    parts = [known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(class_docs).select("doc_id", "h", "toxic") for k in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most two times class_docs rows of two numbers
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(chosen, ["doc_id", "h"])
+    rows = own.groupBy("doc_id", "h").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id", "h").collect()
     aside = np.array([zlib.crc32(f"aside {r.doc_id}".encode()) % ASIDE == 0 for r in rows], bool)
     texts, label = np.array([r.text for r in rows], object), np.array([r.toxic for r in rows], int)
     model = train(texts[~aside].tolist(), label[~aside].tolist()) if len(rows) else None

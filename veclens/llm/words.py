@@ -29,14 +29,17 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, eight of them at a time."""
+        return self.hashed(_ODD)
+
+    def hashed(self, odd: np.uint64) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, eight of them at a time, by an odd multiplier."""
         padded = np.r_[self.data, np.zeros(8, np.uint8)]
         eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
         size = self.end - self.start
-        out = mix(size.astype(np.uint64) + _ODD)
+        out = mix(size.astype(np.uint64) + odd)
         at, k = np.arange(len(size)), 0
         while len(at):
-            out[at] = mix(out[at] * _ODD + (eights[self.start[at] + k] & _KEEP[np.minimum(size[at] - k, 8)]))
+            out[at] = mix(out[at] * odd + (eights[self.start[at] + k] & _KEEP[np.minimum(size[at] - k, 8)]))
             k += 8
             at = at[size[at] > k]
         return out
