@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions import names, vectors
-from veclens.operators import metrics, similarity, splits
+from veclens.operators import gram, metrics, similarity, splits
+from veclens.sources import files
 
 
 def items(spark, n, seed, dim=6, start=0):
@@ -57,10 +58,90 @@ def test_roc(spark):
 
 
 def test_ranked_quality(spark):
-    rows = [(1, 7, 7 if rel else 8, k + 1) for k, rel in enumerate([1, 0, 1, 0])] + [(2, 5, 6, 1)]
-    got = {r.q_id: r for r in metrics.ranked_quality(spark.createDataFrame(rows, "q_id long, q_label int, g_label int, rank int")).collect()}
+    rows = [(1, 7, 1, 4), (1, 7, 3, 4), (2, 5, None, 4), (3, 6, 6, 9)]
+    got = {r.q_id: r for r in metrics.ranked_quality(spark.createDataFrame(rows, "q_id long, q_label int, rank long, gallery long")).collect()}
     assert got[1].ap == pytest.approx((1 + 2 / 3) / 2) and got[1].mrr == 1 and got[1].purity5 == 0.5
     assert got[2].ap is None and got[2].first_rank is None and got[2].hit10 == 0
+    assert (got[3].hit5, got[3].hit10, got[3].purity5) == (0, 1, 0)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_relevant_ranks_against_numpy(spark, block):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (70, 4)).astype(float)  # many equal similarities
+    rows = [(i, int(i % 5), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "item_id long, label int, vec array<double>")
+    q, g = df.where("item_id < 30"), df.where("item_id >= 25 and label < 4")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    ids = [i for i in range(25, 70) if i % 5 < 4]
+    want = {}
+    for a in range(30):
+        sims = np.array([unit[a] @ unit[b] for b in ids])
+        order = sorted(range(len(ids)), key=lambda k: (-round(sims[k], 9), ids[k]))
+        for rank, k in enumerate(order, 1):
+            if ids[k] % 5 == a % 5:
+                want[(a, ids[k])] = (rank, int((sims > sims[k] - 1e-9).sum()), int((sims > sims[k] + 1e-9).sum()))
+    got = similarity.relevant_ranks(q, g, block).collect()
+    assert {(r.q_id, r.g_id) for r in got if r.g_id is not None} == set(want)
+    assert {r.q_id for r in got if r.g_id is None} == {a for a in range(30) if a % 5 == 4}
+    # equal similarities may differ in their last bit, so a rank lies among its equals
+    assert all(want[(r.q_id, r.g_id)][2] < r.rank <= want[(r.q_id, r.g_id)][1] for r in got if r.g_id is not None)
+
+
+def test_galleries_by_a_column(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 3), rng.standard_normal(5).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "item_id long, label int, vec array<double>")
+    q, g = df.where("item_id < 20"), df.where("item_id >= 20").withColumn("part", F.concat(F.lit("p"), (F.col("item_id") % 4).cast("string")))
+    got = {(r.q_id, r.part): [] for r in similarity.matches(q, g, 3, block=16, by="part").collect()}
+    for r in similarity.matches(q, g, 3, block=16, by="part").orderBy("q_id", "part", "rank").collect():
+        got[(r.q_id, r.part)].append(r.g_id)
+    for part in ("p0", "p1", "p2", "p3"):
+        for r in similarity.matches(q, g.where(F.col("part") == part).drop("part"), 3).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "g_id"))).alias("x")).collect():
+            assert got[(r.q_id, part)] == [y.g_id for y in r.x]
+
+
+def test_moments_and_colouring(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((50, 4)) @ rng.standard_normal((4, 4)), rng.standard_normal((80, 4)) + 3
+    one, two = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "item_id long, vec array<double>").repartition(3) for m in (a, b))
+    cells = {(r.i, r.j): r.value for r in gram.covariance(one, 0.5).collect()}
+    want = np.cov(a.T, bias=True) + 0.5 * np.eye(4)
+    assert all(cells[(i, j)] == pytest.approx(want[i, j]) for i in range(4) for j in range(4))
+    moved = np.array([r.vec for r in gram.coloured(one, two, 1e-9).collect()])
+    assert moved.mean(axis=0) == pytest.approx(b.mean(axis=0)) and np.cov(moved.T, bias=True) == pytest.approx(np.cov(b.T, bias=True), abs=1e-5)
+    assert gram.covariance(one.limit(0)).count() == 0
+
+
+def test_guards(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "item_id long, label string")
+    files.require_disjoint(a, a.where("false"), "label", "train")
+    with pytest.raises(ValueError, match="train share labels, such as \\['x'"):
+        files.require_disjoint(a, a, "label", "train")
+    assert files.require_aligned(a, a.select("item_id", F.lit(1).alias("n")), "item_id").count() == 2
+    for bad in (a.limit(1), a.unionByName(a)):
+        with pytest.raises(ValueError):
+            files.require_aligned(a, bad.select("item_id", F.lit(1).alias("n")), "item_id")
+    g = a.withColumn("in_train", F.col("item_id") == 1)
+    assert [files.scoped(g, s, a.limit(1)).count() for s in ("full_swi", "ce_train", "id_only")] == [2, 1, 1]
+    for scope, least in (("nowhere", 1), ("ce_train", 2)):
+        with pytest.raises(ValueError):
+            files.scoped(g, scope, least=least)
+    text = '[{"method": "m", "r1": 0.5, "note": "n", "map": {"mean": 2, "ci": 1}}]'
+    rows = spark.createDataFrame([(1, text), (2, '{"k": {"r1": {"mean": 1}}}'), (3, "broken"), (4, None)], "id int, t string")
+    assert {tuple(r) for r in files.result_rows(rows, "t").collect()} == {(1, "m", "r1", 0.5), (1, "m", "map", 2.0), (2, "k", "r1", 1.0)}
+
+
+def test_curve_without_a_key_matches_one_with(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(round(s, 2)), bool(p)) for s, p in zip(rng.standard_normal(500), rng.random(500) < 0.3, strict=True)]
+    df = spark.createDataFrame(rows, "score double, positive boolean").withColumn("one", F.lit(1)).withColumn("w", F.lit(3))
+    (a,), (b,), (c,) = metrics.roc(df).collect(), metrics.roc(df, ["one"]).drop("one").collect(), metrics.roc(df, weight="w").collect()
+    assert tuple(a) == pytest.approx(tuple(b)) and tuple(a) == pytest.approx(tuple(c))
+    pos, neg = ([s for s, p in rows if p == want] for want in (True, False))
+    assert a.auroc == pytest.approx(np.mean([(x > y) + 0.5 * (x == y) for x in pos for y in neg]))
+    flat = spark.createDataFrame([(1.0, True), (1.0, False)], "score double, positive boolean")
+    assert metrics.roc(flat).first().auroc == 0.5
 
 
 def test_holm_and_spearman(spark):
@@ -82,7 +163,12 @@ def test_names(spark):
     assert one("acer saccharum var. nigrum (michx.)", names.without_authority) == "acer saccharum var. nigrum"
     assert one("quercus robur l.", names.without_authority) == "quercus robur"
     assert one("quercus", names.without_authority) == "quercus"
-    for given, want in {"shorea spp. 2": ("shorea sp", "spp. 2"), "acer rubrum 3": ("acer rubrum", "specimen 3"), "acer rubrum": ("acer rubrum", "")}.items():
+    assert [one(x, names.standard_name) for x in ("dąb", "Świerk", "Wiąz\u0307y", "同じ x")] == ["dab", "swierk", "wiazy", "x"]
+    assert one("\tPicea  ABIES Subsp. obovata (Ledeb.) ", names.without_authority) == "picea abies subsp. obovata"
+    both = lambda x, v: tuple(names.preprocessed(spark.createDataFrame([(x,)], "x string"), F.col("x"), F.lit(v)).select("query", "variant", "std").first())
+    assert both("07-Dąb", True) == ("quercus robur", "", "quercus robur") and both("07-Dąb", False) == ("dab", "", "dab")
+    assert both("Shorea sp. 2", True) == ("shorea sp", "spp.", "shorea sp.") and both("Cupresus_lusitanica Mill. 3", True) == ("cupressus lusitanica", "", "cupressus lusitanica")
+    for given, want in {"shorea spp": ("shorea sp", "spp."), "Shorea SP. 2": ("Shorea sp", "spp. 2"), "a b c 4": ("a b c 4", ""), "shorea spp. 2": ("shorea sp", "spp. 2"), "acer rubrum 3": ("acer rubrum", "specimen 3"), "acer rubrum": ("acer rubrum", "")}.items():
         assert tuple(one(given, names.variant)) == want
     pairs = [("Acer rubrum L.", "acer rubrum", "acer rubrum"), ("Shorea Roxb.", "shorea sp", "shorea sp."), (None, "x", "")]
     for r in spark.createDataFrame(pairs, "a string, q string, want string").select(names.binomial(F.col("a"), F.col("q")).alias("got"), "want").collect():

@@ -20,14 +20,18 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def unit(a: Column | str) -> Column:
+    """At unit length; vector and length are each worked out once, as what a lambda is called with."""
+    return F.transform(F.array(a), lambda v: F.transform(F.array(norm(v)), lambda length: F.transform(v, lambda x: x / length))[0])[0]
+
+
 def scaled(df: DataFrame, column: str = "vec") -> DataFrame:
-    """df with the column at unit length; the length is worked out once a row."""
-    return df.withColumn("__length", norm(column)).withColumn(column, F.transform(column, lambda x: x / F.col("__length"))).drop("__length")
+    """df with the column at unit length."""
+    return df.withColumn(column, unit(column))
 
 
 def fused(a: Column | str, b: Column | str) -> Column:
     """Both at unit length, one after the other, at unit length."""
-    unit = lambda v: F.transform(v, lambda x: x / norm(v))
     return F.transform(F.concat(unit(a), unit(b)), lambda x: x / F.sqrt(F.lit(2.0)))
 
 

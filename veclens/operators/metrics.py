@@ -20,16 +20,29 @@ def macro(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_label(preds, by).groupBy(*(by or [])).agg(F.avg("accuracy").alias("macro"), F.count("*").alias("labels"))
 
 
-def steps(scores: DataFrame, by: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
+#: Ranges of scores that are accumulated apart where nothing else divides them.
+RANGES = 256
+
+
+def steps(scores: DataFrame, by: list[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
     """by, score, tp, fp, p, n: the ROC curve, a point for each distinct score, highest first.
 
-    Raw rows are first counted by score, so the window that accumulates them sees distinct scores only.
+    Raw rows are first counted by score, so the window that accumulates them sees distinct scores only, and only those of one of RANGES
+    equal ranges of the group's scores; a window over the ranges' sums tells where each begins. weight: how often a row counts.
     """
-    pos = F.sum(hit(positive))
-    counts = scores.groupBy(*by, score).agg(pos.alias("pos"), (F.count("*") - pos).alias("neg"))
+    times = F.col(weight) if weight else F.lit(1)
+    counts = scores.groupBy(*by, score).agg(F.sum(times * hit(positive)).alias("pos"), F.sum(times * (1 - hit(positive))).alias("neg"))
+    ends = counts.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    whole = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))  # one row
+    width = F.greatest((F.col("hi") - F.col("lo")) / RANGES, F.lit(1e-300))
+    placed = whole.withColumn("range", F.coalesce(F.floor((F.col(score) - F.col("lo")) / width), F.lit(0)))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = group.orderBy(F.desc(score))
-    return counts.select(*by, score, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(group).alias("p"), F.sum("neg").over(group).alias("n"))
+    over = group.orderBy(F.desc("range"))
+    starts = placed.groupBy(*by, "range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))
+    starts = starts.select(*by, "range", *((F.sum(f"range_{x}").over(over) - F.col(f"range_{x}")).alias(f"before_{x}") for x in ("pos", "neg")), F.sum("range_pos").over(group).alias("p"), F.sum("range_neg").over(group).alias("n"))
+    down = Window.partitionBy(*by, "range").orderBy(F.desc(score))
+    rows = placed.withColumns({f"within_{x}": F.sum(x).over(down) for x in ("pos", "neg")}).join(starts, [*by, "range"])
+    return rows.select(*by, score, "pos", "neg", (F.col("before_pos") + F.col("within_pos")).alias("tp"), (F.col("before_neg") + F.col("within_neg")).alias("fp"), "p", "n")
 
 
 def roc(scores: DataFrame, by: list[str] | None = None, target: float = 0.95, **names) -> DataFrame:
@@ -42,18 +55,17 @@ def roc(scores: DataFrame, by: list[str] | None = None, target: float = 0.95, **
     return at.groupBy(*by, "p", "n").agg((area / F.col("p") / F.col("n")).alias("auroc"), (first / F.col("n")).alias("fpr"), (precision / F.col("p")).alias("aupr")).drop("p", "n")
 
 
-def ranked_quality(ranked: DataFrame) -> DataFrame:
-    """q_id, q_label, ap, mrr, hit1, hit5, hit10, purity5, first_rank of each query over its full ranking; null where nothing is relevant."""
-    relevant = hit(F.col("q_label") == F.col("g_label"))
-    seen = F.sum(relevant).over(Window.partitionBy("q_id").orderBy("rank"))
-    rows = ranked.withColumn("rel", relevant).withColumn("seen", seen)
-    first = F.min(F.when(F.col("rel") == 1, F.col("rank")))
-    at = lambda k: F.max(F.when(F.col("rank") <= k, F.col("rel")))
-    out = rows.groupBy("q_id", "q_label").agg(
-        F.avg(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank"))).alias("ap"), (1.0 / first).alias("mrr"), at(1).alias("hit1"), at(5).alias("hit5"), at(10).alias("hit10"),
-        F.avg(F.when(F.col("rank") <= 5, F.col("rel"))).alias("purity5"), first.alias("first_rank"), F.count("*").alias("gallery"),
+def ranked_quality(ranks: DataFrame) -> DataFrame:
+    """q_id, q_label, ap, mrr, hit1, hit5, hit10, purity5, first_rank, gallery of each query over its full ranking, from the ranks of its
+    relevant rows; ap, mrr and first_rank are null where nothing is relevant."""
+    seen = F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))
+    first = F.min("rank")
+    at = lambda k: F.coalesce((first <= k).cast("int"), F.lit(0))
+    five = F.least(F.lit(5), F.max("gallery"))
+    return ranks.withColumn("seen", seen).groupBy("q_id", "q_label").agg(
+        F.avg(F.col("seen") / F.col("rank")).alias("ap"), (1.0 / first).alias("mrr"), at(1).alias("hit1"), at(5).alias("hit5"), at(10).alias("hit10"),
+        (F.count_if(F.col("rank") <= 5) / five).alias("purity5"), first.alias("first_rank"), F.max("gallery").alias("gallery"),
     )
-    return out
 
 
 def average_rank(column: str, by: list[str]) -> Column:

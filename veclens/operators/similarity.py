@@ -19,53 +19,152 @@ from pyspark.sql.window import Window
 BLOCK = 4096
 
 
-def _blocks(df: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
-    parts = max(1, -(-df.count() // block))
-    own = df.withColumn(key, F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
-    return own.groupBy(key).agg(F.collect_list(F.struct("item_id", "label", "vec")).alias(f"{key}_rows")), parts
+#: Rows of a query block, and copies of the gallery that let one of its blocks meet query blocks in several tasks, at most.
+QUERY_BLOCK, COPIES = 1024, 32
 
 
-def matches(queries: DataFrame, gallery: DataFrame, m: int | None = 1, skip_self: bool = False, block: int = BLOCK, raw: bool = False) -> DataFrame:
+def _blocks(df: DataFrame, key: str, block: int, *more: str) -> tuple[DataFrame, int]:
+    parts = max(1, -(-df.count() // block))
+    own = df.withColumn(key, F.pmod(F.xxhash64("item_id", *more), F.lit(parts)).cast("int"))
+    return own.groupBy(key).agg(F.collect_list(F.struct("item_id", "label", "vec", *more)).alias(f"{key}_rows")), parts
+
+
+def _pairs(queries: DataFrame, gallery: DataFrame, block: int, q_more: tuple[str, ...] = (), g_more: tuple[str, ...] = ()) -> DataFrame:
+    """qb, qb_rows, gb_rows of every pair of blocks, dealt out by both: no gallery block meets all queries in one task."""
+    q, q_parts = _blocks(queries, "qb", min(block, QUERY_BLOCK), *q_more)
+    g, parts = _blocks(gallery, "gb", block, *g_more)
+    copies = min(q_parts, COPIES)
+    g = g.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("copy", F.col("qb") % copies).join(g, ["gb", "copy"]).select("qb", "qb_rows", "gb_rows")
+
+
+def _rows(column: pa.Array, i: int, raw: bool, *more: str):
+    """ids, labels, vectors and further fields of a block, in order of ids."""
+    part = column.slice(i, 1).flatten()
+    fields = {n: part.field(n) for n in ("item_id", "label", "vec", *more)}
+    x = fields["vec"].flatten().to_numpy().reshape(len(part), -1)
+    ids = fields["item_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x = x[order] if raw else x[order] / np.maximum(np.linalg.norm(x[order], axis=1, keepdims=True), 1e-12)
+    return ids[order], fields["label"].take(pa.array(order)), x, *(fields[n].take(pa.array(order)) for n in more)
+
+
+def _best(sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's `keep` greatest values, equal ones from the left."""
+    if keep < sims.shape[1]:
+        least = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
+        own, at = np.nonzero(sims >= least[:, None])
+    else:
+        own, at = np.divmod(np.arange(sims.size), sims.shape[1])
+    order = np.lexsort((at, -sims[own, at], own))
+    own, at = own[order], at[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    return own[place < keep], at[place < keep]
+
+
+def matches(queries: DataFrame, gallery: DataFrame, m: int | None = 1, skip_self: bool = False, block: int = BLOCK, raw: bool = False, by: str | None = None) -> DataFrame:
     """q_id, q_label, g_id, g_label, sim, rank: the m nearest gallery rows of each query by cosine, ties by item_id; all of them for None.
 
-    queries, gallery: item_id, label, vec array<double>. skip_self: a query isn't its own neighbour. raw: dot products instead.
+    queries, gallery: item_id, label, vec array<double>. skip_self: a query isn't its own neighbour. raw: dot products instead. by: a
+    column of the gallery; each of its values is a gallery of its own, and comes along.
     """
-    q, _ = _blocks(queries, "qb", block)
-    g, parts = _blocks(gallery, "gb", block)
-    pairs = q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(g, "gb")
-
-    def rows(column: pa.Array, i: int):
-        part = column.slice(i, 1).flatten()
-        ids, labels, vectors = (part.field(n) for n in ("item_id", "label", "vec"))
-        x = vectors.flatten().to_numpy().reshape(len(part), -1)
-        return ids.to_numpy(), labels, x if raw else x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    pairs, more = _pairs(queries, gallery, block, (), (by,) if by else ()), [by] if by else []
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                qi, ql, qx = rows(batch.column("qb_rows"), i)
-                gi, gl, gx = rows(batch.column("gb_rows"), i)
-                order = np.argsort(gi, kind="stable")
-                gi, gl, gx = gi[order], gl.take(pa.array(order)), gx[order]
+                qi, ql, qx = _rows(batch.column("qb_rows"), i, raw)
+                gi, gl, gx, *kind = _rows(batch.column("gb_rows"), i, raw, *more)
+                if kind:
+                    values, which = np.unique(kind[0].to_numpy(zero_copy_only=False), return_inverse=True)
+                    groups = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
+                else:
+                    groups = [np.arange(len(gi))]
                 for k in range(0, len(qi), 512):
-                    sims = qx[k : k + 512] @ gx.T
+                    whole = qx[k : k + 512] @ gx.T
                     if skip_self:
-                        sims[qi[k : k + 512][:, None] == gi[None, :]] = -np.inf
-                    keep = len(gi) if m is None else min(m, len(gi))
-                    at = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-                    n = len(sims)
-                    own, there = np.repeat(np.arange(k, k + n), keep), at.ravel()
-                    s = np.take_along_axis(sims, at, axis=1).ravel()
-                    ok = np.isfinite(s)
-                    own, there, s = own[ok], there[ok], s[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[own]), ql.take(pa.array(own)), pa.array(gi[there]), gl.take(pa.array(there)), pa.array(s)], ["q_id", "q_label", "g_id", "g_label", "sim"])
+                        whole[qi[k : k + 512][:, None] == gi[None, :]] = -np.inf
+                    for group in groups:
+                        sims = whole[:, group] if kind else whole
+                        own, at = _best(sims, len(group) if m is None else min(m, len(group)))
+                        s = sims[own, at]
+                        ok = np.isfinite(s)
+                        own, there, s = own[ok] + k, group[at[ok]], s[ok]
+                        columns = [pa.array(qi[own]), ql.take(pa.array(own)), pa.array(gi[there]), gl.take(pa.array(there)), pa.array(s), *(x.take(pa.array(there)) for x in kind)]
+                        yield pa.RecordBatch.from_arrays(columns, ["q_id", "q_label", "g_id", "g_label", "sim", *more])
 
     kinds = dict(queries.dtypes)
-    found = pairs.select("qb_rows", "gb_rows").mapInArrow(compare, f"q_id {kinds['item_id']}, q_label {kinds['label']}, g_id {kinds['item_id']}, g_label {kinds['label']}, sim double")
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "g_id")))
+    extra = f", {by} {dict(gallery.dtypes)[by]}" if by else ""
+    found = pairs.select("qb_rows", "gb_rows").mapInArrow(compare, f"q_id {kinds['item_id']}, q_label {kinds['label']}, g_id {kinds['item_id']}, g_label {kinds['label']}, sim double{extra}")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", *more).orderBy(F.desc("sim"), "g_id")))
     return found if m is None else found.where(F.col("rank") <= m)
 
 
+def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
+    """q_id, q_label, g_id, rank, gallery: where each gallery row of a query's own label stands in the query's full ranking; a row with null
+    g_id and rank for a query whose label the gallery doesn't have.
+
+    Two passes over the pairs of blocks: the similarities of the relevant rows, then, for each of these, how many rows of each block are
+    nearer, added up in the task. Only relevant rows are ever shuffled.
+    """
+    kinds = dict(queries.dtypes)
+    own = f"q_id {kinds['item_id']}, g_id {kinds['item_id']}"
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (qi, ql, qx), (gi, gl, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
+                ql, gl = (np.array(x.to_pylist(), object) for x in (ql, gl))
+                for k in range(0, len(qi), 512):
+                    sims = qx[k : k + 512] @ gx.T
+                    a, b = np.nonzero(ql[k : k + 512][:, None] == gl[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(sims[a, b])], ["q_id", "g_id", "sim"])
+
+    found = _pairs(queries, gallery, block).mapInArrow(alike, f"{own}, sim double")
+    wanted = found.groupBy(F.col("q_id").alias("item_id")).agg(F.sort_array(F.collect_list(F.struct("g_id", "sim"))).alias("own"))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple] = {}
+
+        def out():
+            for q, g, n in sums.values():
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(g), pa.array(n)], ["q_id", "g_id", "n"])
+            sums.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qi, _, qx, lists = _rows(batch.column("qb_rows"), i, False, "own")
+                gi, _, gx = _rows(batch.column("gb_rows"), i, False)
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ids, given = (lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("g_id", "sim"))
+                n = np.zeros(len(ids), np.int64)
+                for k in range(0, len(qi), 512):
+                    sims = qx[k : k + 512] @ gx.T
+                    for row, j in zip(sims, range(k, k + len(sims)), strict=True):
+                        mine = slice(ends[j], ends[j + 1])
+                        s, g = given[mine], ids[mine]
+                        line = np.sort(row)
+                        above = np.searchsorted(line, s, side="right")
+                        count = len(line) - above
+                        for t in np.flatnonzero(above > np.searchsorted(line, s, side="left")):  # equal ones: those of smaller ids
+                            count[t] += np.count_nonzero((row == s[t]) & (gi < g[t]))
+                        at = np.minimum(np.searchsorted(gi, g), len(gi) - 1)
+                        n[mine] += count - ((gi[at] == g) & (row[at] > s))  # a row is never ahead of itself
+                qb = batch.column("qb")[i].as_py()
+                if qb in sums:
+                    sums[qb][2][:] += n
+                else:
+                    sums[qb] = (np.repeat(qi, np.diff(ends)), ids, n)
+                if sum(len(x[1]) for x in sums.values()) > 1 << 22:
+                    yield from out()
+        yield from out()
+
+    counted = _pairs(queries.join(wanted, "item_id"), gallery, block, ("own",)).mapInArrow(ahead, f"{own}, n long")
+    ranks = counted.groupBy("q_id", "g_id").agg((F.sum("n") + 1).alias("rank"))
+    size = gallery.count()
+    return queries.select(F.col("item_id").alias("q_id"), F.col("label").alias("q_label")).join(ranks, "q_id", "left").withColumn("gallery", F.lit(size).cast("long"))
+
+
 def nearest(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:
     """q_id, q_label, g_id, pred, sim, correct."""
     top = matches(queries, gallery, 1, skip_self)

@@ -18,11 +18,11 @@ from .queries import _ACC, _FULL, WITH, E, _placed, _r, _roles, _sims, centroids
 # ---- names
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' var. ' || lower(split_part(p_type, ' ', 1)) ELSE p_name END AS name FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) || ' var. ' || lower(split_part(p_type, ' ', 1)) ELSE lower(p_name) END AS name FROM part""")
 def strip_authority(spark, sf):
     """Authors after a binomial or a variety go."""
     kind = F.lower(F.split("p_type", " ")[0])
-    full = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" var. "), kind, F.lit(" (l.)"))).otherwise(F.concat("p_name", F.lit(" michx.")))
+    full = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("  Var. "), kind, F.lit(" (L.)"))).otherwise(F.concat("p_name", F.lit("\tMichx.")))
     return tables.read(spark, sf, "part").select("p_partkey", names.without_authority(full).alias("name"))
 
 
@@ -31,8 +31,14 @@ _LOCAL = {"red widget": "ruber artifex", "blue gizmo": "caeruleus artifex"}
 
 @query("""SELECT p_partkey, CASE p_name WHEN 'red widget' THEN 'ruber artifex' WHEN 'blue gizmo' THEN 'caeruleus artifex' ELSE p_name END AS name FROM part""")
 def apply_local_names(spark, sf):
-    pairs = F.create_map(*(F.lit(x) for kv in _LOCAL.items() for x in kv))
-    return tables.read(spark, sf, "part").select("p_partkey", F.coalesce(pairs[F.col("p_name")], F.col("p_name")).alias("name"))
+    return tables.read(spark, sf, "part").select("p_partkey", names.replaced(F.col("p_name"), _LOCAL).alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'grevillea robusta' WHEN 1 THEN 'cinnamomum camphora' ELSE p_name END AS name FROM part""")
+def correct_spelling(spark, sf):
+    kind = F.col("p_partkey") % 3
+    given = F.when(kind == 0, "grevilea robusta").when(kind == 1, "cinnamomum czmphora").otherwise(F.col("p_name"))
+    return tables.read(spark, sf, "part").select("p_partkey", names.replaced(given, names.SPELLING).alias("name"))
 
 
 @query("""SELECT p_partkey, coalesce(d.to_name, p_name) AS name FROM part LEFT JOIN (SELECT p_brand, p_name, min(p_type) AS to_name FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL) d USING (p_brand, p_name)""")
@@ -43,20 +49,14 @@ def dialect_lookup(spark, sf):
     return part.join(own, ["p_brand", "p_name"], "left").select("p_partkey", F.coalesce("to_name", "p_name").alias("name"))
 
 
-@query("""SELECT p_partkey, p_name AS query, 'specimen ' || p_size AS variant FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'quercus robur' WHEN 1 THEN p_name WHEN 2 THEN 'shorea sp' WHEN 3 THEN 'cordia alliodora' WHEN 4 THEN 'grevillea robusta' ELSE 'dab' END AS query,
+CASE WHEN p_partkey % 6 = 2 THEN 'spp.' ELSE '' END AS variant, CASE p_partkey % 6 WHEN 0 THEN 'quercus robur' WHEN 1 THEN p_name WHEN 2 THEN 'shorea sp.' WHEN 3 THEN 'cordia alliodora' WHEN 4 THEN 'grevillea robusta' ELSE 'dab' END AS std FROM part""")
 def preprocess_name(spark, sf):
-    """Standardised, its author gone, its variant apart."""
-    raw = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("_")), F.lit(" "), F.col("p_size").cast("string"))
-    found = names.variant(names.standard_name(raw))
-    return tables.read(spark, sf, "part").withColumn("v", found).select("p_partkey", names.without_authority(F.col("v.query")).alias("query"), "v.variant")
-
-
-@query("""SELECT p_name, brand, count(*) AS n FROM (SELECT p_name, unnest(string_split(brands, ',')) AS brand FROM (SELECT p_name, string_agg(p_brand, ',' ORDER BY p_partkey) AS brands FROM part GROUP BY p_name)) GROUP BY ALL""")
-def expand_folders(spark, sf):
-    """A list kept in one text cell, a row each again."""
-    part = tables.read(spark, sf, "part")
-    lists = part.groupBy("p_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand"))), lambda s: s["p_brand"]), ",").alias("brands"))
-    return lists.select("p_name", F.explode(F.split("brands", ",")).alias("brand")).groupBy("p_name", "brand").agg(F.count("*").alias("n"))
+    """Names as collections write them: marks, numbers, authors, vernacular of one source, local names, misspellings, open names."""
+    kind, key = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    raw = F.when(kind.isin(0, 5), F.concat(key, F.lit("-Dąb"))).when(kind == 1, F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("_")), F.lit(" (L.) "), F.col("p_size").cast("string")))
+    raw = raw.when(kind == 2, F.concat(F.lit("Shorea sp. "), key)).when(kind == 3, F.lit(" Nogal_cafetero\t")).otherwise(F.lit("Grevilea robusta R.Br."))
+    return names.preprocessed(tables.read(spark, sf, "part"), raw, kind == 0).select("p_partkey", "query", "variant", "std")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY ALL""")
@@ -64,13 +64,6 @@ def sorted_exports(spark, sf):
     return tables.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).orderBy("l_returnflag", "l_linestatus")
 
 
-@query("""SELECT count(*) FILTER (l.doc_id IS NULL) AS without_label, count(*) FILTER (d.doc_id IS NULL) AS without_text, count(*) FILTER (l.doc_id = d.doc_id) AS aligned FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
-def aligned_join(spark, sf):
-    """The guard of a positional join: what has no partner on either side."""
-    d, l = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("d")), tables.read(spark, sf, "labels").select(F.col("doc_id").alias("l"))  # noqa: E741
-    return d.join(l, F.col("d") == F.col("l"), "full").agg(F.count_if(F.col("l").isNull()).alias("without_label"), F.count_if(F.col("d").isNull()).alias("without_text"), F.count_if(F.col("d") == F.col("l")).alias("aligned"))
-
-
 @query("""WITH n AS (SELECT p_name AS label, split_part(p_name, ' ', 1) AS grp, bool_or(p_partkey < 5) AS known FROM part GROUP BY p_name), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('42:' || grp || ':' || label)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM n WHERE NOT known),
 s AS (SELECT label, grp, CASE WHEN k <= round_even(0.6::DOUBLE * n, 0) THEN 'train' WHEN k <= round_even(0.6::DOUBLE * n, 0) + round_even(0.1::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM r)
 SELECT label, grp, split FROM s UNION ALL SELECT label, grp, 'test' FROM n WHERE known""")
@@ -90,7 +83,7 @@ def split_meta(spark, sf):
 
 def _ranked(spark, sf) -> DataFrame:
     _, g, q, _ = _roles(spark, sf)
-    return metrics.ranked_quality(similarity.matches(q, g, None))
+    return metrics.ranked_quality(similarity.relevant_ranks(q, g))
 
 
 @query(f"{_FULL} SELECT q_id, round(mrr, 6) AS mrr FROM y WHERE mrr IS NOT NULL")
@@ -170,26 +163,6 @@ def run_summary(spark, sf):
 # ---- scores
 
 
-@query(f"""{_LOGITS}, w AS (SELECT q_id, 1 / (1 + exp(top - 10)) AS w, x FROM t) SELECT q_id, round(w * list_max(x) + (1 - w) * list_avg(x), 6) AS score FROM w""")
-def gate_mix(spark, sf):
-    """Two experts' scores under weights that each query has."""
-    at = logits(spark, sf).withColumn("w", 1 / (1 + F.exp(F.array_max("x") - 10)))
-    mean = F.aggregate("x", F.lit(0.0), lambda s, z: s + z) / F.size("x")
-    return at.select("q_id", _r(F.col("w") * F.array_max("x") + (1 - F.col("w")) * mean, "score"))
-
-
-@query(f"""{_LOGITS}, b AS (SELECT q.label AS q_label, q_id, list_max(x[1:6]) AS old, list_max(x[7:8]) AS new FROM t JOIN q ON q.item_id = q_id), g2 AS (SELECT gamma, avg((old >= new - gamma)::INT) FILTER (q_label <= 5) AS a, avg((old < new - gamma)::INT) FILTER (q_label > 5) AS n FROM b, (SELECT unnest(range(-30, 31, 5)) AS gamma) GROUP BY gamma)
-SELECT gamma, round(sqrt(a * n), 6) AS balance FROM g2""")
-def bias_calibration(spark, sf):
-    """The balance of old and new accuracy for each shift of the new classes' logits: labels 6 and 7 count as new."""
-    _, _, q, _ = _roles(spark, sf)
-    at = logits(spark, sf).select("q_id", F.array_max(F.slice("x", 1, 6)).alias("old"), F.array_max(F.slice("x", 7, 2)).alias("new"))
-    rows = at.join(q.select(F.col("item_id").alias("q_id"), F.col("label").alias("q_label")), "q_id").withColumn("gamma", F.explode(F.sequence(F.lit(-30).cast("long"), F.lit(30).cast("long"), F.lit(5).cast("long"))))
-    stays = F.col("old") >= F.col("new") - F.col("gamma")
-    sides = rows.groupBy("gamma").agg(F.avg(F.when(F.col("q_label") <= 5, stays.cast("int"))).alias("a"), F.avg(F.when(F.col("q_label") > 5, (~stays).cast("int"))).alias("n"))
-    return sides.select("gamma", _r(F.sqrt(F.col("a") * F.col("n")), "balance"))
-
-
 @unchecked
 def rehearsal_head(spark, sf):
     """A linear head on ten exemplars of each old and new label, tested on both."""
@@ -225,21 +198,6 @@ def diverse_subset(spark, sf):
 
 # ---- open-set protocols
 
-_SUITE = f"""WITH {E}, p AS (SELECT * FROM q UNION ALL SELECT * FROM o), {_sims('p')}, z AS (SELECT 'distance' AS baseline, (q_label > 7)::INT AS pos, round(1 - sim, 9) AS score FROM r WHERE rank = 1 UNION ALL SELECT 'knn5', (q_label > 7)::INT, round(1 - sim, 9) FROM r WHERE rank = 5
-UNION ALL SELECT 'mean10', (max(q_label) > 7)::INT, round(1 - avg(sim), 9) FROM r WHERE rank <= 10 GROUP BY q_id), c AS (SELECT baseline, score, sum(pos)::BIGINT AS pos, sum(1 - pos)::BIGINT AS neg FROM z GROUP BY ALL),
-k AS (SELECT *, sum(pos) OVER (PARTITION BY baseline ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY baseline ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY baseline) AS p, sum(neg) OVER (PARTITION BY baseline) AS n FROM c)"""
-
-
-@query(f"{_SUITE} SELECT baseline, round(sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n), 6) AS auroc, round(min(fp) FILTER (tp >= 0.95::DOUBLE * p) / max(n)::DOUBLE, 6) AS fpr FROM k GROUP BY baseline")
-def ood_suite(spark, sf):
-    """Several scores of one table of neighbours, each with its curve."""
-    _, g, q, o = _roles(spark, sf)
-    top = similarity.matches(q.unionByName(o), g, 10).withColumn("positive", F.col("q_label") > 7)
-    one = lambda name, rank: top.where(F.col("rank") == rank).select(F.lit(name).alias("baseline"), "positive", F.round(1 - F.col("sim"), 9).alias("score"))
-    mean = top.groupBy("q_id", "positive").agg(F.round(1 - F.avg("sim"), 9).alias("score")).select(F.lit("mean10").alias("baseline"), "positive", "score")
-    return metrics.roc(one("distance", 1).unionByName(one("knn5", 5)).unionByName(mean), ["baseline"]).select("baseline", _r("auroc"), _r("fpr"))
-
-
 @query(f"""{_BYSOURCE}, z AS (SELECT a.source, b.pos, b.score FROM (SELECT DISTINCT source FROM s0 WHERE pos = 1) a, s0 b WHERE b.pos = 0 OR b.source = a.source), c AS (SELECT source, score, sum(pos)::BIGINT AS pos, sum(1 - pos)::BIGINT AS neg FROM z GROUP BY ALL),
 k AS (SELECT *, sum(neg) OVER (PARTITION BY source ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY source) AS p, sum(neg) OVER (PARTITION BY source) AS n FROM c) SELECT source, round(sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n), 6) AS auroc FROM k GROUP BY source""")
 def ood_by_source(spark, sf):
@@ -252,7 +210,7 @@ def ood_by_source(spark, sf):
 
 
 @query(f"""{_SPACES}, s AS (SELECT q.space, q.item_id, (q.label > 7)::INT AS pos, round(1 - max(list_dot_product(q.v, g.v) / (q.l * g.l)), 9) AS score FROM n q JOIN n g ON q.space = g.space AND g.item_id % 2 = 0 AND g.label <= 7 AND (q.label > 7 OR q.item_id % 2 = 1) WHERE q.space <> 'B' GROUP BY ALL),
-u AS (SELECT space, pos, score, row_number() OVER (PARTITION BY space, pos ORDER BY item_id) AS j, count(*) OVER (PARTITION BY space, pos) AS n FROM s), d AS (SELECT space, pos, b, ('0x' || substr(md5('42:' || pos || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM u, (SELECT unnest(range(30)) AS b)),
+u AS (SELECT space, pos, score, row_number() OVER (PARTITION BY space, pos ORDER BY item_id) AS j, count(*) OVER (PARTITION BY space, pos) AS n FROM s), d AS (SELECT space, pos, b, ('0x' || substr(md5('42:' || pos || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM u, (SELECT unnest(range(2000)) AS b)),
 c AS (SELECT d.space, b, score, sum(u.pos)::BIGINT AS pos, sum(1 - u.pos)::BIGINT AS neg FROM d JOIN u ON d.space = u.space AND d.pos = u.pos AND d.j = u.j GROUP BY ALL), k AS (SELECT *, sum(pos) OVER (PARTITION BY space, b ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY space, b ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY space, b) AS p, sum(neg) OVER (PARTITION BY space, b) AS n FROM c),
 f AS (SELECT space, b, min(fp) FILTER (tp >= 0.95::DOUBLE * p) / max(n)::DOUBLE AS fpr FROM k GROUP BY ALL), x AS (SELECT b, max(fpr) FILTER (space = 'A') - max(fpr) FILTER (space = 'Full') AS d FROM f GROUP BY b)
 SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM x""")
@@ -263,26 +221,13 @@ def bootstrap_fpr_diff(spark, sf):
         if name != "B":
             near = similarity.nearest(tables.id_queries(s).unionByName(tables.ood_queries(s)), tables.gallery(s))
             one = near.select(F.lit(name).alias("space"), "q_id", (F.col("q_label") > 7).cast("int").alias("pos"), F.round(1 - F.col("sim"), 9).alias("score"))
-            drawn = statistics.resampled(one.select("q_id", "pos", "score", "space"), ["pos"], ["q_id"], 30)
+            drawn = statistics.resampled(one.select("q_id", "pos", "score", "space"), ["pos"], ["q_id"], 2000)
             out = drawn if out is None else out.unionByName(drawn)
-    each = out.withColumn("positive", F.col("pos") == 1).withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "w")))
-    wide = metrics.roc(each, ["space", "b"]).groupBy("b").pivot("space", ["A", "Full"]).agg(F.max("fpr"))
+    wide = metrics.roc(out.withColumn("positive", F.col("pos") == 1), ["space", "b"], weight="w").groupBy("b").pivot("space", ["A", "Full"]).agg(F.max("fpr"))
     d = wide.select((F.col("A") - F.col("Full")).alias("d"))
     return d.agg(_r(F.avg("d"), "mean"), _r(F.percentile("d", F.lit(0.025)), "ci_lo"), _r(F.percentile("d", F.lit(0.975)), "ci_hi"))
 
 
-@query(f"""WITH f AS (SELECT vec_id AS item_id, label, vec_id % 3 AS facet, embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS l FROM embeddings),
-r AS (SELECT q.facet AS q_facet, g.facet AS g_facet, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.item_id, g.facet ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank FROM f q JOIN f g ON g.facet <> q.facet),
-a AS (SELECT q_facet <> 0 AS from_other, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL) SELECT from_other, round(avg(x), 6) AS macro FROM a GROUP BY 1""")
-def cross_scale_transfer(spark, sf):
-    """Queries of one facet against galleries of the others."""
-    items = tables.read_embeddings(spark, sf)
-    sims = similarity.matches(items, items, None).where("q_id % 3 <> g_id % 3")
-    place = F.row_number().over(Window.partitionBy("q_id", F.col("g_id") % 3).orderBy(F.desc("sim"), "g_id"))
-    best = sims.withColumn("k", place).where("k = 1").withColumn("pred", F.col("g_label")).withColumn("from_other", F.col("q_id") % 3 != 0)
-    return metrics.macro(best, ["from_other"]).select("from_other", _r("macro"))
-
-
 @query(f"{_GRID}, s AS (SELECT m, tau FROM a ORDER BY round(macro, 9) DESC, (m = 50)::INT + (tau = 0.07::DOUBLE)::INT DESC, m, tau LIMIT 1) SELECT q_label, round(avg((label = q_label)::INT), 6) AS accuracy, count(*) AS n FROM b JOIN s USING (m, tau) WHERE k = 1 GROUP BY q_label")
 def selected_config_eval(spark, sf):
     """The selected setting on every label. It is one row."""
@@ -295,16 +240,6 @@ def selected_config_eval(spark, sf):
     return metrics.per_label(similarity.best_class(c.withColumn("score", F.round("score", 9)))).select("q_label", _r("accuracy"), "n")
 
 
-@query(f"""{WITH}, d AS (SELECT q_label, avg(1 - sim) FILTER (q_label = g_label) AS inside, avg(1 - sim) FILTER (q_label <> g_label) AS outside FROM r GROUP BY q_label), a AS ({_ACC}) SELECT d.q_label, round(inside, 6) AS inside, round(outside, 6) AS outside, round(outside - inside, 6) AS margin, round(accuracy, 6) AS accuracy FROM d JOIN a USING (q_label)""")
-def class_geometry(spark, sf):
-    """Distances inside and outside of each label beside its accuracy."""
-    _, g, q, _ = _roles(spark, sf)
-    sims, same = similarity.matches(q, g, None), F.col("q_label") == F.col("g_label")
-    d = sims.groupBy("q_label").agg(F.avg(F.when(same, 1 - F.col("sim"))).alias("inside"), F.avg(F.when(~same, 1 - F.col("sim"))).alias("outside"))
-    top = sims.where("rank = 1").withColumn("pred", F.col("g_label"))
-    return d.join(metrics.per_label(top), "q_label").select("q_label", _r("inside"), _r("outside"), _r(F.col("outside") - F.col("inside"), "margin"), _r("accuracy"))
-
-
 # ---- further compositions
 
 
@@ -319,31 +254,6 @@ def split_train_65(spark, sf):
     return splits.placed(items, ["label", "source"]).select("item_id", "label", (F.col("place") <= splits.part(0.65, 1)).alias("in_train"))
 
 
-@query(f"""{_SPACES}, d AS (SELECT a.space, a.label AS q_label, a.label = b.label AS same, 1 - list_dot_product(a.v, b.v) / (a.l * b.l) AS d FROM n a JOIN n b ON a.space = b.space AND a.item_id % 2 = 1 AND b.item_id % 2 = 0 AND a.label <= 7 AND b.label <= 7 WHERE a.space = 'Full'),
-m AS (SELECT q_label, avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM d GROUP BY q_label), r AS (SELECT q.space, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
-FROM n q JOIN n g ON q.space = g.space AND q.item_id % 2 = 1 AND g.item_id % 2 = 0 AND q.label <= 7 AND g.label <= 7), a AS (SELECT space, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL),
-w AS (SELECT q_label, max(x) FILTER (space = 'Full') - max(x) FILTER (space = 'A') AS gain FROM a GROUP BY q_label) SELECT q_label, round(margin, 6) AS margin, round(gain, 6) AS gain FROM m LEFT JOIN w USING (q_label)""")
-def geometry_consequence(spark, sf):
-    """How far apart a label's rows lie, beside what the whole space gains it over half of it."""
-    gains = label_table(spark, sf).select("q_label", (F.col("whole") - F.col("a")).alias("gain"))
-    _, g, q, _ = _roles(spark, sf)
-    same = F.col("q_label") == F.col("g_label")
-    d = similarity.matches(q, g, None).groupBy("q_label").agg((F.avg(F.when(~same, 1 - F.col("sim"))) - F.avg(F.when(same, 1 - F.col("sim")))).alias("margin"))
-    return d.join(gains, "q_label", "left").select("q_label", _r("margin"), _r("gain"))
-
-
-@unchecked
-def transfer_wilcoxon(spark, sf):
-    """Accuracy by label between facets, one facet's galleries against the next one's."""
-    items = tables.read_embeddings(spark, sf)
-    sims = similarity.matches(items, items, None).where("q_id % 3 <> g_id % 3").withColumn("facet", F.col("g_id") % 3)
-    place = F.row_number().over(Window.partitionBy("q_id", "facet").orderBy(F.desc("sim"), "g_id"))
-    best = metrics.per_label(sims.withColumn("k", place).where("k = 1").withColumn("pred", F.col("g_label")), ["facet"])
-    wide = best.groupBy("q_label").pivot("facet", [0, 1, 2]).agg(F.max("accuracy")).toDF("q_label", "a", "b", "c")
-    pairs = wide.select(F.lit("0-1").alias("pair"), F.col("a").alias("x"), F.col("b").alias("y")).unionByName(wide.select(F.lit("1-2").alias("pair"), F.col("b").alias("x"), F.col("c").alias("y"))).dropna()
-    return statistics.wilcoxon(pairs, ["pair"], "x", "y").select("pair", "n", _r("statistic"), _r("p_value"))
-
-
 @unchecked
 def claim_table(spark, sf):
     """Each claim with both means, their difference, its test, the step-down p and an interval of the first mean."""

@@ -59,15 +59,6 @@ def attr_code(spark, sf):
     return tables.read(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber", names.code(letter).alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT p_partkey, 512 + p_size * 40 AS w, 400 + p_size * 30 AS h FROM part), z AS (SELECT *, unnest([256, 512, 768, 1024]) AS size FROM s), t AS (SELECT p_partkey, size, (w // size) * (h // size) AS tiles FROM z WHERE size <= w AND size <= h)
-SELECT size, count(*) AS images, sum(tiles)::BIGINT AS tiles FROM t GROUP BY size""")
-def tile_grid(spark, sf):
-    """Whole tiles of each size that fit an image."""
-    images = tables.read(spark, sf, "part").select("p_partkey", (512 + F.col("p_size") * 40).alias("w"), (400 + F.col("p_size") * 30).alias("h"))
-    grid = images.withColumn("size", F.explode(F.array(*map(F.lit, (256, 512, 768, 1024))))).where("size <= w and size <= h")
-    return grid.groupBy("size").agg(F.count("*").alias("images"), F.sum(F.floor(F.col("w") / F.col("size")) * F.floor(F.col("h") / F.col("size"))).alias("tiles"))
-
-
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN l.quality = 1 AND d.doc_id % 2 = 0 THEN 'kept_diverse' WHEN l.quality = 1 THEN 'removed_redundant' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY status""")
 def diverse_status(spark, sf):
     docs, labels = tables.read(spark, sf, "documents").select("doc_id"), tables.read(spark, sf, "labels").select("doc_id", "quality")
@@ -157,26 +148,10 @@ def aupr(spark, sf):
 @query(f"{_FULL} SELECT q_label, round(avg(mrr), 6) AS mrr, round(avg(first_rank), 6) AS mean_first_rank, round(avg(hit10), 6) AS hit10, round(avg(purity5), 6) AS purity5 FROM y GROUP BY q_label")
 def mean_first_rank(spark, sf):
     _, g, q, _ = _roles(spark, sf)
-    y = metrics.ranked_quality(similarity.matches(q, g, None))
+    y = metrics.ranked_quality(similarity.relevant_ranks(q, g))
     return y.groupBy("q_label").agg(_r(F.avg("mrr"), "mrr"), _r(F.avg(F.coalesce("first_rank", F.col("gallery") + 1)), "mean_first_rank"), _r(F.avg("hit10"), "hit10"), _r(F.avg("purity5"), "purity5"))
 
 
-@query(f"""{WITH}, d AS (SELECT q_label = g_label AS same, 1 - sim AS d FROM r), t AS (SELECT quantile_cont(d, 0.05) AS cut FROM d WHERE NOT same) SELECT round(avg((d >= cut)::INT), 6) AS overlap FROM d, t WHERE same""")
-def tail_overlap(spark, sf):
-    """Share of distances between rows of a label that reach the nearest twentieth of those between labels."""
-    _, g, q, _ = _roles(spark, sf)
-    d = similarity.matches(q, g, None).select((F.col("q_label") == F.col("g_label")).alias("same"), (1 - F.col("sim")).alias("d"))
-    cut = d.where("not same").agg(F.percentile("d", F.lit(0.05)).alias("cut"))
-    return d.where("same").crossJoin(F.broadcast(cut)).agg(_r(F.avg(metrics.hit(F.col("d") >= F.col("cut"))), "overlap"))  # one row
-
-
-@query(f"""WITH {E}, s AS (SELECT unnest(v) AS x, unnest(range(1, 65)) AS i FROM g) SELECT i::INT AS pos, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM s GROUP BY i""")
-def covariance(spark, sf):
-    """The diagonal of the gallery's covariance."""
-    _, g, _, _ = _roles(spark, sf)
-    return g.select(F.posexplode("vec").alias("pos", "x")).groupBy((F.col("pos") + 1).alias("pos")).agg(_r(F.avg("x"), "mean"), _r(F.var_pop("x"), "variance"))
-
-
 @query(f"""SELECT rep, label, item_id FROM (SELECT rep, label, vec_id AS item_id, row_number() OVER (PARTITION BY rep, label ORDER BY md5('42:' || rep || ':' || label || ':' || vec_id)) AS k FROM embeddings, (SELECT unnest(range(10)) AS rep)) WHERE k <= 5""")
 def rank_sample(spark, sf):
     return splits.sampled(tables.read_embeddings(spark, sf).select("item_id", "label"), ["label"], 5, 10).select(F.col("rep").cast("long").alias("rep"), "label", "item_id")
@@ -196,14 +171,6 @@ def score_centered_lme(spark, sf):
     return _scores(spark, sf, centre=True, by_size=True).select("q_id", "label", _r("score"))
 
 
-@query(f"""{WITH}, t AS (SELECT q_id, list(sim ORDER BY rank) AS s FROM r WHERE rank <= 50 GROUP BY q_id) SELECT q_id, round(1 - s[1], 6) AS d1, round(1 - list_avg(s[1:5]), 6) AS d5, round(1 - list_avg(s[1:10]), 6) AS d10 FROM t""")
-def density_features(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    t = similarity.matches(q, g, 50).groupBy("q_id")
-    mean = lambda k, name: _r(1 - F.avg(F.when(F.col("rank") <= k, F.col("sim"))), name)
-    return t.agg(mean(1, "d1"), mean(5, "d5"), mean(10, "d10"))
-
-
 @query(f"""{_CENTROIDS.replace("c AS (SELECT label AS", "ce AS (SELECT label AS").replace("FROM c)", "FROM ce)")}, {_sims('q', 'g', 'rg')}{_SCORES.replace("FROM r", "FROM rg")},
 x AS (SELECT q_id, label, exp(score - max(score) OVER (PARTITION BY q_id)) AS w FROM c), s AS (SELECT q_id, label, w / sum(w) OVER (PARTITION BY q_id) AS p FROM x),
 h AS (SELECT a, r.q_id, r.q_label, r.g_label AS label, a * coalesce(p, 0) + (1 - a) * r.sim AS score FROM r LEFT JOIN s ON s.q_id = r.q_id AND s.label = r.g_label, (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS a)),
@@ -246,36 +213,6 @@ def native_classifier(spark, sf):
     return metrics.macro(found).select(_r("macro"), "labels")
 
 
-@unchecked
-def coral_align(spark, sf):
-    """Novel queries whitened by their own covariance and coloured by the gallery's, then their distances to it.
-
-    Covariances are partial sums; only matrices of dimension squared come to the driver.
-    """
-    _, g, q, o = _roles(spark, sf)
-
-    def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.array(vectors.mean_vector(df, [], name="m").first().m)
-        pairs = df.select(F.posexplode("vec").alias("i", "x"), "vec").select("i", "x", F.posexplode("vec").alias("j", "y"))
-        cells = pairs.groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / F.count("*")).alias("m")).collect()
-        gram = np.zeros((len(mean), len(mean)))
-        for c in cells:
-            gram[c.i, c.j] = c.m
-        return mean, gram - np.outer(mean, mean) + 1e-4 * np.eye(len(mean))
-
-    def power(m: np.ndarray, p: float, floor: float) -> np.ndarray:
-        w, u = np.linalg.eigh(m)
-        return u @ np.diag(np.maximum(w, floor) ** p) @ u.T
-
-    (mean_o, cov_o), (mean_g, cov_g) = moments(o), moments(g)
-    turn = power(cov_o, -0.5, 1e-8) @ power(cov_g, 0.5, 0.0)
-    rows = F.array(*(F.array(*map(F.lit, col)) for col in turn.T.tolist()))
-    moved = F.zip_with("vec", F.lit(mean_o.tolist()), lambda x, m: x - m)
-    turned = F.zip_with(F.transform(rows, lambda c: vectors.dot("moved", c)), F.lit(mean_g.tolist()), lambda x, m: x + m)
-    aligned = o.withColumn("moved", moved).withColumn("vec", turned).drop("moved")
-    return similarity.nearest(aligned, g).select("q_id", "g_id", _r("sim"))
-
-
 # ---- selection, ablations and reports
 
 _GRID = f"""{WITH}, t AS (SELECT m, tau, q_id, q_label, g_label, sim, max(sim) OVER (PARTITION BY m, tau, q_id, g_label) AS best FROM r, (SELECT unnest([5, 20, 50]) AS m), (SELECT unnest([0.03, 0.07, 0.2]::DOUBLE[]) AS tau) WHERE rank <= m),
@@ -317,23 +254,6 @@ def centering_ablation(spark, sf):
     return metrics.macro(raw.unionByName(mid), ["mode"]).select("mode", _r("macro"))
 
 
-@query(f"""WITH {E}, p AS (SELECT * FROM n WHERE label IN (0, 1, 8, 9)), f AS (SELECT *, item_id % 3 AS source FROM n), w AS (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || source || ':' || label)) AS k FROM (SELECT DISTINCT source, label FROM f)),
-x AS (SELECT f.*, k <= 3 AS novel FROM f JOIN w USING (source, label)), gg AS (SELECT * FROM x WHERE NOT novel AND item_id % 2 = 0), qq AS (SELECT * FROM x WHERE novel OR item_id % 2 = 1),
-s AS (SELECT qq.source, qq.item_id, qq.novel, round(1 - max(list_dot_product(qq.v, gg.v) / (qq.l * gg.l)), 9) AS score FROM qq JOIN gg USING (source) GROUP BY ALL), c AS (SELECT source, score, sum(novel::INT)::BIGINT AS pos, sum((NOT novel)::INT)::BIGINT AS neg FROM s GROUP BY ALL),
-k AS (SELECT *, sum(neg) OVER (PARTITION BY source ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY source) AS p, sum(neg) OVER (PARTITION BY source) AS n FROM c) SELECT source, round(sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n), 6) AS auroc FROM k GROUP BY source""")
-def ood_within_source(spark, sf):
-    """Three labels of each source count as novel; only the source's own known rows are its gallery."""
-    items = tables.read_embeddings(spark, sf).withColumn("source", F.col("item_id") % 3)
-    order = Window.partitionBy("source").orderBy(tables.shuffled(42, "source", "label"))
-    side = items.select("source", "label").distinct().withColumn("novel", F.row_number().over(order) <= 3)
-    rows = items.join(side, ["source", "label"])
-    g, q = rows.where("not novel and item_id % 2 = 0"), rows.where("novel or item_id % 2 = 1")
-    marks = q.select(F.col("item_id").alias("q_id"), "novel", "source")
-    sims = similarity.matches(q, g, None).join(marks, "q_id").where(F.col("g_id") % 3 == F.col("source"))
-    scores = sims.groupBy("source", "q_id", "novel").agg(F.round(1 - F.max("sim"), 9).alias("score"))
-    return metrics.roc(scores, ["source"], positive="novel").select("source", _r("auroc"))
-
-
 @query(f"""{WITH}, a AS (SELECT q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY q_label), s AS (SELECT a.item_id AS q_id, a.label AS q_label, b.label AS g_label, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) / (a.l * b.l) DESC, b.item_id) AS rank FROM q a, g b WHERE a.label <= 3 AND b.label <= 3),
 b AS (SELECT q_label, avg((q_label = g_label)::INT) AS x FROM s WHERE rank = 1 GROUP BY q_label) SELECT round((SELECT avg(x) FROM a), 6) AS whole, round((SELECT avg(x) FROM b), 6) AS small, (SELECT avg(x) FROM a) < (SELECT avg(x) FROM b) AS ok""")
 def cardinality_check(spark, sf):
@@ -363,12 +283,6 @@ def scope_diagnosis(spark, sf):
     return at.groupBy("scope", "k").agg(_r(F.avg("x"), "recall"))
 
 
-@unchecked
-def figure_series(spark, sf):
-    """The long form behind a chart of accuracies: label, space, accuracy."""
-    return label_table(spark, sf).unpivot("q_label", ["a", "b", "whole"], "space", "accuracy").select("q_label", "space", _r("accuracy"))
-
-
 @unchecked
 def openmax_score(spark, sf):
     """Probability of none of the known labels: each class's Weibull tail of distances from its mean logits revises the top classes."""

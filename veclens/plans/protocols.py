@@ -94,25 +94,6 @@ def soft_retrieval_eval(spark, sf):
     return p.groupBy("q_id").agg(_r(F.max("p"), "confidence"), _r(-F.sum(F.col("p") * F.log("p")), "entropy"))
 
 
-def _mode(score: str, name: str) -> str:
-    return f"SELECT '{name}' AS mode, q_id, q_label, label, {score} AS score FROM c"
-
-
-@query(f"""WITH raw AS ({WITH}{_SCORES}, z AS (SELECT label, count(*) AS n FROM g GROUP BY label) {_mode('score', 'raw')} UNION ALL SELECT 'logmeanexp', q_id, q_label, c.label, score - ln(n) FROM c JOIN z USING (label)),
-mid AS ({_CENTRED}{_SCORES} {_mode('score', 'centered')}), b AS (SELECT *, row_number() OVER (PARTITION BY mode, q_id ORDER BY score DESC, label) AS k FROM (SELECT * FROM raw UNION ALL SELECT * FROM mid)),
-l AS (SELECT mode, q_label, avg((label = q_label)::INT) AS x FROM b WHERE k = 1 GROUP BY ALL) SELECT mode, round(avg(x), 6) AS macro FROM l GROUP BY mode""")
-def memory_mode_ablation(spark, sf):
-    items, g, q, _ = _roles(spark, sf)
-    own = centred(items, g)
-    sizes = g.groupBy("label").agg(F.count("*").alias("n"))
-    raw = similarity.class_scores(similarity.matches(q, g, 50))
-    mid = similarity.class_scores(similarity.matches(tables.id_queries(own), tables.gallery(own), 50))
-    mean = raw.join(sizes, "label").withColumn("score", F.col("score") - F.log("n")).select(*raw.columns)
-    rows = raw.withColumn("mode", F.lit("raw")).unionByName(mid.withColumn("mode", F.lit("centered"))).unionByName(mean.withColumn("mode", F.lit("logmeanexp")))
-    place = F.row_number().over(Window.partitionBy("mode", "q_id").orderBy(F.desc("score"), "label"))
-    return metrics.macro(rows.withColumn("k", place).where("k = 1").withColumnRenamed("label", "pred"), ["mode"]).select("mode", _r("macro"))
-
-
 # ---- spaces, scopes and facets
 
 
@@ -132,30 +113,6 @@ def space_ablation(spark, sf):
     return metrics.macro(out[0].unionByName(out[1]).unionByName(out[2]), ["space"]).select("space", _r("macro"), "labels")
 
 
-@query(f"""WITH f AS (SELECT vec_id AS item_id, label, vec_id % 3 AS facet, embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS l FROM embeddings),
-r AS (SELECT q.facet AS q_facet, g.facet AS g_facet, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.item_id, g.facet ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
-FROM f q JOIN f g ON g.item_id <> q.item_id WHERE q.label IN (SELECT label FROM f x WHERE x.facet = g.facet) ), a AS (SELECT q_facet, g_facet, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL)
-SELECT q_facet, g_facet, round(avg(x), 6) AS macro FROM a GROUP BY ALL""")
-def cross_facet_matrix(spark, sf):
-    items = tables.read_embeddings(spark, sf)
-    facet = lambda c: F.col(c) % 3
-    sims = similarity.matches(items, items, None, skip_self=True).select("*", facet("q_id").alias("q_facet"), facet("g_id").alias("g_facet"))
-    common = items.select(facet("item_id").alias("g_facet"), F.col("label").alias("q_label")).distinct()
-    place = F.row_number().over(Window.partitionBy("q_id", "g_facet").orderBy(F.desc("sim"), "g_id"))
-    best = sims.join(common, ["g_facet", "q_label"], "left_semi").withColumn("k", place).where("k = 1").withColumn("pred", F.col("g_label"))
-    return metrics.macro(best, ["q_facet", "g_facet"]).select("q_facet", "g_facet", _r("macro"))
-
-
-@query(f"""WITH {E}, {_sims()}, d AS (SELECT CASE WHEN q_label = g_label THEN 'same' WHEN q_label // 2 = g_label // 2 THEN 'group' ELSE 'other' END AS kind, 1 - sim AS d FROM r)
-SELECT kind, count(*) AS pairs, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.05), 6) AS low FROM d GROUP BY kind""")
-def geometry_summary(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    group = lambda c: F.floor(F.col(c) / 2)
-    kind = F.when(F.col("q_label") == F.col("g_label"), "same").when(group("q_label") == group("g_label"), "group").otherwise("other")
-    d = similarity.matches(q, g, None).select(kind.alias("kind"), (1 - F.col("sim")).alias("d"))
-    return d.groupBy("kind").agg(F.count("*").alias("pairs"), _r(F.avg("d"), "mean"), _r(F.percentile("d", F.lit(0.05)), "low"))
-
-
 _BYSOURCE = f"WITH {E}, p AS (SELECT * FROM q UNION ALL SELECT * FROM o), {_sims('p')}, s0 AS (SELECT q_id, (q_label > 7)::INT AS pos, 'src' || q_id % 3 AS source, round(1 - sim, 9) AS score FROM r WHERE rank = 1)"
 
 
@@ -180,22 +137,6 @@ def gallery_expansion(spark, sf):
     return metrics.macro(found, ["novel"]).select("novel", _r("macro"), "labels")
 
 
-@query(f"""WITH {E}, refs AS (SELECT * FROM (SELECT e.item_id, e.label, k, rep, row_number() OVER (PARTITION BY rep, label ORDER BY md5('42:' || rep || ':' || label || ':' || item_id)) AS place FROM g e, (SELECT unnest([1, 3, 5, 10]) AS k), (SELECT unnest(range(5)) AS rep)
-) WHERE true), r0 AS (SELECT DISTINCT item_id, label, rep, row_number() OVER (PARTITION BY k, rep, label ORDER BY md5('42:' || rep || ':' || label || ':' || item_id)) AS place, k FROM refs),
-s AS (SELECT k, rep, q.item_id AS q_id, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY k, rep, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank FROM q, r0 JOIN g USING (item_id) WHERE place <= k),
-m AS (SELECT k, rep, avg(x) AS macro FROM (SELECT k, rep, q_label, avg((q_label = g_label)::INT) AS x FROM s WHERE rank = 1 GROUP BY ALL) GROUP BY ALL)
-SELECT k, round(avg(macro), 6) AS mean, round(stddev_samp(macro), 6) AS std, count(*) AS n FROM m GROUP BY k""")
-def gallery_strategies(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    refs = splits.sampled(g.select("item_id", "label"), ["label"], 10, 5)
-    again = F.row_number().over(Window.partitionBy("rep", "label").orderBy(tables.shuffled(42, "rep", "label", "item_id")))
-    draws = refs.withColumn("place", again).withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))).where("place <= k").select("k", "rep", F.col("item_id").alias("g_id"))
-    sims = similarity.matches(q, g, None).drop("rank").join(draws, "g_id")
-    place = F.row_number().over(Window.partitionBy("k", "rep", "q_id").orderBy(F.desc("sim"), "g_id"))
-    m = metrics.macro(sims.withColumn("at", place).where("at = 1").withColumn("pred", F.col("g_label")), ["k", "rep"])
-    return m.groupBy("k").agg(_r(F.avg("macro"), "mean"), _r(F.stddev_samp("macro"), "std"), F.count("*").alias("n"))
-
-
 # ---- pivots, selection and audits
 
 _TWO = f"""{_SPACES}, r AS (SELECT q.space, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
@@ -255,13 +196,6 @@ def split_map_join(spark, sf):
     return part.join(part.groupBy("p_name").agg(F.min("p_brand").alias("split")), "p_name").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s.split, count(*) AS shared FROM (SELECT DISTINCT label, CASE WHEN vec_id % 2 = 0 THEN 'gallery' ELSE 'query' END AS split FROM embeddings) s WHERE label IN (SELECT label FROM embeddings WHERE label > 7) GROUP BY 1""")
-def ood_disjointness(spark, sf):
-    items = tables.read_embeddings(spark, sf)
-    split = F.when(F.col("item_id") % 2 == 0, "gallery").otherwise("query")
-    return items.select("label", split.alias("split")).distinct().join(items.where("label > 7").select("label"), "label", "left_semi").groupBy("split").agg(F.count("*").alias("shared"))
-
-
 # ---- further splits and samplers
 
 
@@ -324,26 +258,13 @@ def pk_sampler(spark, sf):
 # ---- resampling
 
 
-@query("""WITH v AS (SELECT o_orderpriority AS g, o_orderkey, o_totalprice::DOUBLE AS x FROM orders WHERE o_orderkey % 16 = 1), r AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY o_orderkey) AS j, count(*) OVER (PARTITION BY g) AS n FROM v),
-d AS (SELECT g, b, ('0x' || substr(md5('42:' || g || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM r, (SELECT unnest(range(50)) AS b)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN r ON d.g = r.g AND d.j = r.j GROUP BY ALL)
-SELECT g, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS ci_lo, round(quantile_cont(m, 0.975), 3) AS ci_hi FROM m GROUP BY g""".replace(" WHERE o_orderkey % 16 = 1", ""))
+@query("""WITH r AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY part) AS j, count(*) OVER (PARTITION BY g) AS n FROM (SELECT o_orderpriority AS g, o_custkey % 100 AS part, avg(o_totalprice::DOUBLE) AS x FROM orders GROUP BY ALL)),
+d AS (SELECT g, b, ('0x' || substr(md5('42:' || g || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM r, (SELECT unnest(range(1000)) AS b)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN r ON d.g = r.g AND d.j = r.j GROUP BY ALL)
+SELECT g, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS ci_lo, round(quantile_cont(m, 0.975), 3) AS ci_hi FROM m GROUP BY g""")
 def bootstrap_mean_ci(spark, sf):
-    rows = tables.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.col("o_totalprice").cast("double").alias("x"))
-    out = statistics.mean_interval(rows, ["g"], "x", ["o_orderkey"], 50)
-    return out.select("g", *(F.round(c, 3).alias(c) for c in ("mean", "ci_lo", "ci_hi")))
-
-
-@query(f"""{_BYSOURCE}, u AS (SELECT pos, score, row_number() OVER (PARTITION BY pos ORDER BY q_id) AS j, count(*) OVER (PARTITION BY pos) AS n FROM s0),
-d AS (SELECT pos, b, ('0x' || substr(md5('42:' || pos || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM u, (SELECT unnest(range(50)) AS b)), c AS (SELECT b, score, sum(u.pos)::BIGINT AS pos, sum(1 - u.pos)::BIGINT AS neg FROM d JOIN u ON d.pos = u.pos AND d.j = u.j GROUP BY ALL),
-k AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY b) AS p, sum(neg) OVER (PARTITION BY b) AS n FROM c), m AS (SELECT b, sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n) AS a FROM k GROUP BY b)
-SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS ci_lo, round(quantile_cont(a, 0.975), 6) AS ci_hi FROM m""")
-def bootstrap_metric_ci(spark, sf):
-    _, g, q, o = _roles(spark, sf)
-    near = similarity.nearest(q.unionByName(o), g).select("q_id", (F.col("q_label") > 7).cast("int").alias("pos"), F.round(1 - F.col("sim"), 9).alias("score"))
-    drawn = statistics.resampled(near, ["pos"], ["q_id"], 50)
-    each = drawn.withColumn("positive", F.col("pos") == 1).withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "w")))
-    a = metrics.roc(each, ["b"])
-    return a.agg(_r(F.avg("auroc"), "mean"), _r(F.percentile("auroc", F.lit(0.025)), "ci_lo"), _r(F.percentile("auroc", F.lit(0.975)), "ci_hi"))
+    """An interval of a mean over parts, such as labels or repeats: the parts are drawn anew a thousand times."""
+    rows = tables.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 100).alias("part")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("x"))
+    return statistics.mean_interval(rows, ["g"], "x", ["part"], 1000).select("g", *(F.round(c, 3).alias(c) for c in ("mean", "ci_lo", "ci_hi")))
 
 
 @unchecked

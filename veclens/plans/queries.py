@@ -115,16 +115,17 @@ def canonical_label(spark, sf):
 @query("""SELECT p_partkey, trim(regexp_replace(replace(trim(lower(p_partkey || '-' || p_name)), '_', ' '), '^[0-9]+-?', '')) AS std,
 regexp_extract(p_name, '^(\\S+ \\S+)', 1) AS binomial FROM part""".replace("\\\\", "\\"))
 def std_name(spark, sf):
-    raw = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_name"))
+    raw = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.translate("p_name", "eiou", "ęíöů"))
     return tables.read(spark, sf, "part").select("p_partkey", names.standard_name(raw).alias("std"), names.without_authority(F.lower("p_name")).alias("binomial"))
 
 
-@query("""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) || ' spp. ' || p_partkey WHEN p_partkey % 3 = 1 THEN p_name || ' ' || p_partkey ELSE p_name END AS name FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(name, '^(\\S+) (spp?\\.?) ?([0-9]+)$') THEN regexp_extract(name, '^(\\S+)', 1) || ' sp' WHEN regexp_matches(name, ' [0-9]+$') THEN regexp_replace(name, ' [0-9]+$', '') ELSE name END AS query,
-CASE WHEN regexp_matches(name, '^(\\S+) (spp?\\.?) ?([0-9]+)$') THEN regexp_extract(name, '(spp?\\.? ?[0-9]+)$', 1) WHEN regexp_matches(name, ' [0-9]+$') THEN 'specimen ' || regexp_extract(name, '([0-9]+)$', 1) ELSE '' END AS variant FROM v""".replace("\\\\", "\\"))
+@query(r"""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) || ' spp. ' || p_partkey WHEN 1 THEN p_name || ' ' || p_partkey WHEN 2 THEN split_part(p_name, ' ', 1) || ' sp' ELSE p_name END AS name FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN split_part(name, ' ', 1) || ' sp' WHEN regexp_matches(name, '^\w+ \w+ [0-9]+$') THEN regexp_replace(name, ' [0-9]+$', '') ELSE name END AS query,
+CASE WHEN p_partkey % 4 = 0 THEN 'spp. ' || p_partkey WHEN p_partkey % 4 = 2 THEN 'spp.' WHEN regexp_matches(name, '^\w+ \w+ [0-9]+$') THEN 'specimen ' || regexp_extract(name, '([0-9]+)$', 1) ELSE '' END AS variant FROM v""".replace("\\\\", "\\"))
 def handle_variants(spark, sf):
     key = F.col("p_partkey")
-    name = F.when(key % 3 == 0, F.concat(F.substring_index("p_name", " ", 1), F.lit(" spp. "), key.cast("string"))).when(key % 3 == 1, F.concat(F.col("p_name"), F.lit(" "), key.cast("string"))).otherwise(F.col("p_name"))
+    first = F.substring_index("p_name", " ", 1)
+    name = F.when(key % 4 == 0, F.concat(first, F.lit(" spp. "), key.cast("string"))).when(key % 4 == 1, F.concat(F.col("p_name"), F.lit(" "), key.cast("string"))).when(key % 4 == 2, F.concat(first, F.lit(" sp"))).otherwise(F.col("p_name"))
     return tables.read(spark, sf, "part").withColumn("v", names.variant(name)).select("p_partkey", "v.query", "v.variant")
 
 
@@ -371,13 +372,6 @@ def macro_accuracy(spark, sf):
     return metrics.macro(similarity.nearest(q, g)).select(_r("macro"), "labels")
 
 
-@query(f"{WITH} SELECT round(avg((q_label = g_label)::INT), 6) AS micro, round(avg((q_label // 2 = g_label // 2)::INT), 6) AS group_micro, count(*) AS n FROM r WHERE rank = 1")
-def group_level_accuracy(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    group = lambda c: F.floor(F.col(c) / 2)
-    return similarity.nearest(q, g).agg(_r(F.avg(metrics.hit("correct")), "micro"), _r(F.avg(metrics.hit(group("q_label") == group("pred"))), "group_micro"), F.count("*").alias("n"))
-
-
 @query(f"""{WITH}, f AS (SELECT q_id, q_label, min(rank) FILTER (q_label = g_label) AS first FROM r GROUP BY ALL), a AS (SELECT k, q_label, avg((coalesce(first, 1000000) <= k)::INT) AS x FROM f, (SELECT unnest([1, 5, 20, 100]) AS k) GROUP BY ALL)
 SELECT k, round(avg(x), 6) AS recall FROM a GROUP BY k""")
 def recall_at_k_macro(spark, sf):
@@ -387,14 +381,6 @@ def recall_at_k_macro(spark, sf):
     return at.groupBy("k").agg(_r(F.avg("x"), "recall"))
 
 
-@query(f"""{WITH}, w AS (SELECT q_label, g_label AS pred, count(*) AS n, min(q_id) AS example FROM r WHERE rank = 1 AND q_label <> g_label GROUP BY ALL)
-SELECT q_label, pred, n, example FROM w QUALIFY row_number() OVER (PARTITION BY q_label ORDER BY n DESC, pred) <= 5""")
-def confusion_pairs(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    wrong = similarity.nearest(q, g).where("not correct").groupBy("q_label", "pred").agg(F.count("*").alias("n"), F.min("q_id").alias("example"))
-    return wrong.withColumn("k", F.row_number().over(Window.partitionBy("q_label").orderBy(F.desc("n"), "pred"))).where("k <= 5").drop("k")
-
-
 _ROC = """, c AS (SELECT {by} score, sum(pos)::BIGINT AS pos, sum(1 - pos)::BIGINT AS neg FROM z GROUP BY ALL),
 k AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM c)
 SELECT {by} round(sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n), 6) AS auroc, round(min(fp) FILTER (tp >= 0.95::DOUBLE * p) / max(n)::DOUBLE, 6) AS fpr, round(sum(pos * tp / (tp + fp)::DOUBLE) / max(p), 6) AS aupr FROM k {group}"""
@@ -422,14 +408,14 @@ avg(rel) FILTER (rank <= 5) AS purity5, coalesce(min(rank) FILTER (rel = 1), cou
 @query(f"{_FULL} SELECT q_id, round(ap, 6) AS ap, round(mrr, 6) AS mrr, round(purity5, 6) AS purity5, first_rank FROM y")
 def map_query(spark, sf):
     _, g, q, _ = _roles(spark, sf)
-    ranked = metrics.ranked_quality(similarity.matches(q, g, None))
+    ranked = metrics.ranked_quality(similarity.relevant_ranks(q, g))
     return ranked.select("q_id", _r("ap"), _r("mrr"), _r("purity5"), F.coalesce(F.col("first_rank").cast("long"), F.col("gallery") + 1).alias("first_rank"))
 
 
 @query(f"{_FULL} SELECT round(avg(ap), 6) AS map, round(avg(mrr), 6) AS mrr, round(avg(hit1) FILTER (ap IS NOT NULL), 6) AS hit1, round(avg(hit5) FILTER (ap IS NOT NULL), 6) AS hit5, round(avg(hit10) FILTER (ap IS NOT NULL), 6) AS hit10, round(avg(purity5), 6) AS purity5, round(avg(first_rank), 6) AS mean_first_rank FROM y")
 def retrieval_quality(spark, sf):
     _, g, q, _ = _roles(spark, sf)
-    y = metrics.ranked_quality(similarity.matches(q, g, None))
+    y = metrics.ranked_quality(similarity.relevant_ranks(q, g))
     some = lambda c: _r(F.avg(F.when(F.col("ap").isNotNull(), F.col(c))), c)
     return y.agg(_r(F.avg("ap"), "map"), _r(F.avg("mrr"), "mrr"), some("hit1"), some("hit5"), some("hit10"), _r(F.avg("purity5"), "purity5"), _r(F.avg(F.coalesce("first_rank", F.col("gallery") + 1)), "mean_first_rank"))
 
@@ -458,16 +444,6 @@ def holm_adjust(spark, sf):
     return metrics.holm(rows, ["claim"]).select("claim", "pair", _r("p_holm"))
 
 
-@query(f"""{WITH}, s AS (SELECT sim AS evidence, (q_label = g_label)::INT AS ok FROM r WHERE rank = 1), t AS (SELECT unnest(list_distinct(list_transform([min(evidence), quantile_cont(evidence, 0.25), quantile_cont(evidence, 0.5), quantile_cont(evidence, 0.75), quantile_cont(evidence, 0.9)], lambda x: round(x, 9)))) AS threshold FROM s)
-SELECT round(threshold, 6) AS threshold, count(*) FILTER (evidence >= threshold - 1e-8) AS kept, round(avg(ok) FILTER (evidence >= threshold - 1e-8), 6) AS accuracy FROM s, t GROUP BY t.threshold""")
-def operating_points(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    s = similarity.nearest(q, g).select(F.col("sim").alias("evidence"), metrics.hit("correct").alias("ok"))
-    points = s.agg(F.percentile("evidence", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 0.9)))).alias("t")).select(F.explode(F.array_distinct(F.transform("t", lambda x: F.round(x, 9)))).alias("threshold"))
-    on = F.col("evidence") >= F.col("threshold") - 1e-8
-    return s.crossJoin(F.broadcast(points)).groupBy("threshold").agg(F.count_if(on).alias("kept"), _r(F.avg(F.when(on, F.col("ok"))), "accuracy")).withColumn("threshold", F.round("threshold", 6))  # five thresholds
-
-
 @query(f"{WITH} SELECT q_label, n, round(accuracy, 6) AS accuracy FROM ({_ACC}) ORDER BY accuracy, q_label LIMIT 5")
 def hard_labels(spark, sf):
     _, g, q, _ = _roles(spark, sf)
@@ -548,33 +524,3 @@ def split_summary(spark, sf):
     rows = split_80_20(spark, sf)
     total = Window.partitionBy(F.lit(0))  # a row a split
     return rows.groupBy("split").agg(F.count("*").alias("items"), F.countDistinct("label").alias("labels")).withColumn("pct", F.round(100.0 * F.col("items") / F.sum("items").over(total), 6))
-
-
-# ---- protocols
-
-_REFS = """refs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep, label ORDER BY md5('42:' || rep || ':' || label || ':' || item_id)) AS place FROM o_pool, (SELECT unnest(range(5)) AS rep)) WHERE place <= {k})"""
-
-
-@query(f"""WITH {E}, {_sims('q', 'g', 'r')}, x AS (SELECT scope, q_label, avg((q_label = g_label)::INT) AS a FROM (SELECT 'full' AS scope, * FROM r WHERE rank = 1 UNION ALL SELECT 'id_only', * FROM (
-SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, g_id) AS rank FROM r WHERE q_label <= 3 AND g_label <= 3) WHERE rank = 1) GROUP BY ALL) SELECT scope, count(*) AS labels, round(avg(a), 6) AS macro FROM x GROUP BY scope""")
-def headline(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    full = similarity.nearest(q, g).withColumn("scope", F.lit("full"))
-    few = similarity.nearest(q.where("label <= 3"), g.where("label <= 3")).withColumn("scope", F.lit("id_only"))
-    return metrics.macro(full.unionByName(few), ["scope"]).select("scope", "labels", _r("macro"))
-
-
-@query(f"""WITH {E}, o_pool AS (SELECT * FROM o WHERE item_id % 2 = 0), o_query AS (SELECT * FROM o WHERE item_id % 2 = 1), {_REFS.format(k=5)},
-s AS (SELECT rep, a.item_id AS q_id, a.label AS q_label, b.label AS g_label, row_number() OVER (PARTITION BY rep, a.item_id ORDER BY list_dot_product(a.v, b.v) / (a.l * b.l) DESC, b.item_id) AS rank FROM o_query a, refs b),
-m AS (SELECT rep, avg(x) AS macro FROM (SELECT rep, q_label, avg((q_label = g_label)::INT) AS x FROM s WHERE rank = 1 GROUP BY ALL) GROUP BY rep)
-SELECT round(avg(macro), 6) AS mean, round(coalesce(stddev_samp(macro), 0), 6) AS std, round(min(macro), 6) AS least, round(max(macro), 6) AS most, count(*) AS n FROM m""")
-def kshot_openset(spark, sf):
-    *_, o = _roles(spark, sf)
-    pool, queries = o.where("item_id % 2 = 0"), o.where("item_id % 2 = 1")
-    refs = splits.sampled(pool.select("item_id", "label"), ["label"], 5, 5).select("rep", F.col("item_id").alias("g_id"))
-    # one table of similarities serves all draws: each draw is a filter of it
-    sims = similarity.matches(queries, pool, None).drop("rank").join(refs, "g_id")
-    place = F.row_number().over(Window.partitionBy("rep", "q_id").orderBy(F.desc("sim"), "g_id"))
-    top = sims.withColumn("k", place).where("k = 1").withColumn("pred", F.col("g_label"))
-    m = metrics.macro(top, ["rep"])
-    return m.agg(_r(F.avg("macro"), "mean"), _r(F.coalesce(F.stddev_samp("macro"), F.lit(0.0)), "std"), _r(F.min("macro"), "least"), _r(F.max("macro"), "most"), F.count("*").alias("n"))
