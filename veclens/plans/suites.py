@@ -305,7 +305,7 @@ tb AS (SELECT *, max(sim) OVER (PARTITION BY size, centre, q_id, g_label) AS bes
 ct AS (SELECT size, label, count(*) AS n FROM gv GROUP BY ALL), pm AS (SELECT size, centre, label, list(m ORDER BY i) AS v FROM (SELECT size, centre, label, i, avg(x) AS m FROM (SELECT size, centre, label, unnest(list_transform(v, lambda x: x / l)) AS x, unnest(range(1, 65)) AS i FROM vl WHERE side = 'g') GROUP BY ALL) GROUP BY ALL),
 ps AS (SELECT a.size, a.centre, a.item_id AS q_id, a.label AS q_label, pm.label, list_dot_product(a.v, pm.v) / (a.l * greatest(sqrt(list_dot_product(pm.v, pm.v)), 1e-12)) / 0.07::DOUBLE AS p FROM vl a JOIN pm ON a.side = 'q' AND a.size = pm.size AND a.centre = pm.centre),
 am AS (SELECT CASE centre WHEN 'raw' THEN 'raw' ELSE 'centered' END AS mode, size, q_id, q_label, label, score FROM ss UNION ALL SELECT CASE centre WHEN 'raw' THEN 'logmeanexp' ELSE 'centered_logmeanexp' END, size, q_id, q_label, ss.label, score - ln(n) FROM ss JOIN ct USING (size, label) UNION ALL
-SELECT CASE centre WHEN 'raw' THEN 'prototype_mix' ELSE 'centered_prototype_mix' END, ps.size, ps.q_id, ps.q_label, ps.label, 0.5::DOUBLE * coalesce(score, p) + 0.5::DOUBLE * p FROM ps LEFT JOIN ss ON ss.size = ps.size AND ss.centre = ps.centre AND ss.q_id = ps.q_id AND ss.label = ps.label),
+SELECT CASE ps.centre WHEN 'raw' THEN 'prototype_mix' ELSE 'centered_prototype_mix' END, ps.size, ps.q_id, ps.q_label, ps.label, 0.5::DOUBLE * coalesce(score, p) + 0.5::DOUBLE * p FROM ps LEFT JOIN ss ON ss.size = ps.size AND ss.centre = ps.centre AND ss.q_id = ps.q_id AND ss.label = ps.label),
 bs AS (SELECT mode, size, q_id, q_label, label FROM am QUALIFY row_number() OVER (PARTITION BY mode, size, q_id ORDER BY round(score, 9) DESC, label) = 1), ac AS (SELECT mode, size, q_label, avg((label = q_label)::INT) AS x FROM bs GROUP BY ALL)"""
 
 
