@@ -117,7 +117,7 @@ def test_mixed_takes_repeated_rows_once_each(spark):
     out = mixing.mixed(docs, block_words=2, shard_blocks=2).collect()
     draws = mixing.draws(docs, block_words=2, shard_blocks=2, by_text=True).collect()
     want = {s: sum(r.words for r in draws if r.source == s) for s in ("x", "y", None)}
-    assert {s: sum(r.mix_words for r in out if r.source == s) for s in want} == want and want["x"] == 12
+    assert {s: sum(r.mix_words for r in out if r.source == s) for s in want} == want and want["x"] == 13
     per = Counter()
     for r in out:
         per[(r.doc_id, r.text)] += r.mix_words
