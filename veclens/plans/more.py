@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -281,30 +280,3 @@ def scope_diagnosis(spark, sf):
     first = full.unionByName(few).groupBy("scope", "q_id", "q_label").agg(F.min(F.when(F.col("q_label") == F.col("g_label"), F.col("rank"))).alias("first"))
     at = first.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 20))))).groupBy("scope", "k", "q_label").agg(F.avg(metrics.hit(F.coalesce("first", F.lit(1_000_000)) <= F.col("k"))).alias("x"))
     return at.groupBy("scope", "k").agg(_r(F.avg("x"), "recall"))
-
-
-@unchecked
-def openmax_score(spark, sf):
-    """Probability of none of the known labels: each class's Weibull tail of distances from its mean logits revises the top classes."""
-    import pandas as pd
-
-    _, g, q, _ = _roles(spark, sf)
-    means = centroids(g)
-    own = similarity.matches(g, means, None).where("q_label = g_label").select("q_label", (1 - F.col("sim")).alias("d"))
-    place = F.row_number().over(Window.partitionBy("q_label").orderBy(F.desc("d")))
-    tails = own.withColumn("k", place).where("k <= 20").select("q_label", "d")
-
-    def weibull(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, shape = np.maximum(pdf["d"].to_numpy(float), 1e-9), 1.0
-        for _ in range(60):  # the likelihood's own equation for the shape
-            p = x**shape
-            shape = 1 / max((p * np.log(x)).sum() / p.sum() - np.log(x).mean(), 1e-6)
-        return pd.DataFrame({"label": [int(pdf["q_label"].iloc[0])], "shape": [shape], "scale": [float((x**shape).mean() ** (1 / shape))]})
-
-    fits = tails.groupBy("q_label").applyInPandas(weibull, "label long, shape double, scale double")
-    grid_ = similarity.matches(q, means, None).withColumn("label", F.col("g_label").cast("long")).join(fits, "label")
-    alpha = 5
-    weight = F.greatest(F.lit(0.0), F.lit(alpha + 1) - F.col("rank")) / alpha
-    revised = grid_.withColumn("w", 1 - weight * (1 - F.exp(-F.pow((1 - F.col("sim")) / F.col("scale"), "shape")))).withColumn("z", F.col("sim") / TAU)
-    sums = revised.groupBy("q_id", "q_label").agg(F.sum(F.exp(F.col("z") * F.col("w"))).alias("known"), F.exp(F.sum(F.col("z") * (1 - F.col("w")))).alias("none"))
-    return sums.select("q_id", "q_label", _r(F.col("none") / (F.col("known") + F.col("none")), "unknown"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, vectors
-from ..operators import metrics, similarity, splits
+from ..operators import metrics, openset, similarity, splits
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,7 +272,7 @@ c AS (SELECT label AS item_id, label, list(m ORDER BY i) AS v FROM m GROUP BY la
 
 def centroids(g: DataFrame) -> DataFrame:
     """A row of item_id, label, vec for each label: the mean of its unit vectors."""
-    return vectors.mean_vector(vectors.scaled(g), ["label"]).select(F.col("label").cast("long").alias("item_id"), "label", "vec")
+    return openset.class_means(g)
 
 
 @query(f"{_CENTROIDS} SELECT q_id, q_label, g_label AS pred, round(sim, 6) AS sim FROM r WHERE rank = 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
-from ..operators import geometry, metrics, similarity, splits, statistics
+from ..operators import geometry, metrics, openset, similarity, splits, statistics
 from ..sources import tables
 from .inventory import mixed_of
 from .protocols import _BYSOURCE, _SPACES, _TWO, TAU, label_table, logits, spaces, split_within_source, unchecked
@@ -136,6 +136,37 @@ def bootstrap_metric_ci(spark, sf):
     return metric_intervals(near, ["baseline"]).drop("baseline")
 
 
+def novel_validation(o: DataFrame, share: float = 0.2) -> DataFrame:
+    """label, val: which novel labels choices are made on; a row a label."""
+    labels = o.select("label").distinct().withColumn("one", F.lit(0))
+    own = Window.partitionBy("one")
+    return labels.select("label", (F.row_number().over(own.orderBy(tables.shuffled(42, "label"))) <= F.greatest(F.lit(1), F.floor(share * F.count("*").over(own)))).alias("val"))
+
+
+def _openmax(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Scores of known and novel queries at every alpha, and the one alpha of the greatest AUROC on known rows and validation labels."""
+    _, g, q, o = _roles(spark, sf)
+    scores = openset.openmax(q.unionByName(o), g, TAU).withColumn("unknown", F.round("unknown", 9)).join(novel_validation(o).withColumnRenamed("label", "q_label"), "q_label", "left")
+    scores = scores.withColumn("pos", (F.col("q_label") > tables.LAST_KNOWN).cast("int"))
+    tried = metrics.roc(scores.where("coalesce(val, true)").select("alpha", (F.col("pos") == 1).alias("positive"), F.col("unknown").alias("score")), ["alpha"])
+    return scores, tried.orderBy(F.desc(F.round("auroc", 9)), "alpha").limit(1).select("alpha")
+
+
+@unchecked
+def openmax_score(spark, sf):
+    """The probability of none of the known labels, of known and novel queries, at the alpha that validation labels choose."""
+    scores, best = _openmax(spark, sf)
+    return scores.join(F.broadcast(best), "alpha").select("q_id", "q_label", "alpha", _r("unknown"))  # one row
+
+
+@unchecked
+def openmax_intervals(spark, sf):
+    """The chosen alpha on known rows and the novel labels that didn't choose it, with intervals: the suite's row of this score."""
+    scores, best = _openmax(spark, sf)
+    tested = scores.join(F.broadcast(best), "alpha").where("not coalesce(val, false)").select(F.lit("openmax").alias("baseline"), F.col("alpha").cast("long").alias("k"), "q_id", "pos", F.col("unknown").alias("score"))
+    return metric_intervals(tested, ["baseline", "k"])
+
+
 _NEIGHBOURS = (1, 5, 10, 20, 50)
 
 
@@ -151,9 +182,7 @@ def ood_suite(spark, sf):
     """Scores of novelty side by side, tested on novel labels that the choice of the k-th neighbour didn't see, each with its intervals."""
     items, g, q, o = _roles(spark, sf)
     p = q.unionByName(o)
-    labels = o.select("label").distinct().withColumn("one", F.lit(0))  # a row a label
-    n = F.count("*").over(Window.partitionBy("one"))
-    val = labels.select("label", (F.row_number().over(Window.partitionBy("one").orderBy(tables.shuffled(42, "label"))) <= F.greatest(F.lit(1), F.floor(0.2 * n))).alias("val"))
+    val = novel_validation(o)
     sims = similarity.matches(p, centroids(g), None).select("q_id", "q_label", "g_id", "sim")
     x = sims.groupBy("q_id", "q_label").agg(F.transform(F.sort_array(F.collect_list(F.struct("g_id", "sim"))), lambda s: s["sim"] / TAU).alias("x"))
     top = similarity.matches(p, g, max(_NEIGHBOURS))
