@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import names, vectors
 from ..operators import metrics, openset, similarity, splits, statistics
 from ..sources import tables
-from .more import _GRID, _ood, grid
+from .more import _BEST, _GRID, SETTING, _ood, best_first, grid, grid_predictions
 from .protocols import _BYSOURCE, _LOGITS, _SPACES, _TWO, label_table, logits, spaces, unchecked
 from .queries import _ACC, _FULL, WITH, E, _placed, _r, _roles, _sims, centroids, query
 
@@ -243,16 +243,12 @@ def bootstrap_fpr_diff(spark, sf):
     return d.agg(_r(F.avg("d"), "mean"), _r(F.percentile("d", F.lit(0.025)), "ci_lo"), _r(F.percentile("d", F.lit(0.975)), "ci_hi"))
 
 
-@query(f"{_GRID}, s AS (SELECT m, tau FROM a ORDER BY round(macro, 9) DESC, (m = 50)::INT + (tau = 0.07::DOUBLE)::INT DESC, m, tau LIMIT 1) SELECT q_label, round(avg((label = q_label)::INT), 6) AS accuracy, count(*) AS n FROM b JOIN s USING (m, tau) WHERE k = 1 GROUP BY q_label")
+@query(f"{_GRID}, s AS (SELECT mode, m, tau FROM a ORDER BY {_BEST} LIMIT 1) SELECT q_label, round(avg((label = q_label)::INT), 6) AS accuracy, count(*) AS n FROM b JOIN s USING (mode, m, tau) JOIN vs USING (q_id) WHERE k = 1 AND NOT val GROUP BY q_label")
 def selected_config_eval(spark, sf):
-    """The selected setting on every label. It is one row."""
-    usual = (F.col("m") == 50).cast("int") + (F.col("tau") == 0.07).cast("int")
-    best = grid(spark, sf).orderBy(F.desc(F.round("macro", 9)), F.desc(usual), "m", "tau").limit(1).select("m", "tau")
-    _, g, q, _ = _roles(spark, sf)
-    rows = similarity.matches(q, g, 50).crossJoin(F.broadcast(best)).where("rank <= m")
-    rows = rows.withColumn("top", F.max("sim").over(Window.partitionBy("q_id", "g_label")))
-    c = rows.groupBy("q_id", "q_label", F.col("g_label").alias("label"), "tau").agg((F.max("top") / F.col("tau") + F.log(F.sum(F.exp((F.col("sim") - F.col("top")) / F.col("tau"))))).alias("score"))
-    return metrics.per_label(similarity.best_class(c.withColumn("score", F.round("score", 9)))).select("q_label", _r("accuracy"), "n")
+    """The selected setting on every label's queries that didn't select it. The setting is one row."""
+    best = grid(spark, sf).orderBy(*best_first()).limit(1).select(*SETTING)
+    rows = grid_predictions(spark, sf).where("not val").join(F.broadcast(best), SETTING)
+    return metrics.per_label(rows).select("q_label", _r("accuracy"), "n")
 
 
 # ---- further compositions
