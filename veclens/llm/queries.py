@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm_score, mixing, quality, secrets, simhash, substring, tokens, toxicity
+from . import decontam, langid, lm_score, mixing, quality, secrets, simhash, substring, tokens, toxicity, variants, whitening
 from .common import held_out, table
 
 
@@ -55,6 +55,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "failed_bits", "base_failed", "kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
 
@@ -111,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
     "quality_ablation": quality_ablation,
 }
 ORACLES: dict[str, str] = {"op5_substrings": SUBSTRING_SQL, "op10_quality": QUALITY_SQL, "quality_ablation": ABLATION_SQL}

@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
 _KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)  # the low i bytes of eight
 
 
@@ -56,8 +58,16 @@ def trimmed(w: Words) -> Words:
     return Words(w.data, start, end, w.first, w.last)
 
 
-def tokenise(column: pa.Array, lower: bool = False) -> Words:
-    """Words of a string column; a null text has none. lower: A-Z as a-z."""
+def column_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches data[start:end] as a binary column."""
+    size = end - start
+    at = np.r_[0, np.cumsum(size)].astype(np.int64)
+    body = data[np.repeat(start - at[:-1], size) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+
+
+def tokenise(column: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """Words of a string column; a null text has none. lower: A-Z as a-z. letters: maximal runs of A-Z, a-z and U+00C0 to U+00FF instead."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()) if len(column) else pa.array([], pa.large_binary())
     if column.null_count:
@@ -66,7 +76,10 @@ def tokenise(column: pa.Array, lower: bool = False) -> Words:
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     raw, offsets = (_LOWER[raw] if lower else raw), offsets - offsets[0]
-    solid = np.r_[False, ~_SPACE[raw], False]
+    inside = _LETTER[raw] if letters else ~_SPACE[raw]
+    if letters:  # what begins with the byte C3 is U+00C0 to U+00FF
+        inside[1:] |= raw[:-1] == 0xC3
+    solid = np.r_[False, inside, False]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True  # a word never goes from one text into the next
     start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
