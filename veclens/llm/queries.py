@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm_score, mixing, quality, secrets, simhash, substring, tokens, toxicity, variants, whitening
-from .common import held_out, table
+from . import decontam, langid, lm_score, mixing, quality, secrets, simhash, substring, token_store, tokens, toxicity, variants, whitening
+from .common import held_out, shared_dir, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "failed_bits", "base_failed", "kept")
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/veclens-ids-{uuid.uuid4().hex}"
+    token_store.write_ids(docs, path)
+    return token_store.fetch(docs, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_token_ids": op11_token_ids,
     "op12_whitening": op12_whitening,
     "op13_spelling": op13_spelling,
     "quality_ablation": quality_ablation,
