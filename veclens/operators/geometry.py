@@ -6,31 +6,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.tables import shuffled
+from . import sampling
 
 #: Queries, rows of the own label, and rows of other labels that a label is compared with at most.
 QUERIES, SAME, OTHER = 40, 80, 160
 
 
 def _first(df: DataFrame, by: list[str], k: int) -> DataFrame:
-    return df.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("at") <= k).drop("at")
+    return sampling.least(df, by, k).drop("place")
 
 
 def distances(queries: DataFrame, gallery: DataFrame, group: Column, most: tuple[int, int, int] = (QUERIES, SAME, OTHER)) -> DataFrame:
     """label, kind, d: cosine distances, to six places, from a label's sampled queries to sampled rows of its own label (same), of others of
     its group (group) and of other groups (other). queries, gallery: item_id, label, vec; group: the group of a label.
 
-    No more than 40 * (80 + 160 + 160) rows a label. Rows of other groups come from one pool: the first OTHER rows of each group in the
-    seeded order, and of those the first 2 * OTHER, which hold the first OTHER outside of any one group.
+    No more than 40 * (80 + 160 + 160) rows a label, and only sampled rows are ever moved. Of a group's rows, OTHER of each label at most,
+    the first 2 * OTHER in the seeded order hold the first OTHER outside of any one label, and so they do for groups and all rows.
     """
     h = shuffled(42, "label", "item_id").alias("h")
     q, g = (df.select("item_id", "label", "vec", group.alias("grp"), h) for df in (queries, gallery))
     asked = _first(q, ["label"], most[0])
     labels = asked.select(F.col("label").alias("own"), F.col("grp").alias("own_grp")).distinct()
     same = _first(g, ["label"], most[1]).withColumn("own", F.col("label"))
-    near = _first(g.join(labels, F.col("grp") == F.col("own_grp")).where("label <> own"), ["own"], most[2])
+    pools = _first(_first(g, ["grp", "label"], most[2]), ["grp"], 2 * most[2])
+    near = _first(pools.join(labels, F.col("grp") == F.col("own_grp")).where("label <> own"), ["own"], most[2])
     pool = _first(g, ["grp"], most[2]).orderBy("h").limit(2 * most[2])
     far = _first(labels.crossJoin(F.broadcast(pool)).where("grp <> own_grp"), ["own"], most[2])  # at most 320 rows
     sides = [df.select(F.col("own").alias("label"), F.lit(kind).alias("kind"), "vec") for df, kind in ((same, "same"), (near, "group"), (far, "other"))]

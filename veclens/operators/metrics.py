@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import staged
+
 
 def hit(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("int")
@@ -20,22 +25,33 @@ def macro(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_label(preds, by).groupBy(*(by or [])).agg(F.avg("accuracy").alias("macro"), F.count("*").alias("labels"))
 
 
-#: Ranges of scores that are accumulated apart where nothing else divides them.
-RANGES = 256
+#: Ranges of scores that are accumulated apart, in each group; more where a range would have too many rows.
+RANGES = 64
+
+
+def in_ranges(rows: DataFrame, by: list[str], score: str, most: int | None = None) -> DataFrame:
+    """rows with `range`, from 0: the approximate quantiles of their group's scores that are less than theirs, so that equal scores are in one
+    range and no outlier widens one. most: rows of a range, about, which may make more ranges of the greatest group."""
+    ranges = RANGES
+    if most:
+        ranges = max(RANGES, math.ceil(rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) // most)
+    cuts = F.percentile_approx(score, [i / ranges for i in range(1, ranges)], F.lit(20 * ranges)).alias("cuts")
+    ends = rows.groupBy(*by).agg(cuts)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by)) if by else None
+    whole = rows.join(ends.select(*(F.col(c).alias(f"{c}_of") for c in by), "cuts"), same) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    return whole.select(*rows.columns, F.coalesce(F.size(F.filter("cuts", lambda e: e < F.col(score))), F.lit(0)).alias("range"))
 
 
 def steps(scores: DataFrame, by: list[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
     """by, score, tp, fp, p, n: the ROC curve, a point for each distinct score, highest first.
 
-    Raw rows are first counted by score, so the window that accumulates them sees distinct scores only, and only those of one of RANGES
-    equal ranges of the group's scores; a window over the ranges' sums tells where each begins. weight: how often a row counts.
+    Raw rows are first counted by score, and the counts written once, so that what the scores come from runs once. The window that
+    accumulates them sees those of one range of the group's scores only; a window over the ranges' sums tells where each begins. weight:
+    how often a row counts.
     """
     times = F.col(weight) if weight else F.lit(1)
-    counts = scores.groupBy(*by, score).agg(F.sum(times * hit(positive)).alias("pos"), F.sum(times * (1 - hit(positive))).alias("neg"))
-    ends = counts.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    whole = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))  # one row
-    width = F.greatest((F.col("hi") - F.col("lo")) / RANGES, F.lit(1e-300))
-    placed = whole.withColumn("range", F.coalesce(F.floor((F.col(score) - F.col("lo")) / width), F.lit(0)))
+    counts = staged(scores.groupBy(*by, score).agg(F.sum(times * hit(positive)).alias("pos"), F.sum(times * (1 - hit(positive))).alias("neg")), "steps")
+    placed = in_ranges(counts, by, score)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     over = group.orderBy(F.desc("range"))
     starts = placed.groupBy(*by, "range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))

@@ -8,10 +8,11 @@ whole, and both grow by more blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,19 +24,49 @@ BLOCK = 4096
 QUERY_BLOCK, COPIES = 1024, 32
 
 
-def _blocks(df: DataFrame, key: str, block: int, *more: str) -> tuple[DataFrame, int]:
-    parts = max(1, -(-df.count() // block))
-    own = df.withColumn(key, F.pmod(F.xxhash64("item_id", *more), F.lit(parts)).cast("int"))
-    return own.groupBy(key).agg(F.collect_list(F.struct("item_id", "label", "vec", *more)).alias(f"{key}_rows")), parts
+def sizes(*tables: DataFrame) -> list[int]:
+    """How many rows each table has, counted in one job."""
+    marked = [t.select(F.lit(i).alias("t")) for i, t in enumerate(tables)]
+    found = {r.t: r["count"] for r in reduce(DataFrame.unionByName, marked).groupBy("t").count().collect()}
+    return [found.get(i, 0) for i in range(len(tables))]
 
 
-def _pairs(queries: DataFrame, gallery: DataFrame, block: int, q_more: tuple[str, ...] = (), g_more: tuple[str, ...] = ()) -> DataFrame:
-    """qb, qb_rows, gb_rows of every pair of blocks, dealt out by both: no gallery block meets all queries in one task."""
-    q, q_parts = _blocks(queries, "qb", min(block, QUERY_BLOCK), *q_more)
-    g, parts = _blocks(gallery, "gb", block, *g_more)
+def _parts(size: int, block: int) -> int:
+    return max(1, -(-size // block))
+
+
+def _blocks(df: DataFrame, key: str, parts: Column, *more: str, within: str | None = None) -> DataFrame:
+    """within, key, key_rows: the rows in `parts` blocks, as many for each value of `within`."""
+    own = df.withColumn(key, F.pmod(F.xxhash64("item_id", *more), parts).cast("int"))
+    by = [within, key] if within else [key]
+    return own.groupBy(*by).agg(F.collect_list(F.struct("item_id", "label", "vec", *more)).alias(f"{key}_rows"), *([F.max(f"{within}_parts").alias(f"{within}_parts")] if within else []))
+
+
+def _pairs(queries: DataFrame, gallery: DataFrame, block: int, q_more: tuple[str, ...] = (), g_more: tuple[str, ...] = (), counts: list[int] | None = None) -> DataFrame:
+    """qb, qb_rows, gb, gb_rows of every pair of blocks, dealt out by both: no gallery block meets all queries in one task."""
+    n_q, n_g = counts or sizes(queries, gallery)
+    q_parts, parts = _parts(n_q, min(block, QUERY_BLOCK)), _parts(n_g, block)
+    q, g = _blocks(queries, "qb", F.lit(q_parts), *q_more), _blocks(gallery, "gb", F.lit(parts), *g_more)
     copies = min(q_parts, COPIES)
     g = g.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("copy", F.col("qb") % copies).join(g, ["gb", "copy"]).select("qb", "qb_rows", "gb_rows")
+    return q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("copy", F.col("qb") % copies).join(g, ["gb", "copy"]).select("qb", "qb_rows", "gb", "gb_rows")
+
+
+def _pairs_within(queries: DataFrame, gallery: DataFrame, within: str, block: int) -> DataFrame:
+    """within, qb_rows, gb_rows of every pair of blocks that have the same value of `within`: no other pair is built or moved.
+
+    A value has as many blocks as its rows need on either side, so a value with a third of all rows is cut like a table of its own; the
+    counts are joined in Spark, a row a value. Rows whose value is null or stands on one side only are in no pair.
+    """
+    of = lambda df, size, name: df.groupBy(within).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
+    parts = of(queries, min(block, QUERY_BLOCK), "q_parts").join(of(gallery, block, "g_parts"), within)
+    cut = lambda df, key, n, other: _blocks(df.join(parts.select(within, F.col(n).alias("n"), F.col(other).alias(f"{within}_parts")), within), key, F.col("n"), within=within)
+    q, g = cut(queries, "qb", "q_parts", "g_parts"), cut(gallery, "gb", "g_parts", "q_parts")
+    copies = F.least(F.col(f"{within}_parts"), F.lit(COPIES))
+    g = g.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop(f"{within}_parts")
+    q = q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.col(f"{within}_parts") - 1))).drop(f"{within}_parts")
+    q = q.join(parts.select(within, F.least("q_parts", F.lit(COPIES)).alias("deal")), within).withColumn("copy", F.col("qb") % F.col("deal"))
+    return q.join(g, [within, "gb", "copy"]).select(within, "qb_rows", "gb_rows")
 
 
 def _rows(column: pa.Array, i: int, raw: bool, *more: str):
@@ -62,13 +93,18 @@ def _best(sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return own[place < keep], at[place < keep]
 
 
-def matches(queries: DataFrame, gallery: DataFrame, m: int | None = 1, skip_self: bool = False, block: int = BLOCK, raw: bool = False, by: str | None = None) -> DataFrame:
+def matches(queries: DataFrame, gallery: DataFrame, m: int | None = 1, skip_self: bool = False, block: int = BLOCK, raw: bool = False, by: str | None = None, within: str | None = None) -> DataFrame:
     """q_id, q_label, g_id, g_label, sim, rank: the m nearest gallery rows of each query by cosine, ties by item_id; all of them for None.
 
     queries, gallery: item_id, label, vec array<double>. skip_self: a query isn't its own neighbour. raw: dot products instead. by: a
-    column of the gallery; each of its values is a gallery of its own, and comes along.
+    column of the gallery; each of its values is a gallery of its own, and comes along. within: a column of both sides; a query is
+    searched for among rows of its own value only, which comes along, and blocks of different values never meet. Not both.
     """
-    pairs, more = _pairs(queries, gallery, block, (), (by,) if by else ()), [by] if by else []
+    if by and within:
+        raise ValueError("either galleries of their own or a search within a key")
+    more = [by] if by else []
+    pairs = _pairs_within(queries, gallery, within, block) if within else _pairs(queries, gallery, block, (), tuple(more))
+    names = ["q_id", "q_label", "g_id", "g_label", "sim", *more, *([within] if within else [])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,40 +127,96 @@ def matches(queries: DataFrame, gallery: DataFrame, m: int | None = 1, skip_self
                         ok = np.isfinite(s)
                         own, there, s = own[ok] + k, group[at[ok]], s[ok]
                         columns = [pa.array(qi[own]), ql.take(pa.array(own)), pa.array(gi[there]), gl.take(pa.array(there)), pa.array(s), *(x.take(pa.array(there)) for x in kind)]
-                        yield pa.RecordBatch.from_arrays(columns, ["q_id", "q_label", "g_id", "g_label", "sim", *more])
+                        if within:
+                            columns.append(batch.column(within).take(pa.array(np.full(len(own), i))))
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = dict(queries.dtypes)
-    extra = f", {by} {dict(gallery.dtypes)[by]}" if by else ""
-    found = pairs.select("qb_rows", "gb_rows").mapInArrow(compare, f"q_id {kinds['item_id']}, q_label {kinds['label']}, g_id {kinds['item_id']}, g_label {kinds['label']}, sim double{extra}")
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", *more).orderBy(F.desc("sim"), "g_id")))
+    key = by or within
+    extra = f", `{key}` {dict(gallery.dtypes)[key]}" if key else ""
+    found = pairs.select("qb_rows", "gb_rows", *([within] if within else [])).mapInArrow(compare, f"q_id {kinds['item_id']}, q_label {kinds['label']}, g_id {kinds['item_id']}, g_label {kinds['label']}, sim double{extra}")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", *([key] if key else [])).orderBy(F.desc("sim"), "g_id")))
     return found if m is None else found.where(F.col("rank") <= m)
 
 
-def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
+#: Relevant similarities that a row of a second pass holds, about.
+BUNDLE = 1 << 20
+
+
+def _nearer(row: np.ndarray, gi: np.ndarray, s: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """How many of a query's rows (row, of ids gi in order) stand before each of its relevant ones (s, of ids g): those of greater
+    similarity, and of equal ones those of smaller ids. A row never stands before itself."""
+    line = np.sort(row)
+    above = np.searchsorted(line, s, side="right")
+    count = len(line) - above
+    for t in np.flatnonzero(above > np.searchsorted(line, s, side="left")):
+        count[t] += np.count_nonzero((row == s[t]) & (gi < g[t]))
+    at = np.minimum(np.searchsorted(gi, g), len(gi) - 1)
+    return count - ((gi[at] == g) & (row[at] > s))
+
+
+def _alike(ql: pa.Array, gl: pa.Array) -> np.ndarray:
+    """Which query, by row, and which gallery row, by column, have one label; null is like nothing."""
+    codes = pa.concat_arrays([ql, gl]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    q, g = codes[: len(ql)], codes[len(ql) :]
+    return (q[:, None] == g[None, :]) & (q[:, None] >= 0)
+
+
+def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, bundle: int = BUNDLE) -> DataFrame:
     """q_id, q_label, g_id, rank, gallery: where each gallery row of a query's own label stands in the query's full ranking; a row with null
     g_id and rank for a query whose label the gallery doesn't have.
 
-    Two passes over the pairs of blocks: the similarities of the relevant rows, then, for each of these, how many rows of each block are
-    nearer, added up in the task. Only relevant rows are ever shuffled.
+    Against a gallery of one block the ranks come from one pass. Else a first pass over the pairs of blocks finds the similarities of the
+    relevant rows and keeps those of a pair together; a query block's are put in as many bundles as its labels' rows need for about
+    `bundle` similarities each, so that a label with a third of the gallery makes more bundles, not larger ones. A second pass counts, for
+    each bundle and gallery block, what is nearer; the counts are added up.
     """
     kinds = dict(queries.dtypes)
     own = f"q_id {kinds['item_id']}, g_id {kinds['item_id']}"
+    counts = sizes(queries, gallery)
+    asked = queries.select(F.col("item_id").alias("q_id"), F.col("label").alias("q_label"))
+    done = lambda ranks: asked.join(ranks, "q_id", "left").withColumn("gallery", F.lit(counts[1]).cast("long"))
+
+    def relevant(batch: pa.RecordBatch, i: int):
+        """place, id and gallery id of each relevant pair of the blocks in a row, with their similarities; and the blocks."""
+        (qi, ql, qx), (gi, gl, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
+        same = _alike(ql, gl)
+        for k in range(0, len(qi), 512):
+            sims = qx[k : k + 512] @ gx.T
+            a, b = np.nonzero(same[k : k + 512])
+            yield k, a, b, sims, qi, gi
+
+    if _parts(counts[1], block) == 1:
+
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for k, a, b, sims, qi, gi in relevant(batch, i):
+                        ends = np.searchsorted(a, np.arange(len(sims) + 1))
+                        rank = [_nearer(row, gi, row[b[x:y]], gi[b[x:y]]) + 1 for row, x, y in zip(sims, ends[:-1], ends[1:], strict=True) if x < y]
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(np.concatenate([np.zeros(0, np.int64), *rank]))], ["q_id", "g_id", "rank"])
+
+        return done(_pairs(queries, gallery, block, counts=counts).mapInArrow(ranked, f"{own}, rank long"))
+
+    q_parts = _parts(counts[0], min(block, QUERY_BLOCK))
+    of_label = gallery.groupBy("label").agg(F.count("*").alias("n"))
+    qb = F.pmod(F.xxhash64("item_id"), F.lit(q_parts)).cast("int").alias("qb")
+    bundles = queries.join(of_label, "label").groupBy(qb).agg(F.ceil(F.sum("n") / bundle).cast("int").alias("bundles"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (qi, ql, qx), (gi, gl, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
-                ql, gl = (np.array(x.to_pylist(), object) for x in (ql, gl))
-                for k in range(0, len(qi), 512):
-                    sims = qx[k : k + 512] @ gx.T
-                    a, b = np.nonzero(ql[k : k + 512][:, None] == gl[None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(sims[a, b])], ["q_id", "g_id", "sim"])
+                for k, a, b, sims, qi, gi in relevant(batch, i):
+                    if len(a):
+                        found = pa.StructArray.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(sims[a, b])], ["q_id", "g_id", "sim"])
+                        yield pa.RecordBatch.from_arrays([batch.column("qb").slice(i, 1), batch.column("gb").slice(i, 1), pa.ListArray.from_arrays(np.array([0, len(a)], np.int32), found)], ["qb", "gb", "own"])
 
-    found = _pairs(queries, gallery, block).mapInArrow(alike, f"{own}, sim double")
-    wanted = found.groupBy(F.col("q_id").alias("item_id")).agg(F.sort_array(F.collect_list(F.struct("g_id", "sim"))).alias("own"))
+    found = _pairs(queries, gallery, block, counts=counts).mapInArrow(alike, f"qb int, gb int, own array<struct<q_id:{kinds['item_id']},g_id:{kinds['item_id']},sim:double>>")
+    packed = found.join(bundles, "qb").withColumn("bundle", F.col("gb") % F.col("bundles")).groupBy("qb", "bundle").agg(F.flatten(F.collect_list("own")).alias("own"))
+    rows = packed.join(_blocks(queries, "qb", F.lit(q_parts)), "qb").withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(_parts(counts[1], block) - 1))))
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple] = {}
+        sums: dict[tuple, tuple] = {}
 
         def out():
             for q, g, n in sums.values():
@@ -133,36 +225,29 @@ def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -
 
         for batch in batches:
             for i in range(batch.num_rows):
-                qi, _, qx, lists = _rows(batch.column("qb_rows"), i, False, "own")
-                gi, _, gx = _rows(batch.column("gb_rows"), i, False)
-                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                ids, given = (lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("g_id", "sim"))
-                n = np.zeros(len(ids), np.int64)
+                (qi, _, qx), (gi, _, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
+                part = batch.column("own").slice(i, 1).flatten()
+                q, g, s = (part.field(n).to_numpy(zero_copy_only=False) for n in ("q_id", "g_id", "sim"))
+                order = np.lexsort((g, q))
+                q, g, s = q[order], g[order], s[order]
+                first, last, n = np.searchsorted(q, qi), np.searchsorted(q, qi, side="right"), np.zeros(len(q), np.int64)
                 for k in range(0, len(qi), 512):
-                    sims = qx[k : k + 512] @ gx.T
-                    for row, j in zip(sims, range(k, k + len(sims)), strict=True):
-                        mine = slice(ends[j], ends[j + 1])
-                        s, g = given[mine], ids[mine]
-                        line = np.sort(row)
-                        above = np.searchsorted(line, s, side="right")
-                        count = len(line) - above
-                        for t in np.flatnonzero(above > np.searchsorted(line, s, side="left")):  # equal ones: those of smaller ids
-                            count[t] += np.count_nonzero((row == s[t]) & (gi < g[t]))
-                        at = np.minimum(np.searchsorted(gi, g), len(gi) - 1)
-                        n[mine] += count - ((gi[at] == g) & (row[at] > s))  # a row is never ahead of itself
-                qb = batch.column("qb")[i].as_py()
-                if qb in sums:
-                    sums[qb][2][:] += n
+                    if (first[k : k + 512] < last[k : k + 512]).any():
+                        for row, x, y in zip(qx[k : k + 512] @ gx.T, first[k:], last[k:]):
+                            n[x:y] = _nearer(row, gi, s[x:y], g[x:y]) if x < y else 0
+                key = (batch.column("qb")[i].as_py(), batch.column("bundle")[i].as_py())
+                if key in sums:
+                    sums[key][2][:] += n
                 else:
-                    sums[qb] = (np.repeat(qi, np.diff(ends)), ids, n)
-                if sum(len(x[1]) for x in sums.values()) > 1 << 22:
+                    sums[key] = (q, g, n)
+                if sum(len(x[1]) for x in sums.values()) > 4 * bundle:
                     yield from out()
         yield from out()
 
-    counted = _pairs(queries.join(wanted, "item_id"), gallery, block, ("own",)).mapInArrow(ahead, f"{own}, n long")
-    ranks = counted.groupBy("q_id", "g_id").agg((F.sum("n") + 1).alias("rank"))
-    size = gallery.count()
-    return queries.select(F.col("item_id").alias("q_id"), F.col("label").alias("q_label")).join(ranks, "q_id", "left").withColumn("gallery", F.lit(size).cast("long"))
+    copies = min(q_parts, COPIES)
+    g = _blocks(gallery, "gb", F.lit(_parts(counts[1], block))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    counted = rows.withColumn("copy", F.col("qb") % copies).join(g, ["gb", "copy"]).select("qb", "bundle", "qb_rows", "own", "gb_rows").mapInArrow(ahead, f"{own}, n long")
+    return done(counted.groupBy("q_id", "g_id").agg((F.sum("n") + 1).alias("rank")))
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import shuffled
+from . import sampling
+
+#: Hexadecimal digits of a hash that make a range of it: 256 ranges of about as many rows each.
+DIGITS = 2
 
 
 def placed(items: DataFrame, by: list[str], seed: int = 42, *keys: str) -> DataFrame:
-    """items with place (from 1) and n within each group of `by`, in the seeded order of by and item_id."""
+    """items with place (from 1) and n within each group of `by`, in the seeded order of by and item_id.
+
+    Hashes are spread evenly, so a group's rows are sorted in ranges of their hash, and each range begins where the counts of those before
+    it end: a group with a third of all rows is sorted by as many tasks as a hash has ranges. Null is a group like others.
+    """
+    rows = items.withColumn("order", shuffled(seed, *(keys or (*by, "item_id")))).withColumn("range", F.substring("order", 1, DIGITS))
     group = Window.partitionBy(*by)
-    return items.withColumn("place", F.row_number().over(group.orderBy(shuffled(seed, *(keys or (*by, "item_id")))))).withColumn("n", F.count("*").over(group))
+    counts = rows.groupBy(*by, "range").agg(F.count("*").alias("c"))  # at most 256 rows a group
+    before = counts.select(*(F.col(c).alias(f"{c}_of") for c in (*by, "range")), (F.sum("c").over(group.orderBy("range")) - F.col("c")).alias("before"), F.sum("c").over(group).alias("n"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*by, "range")))
+    inside = F.row_number().over(Window.partitionBy(*by, "range").orderBy("order"))
+    return rows.join(before, same).withColumn("place", (F.col("before") + inside).cast("int")).select(*items.columns, "place", "n")
 
 
 def part(fraction: float, least: int) -> Column:
@@ -33,6 +48,4 @@ def two_way(items: DataFrame, by: list[str], size: Column, names: tuple[str, str
 
 def sampled(items: DataFrame, by: list[str], k: int, reps: int, seed: int = 42) -> DataFrame:
     """rep, and items: at most k of each group in each of `reps` draws."""
-    rows = items.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    place = F.row_number().over(Window.partitionBy("rep", *by).orderBy(shuffled(seed, "rep", *by, "item_id")))
-    return rows.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return sampling.drawn(items, by, k, reps, seed).drop("place")

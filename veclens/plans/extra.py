@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, vectors
-from ..operators import metrics, openset, similarity, splits, statistics
+from ..operators import metrics, openset, resampling, similarity, splits, statistics
 from ..sources import tables
 from .more import _BEST, _GRID, SETTING, _ood, best_first, grid, grid_predictions
 from .protocols import _BYSOURCE, _LOGITS, _SPACES, _TWO, label_table, logits, spaces, unchecked
@@ -225,8 +225,8 @@ def ood_by_source(spark, sf):
 
 
 @query(f"""{_SPACES}, s AS (SELECT q.space, q.item_id, (q.label > 7)::INT AS pos, round(1 - max(list_dot_product(q.v, g.v) / (q.l * g.l)), 9) AS score FROM n q JOIN n g ON q.space = g.space AND g.item_id % 2 = 0 AND g.label <= 7 AND (q.label > 7 OR q.item_id % 2 = 1) WHERE q.space <> 'B' GROUP BY ALL),
-u AS (SELECT space, pos, score, row_number() OVER (PARTITION BY space, pos ORDER BY item_id) AS j, count(*) OVER (PARTITION BY space, pos) AS n FROM s), d AS (SELECT space, pos, b, ('0x' || substr(md5('42:' || pos || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM u, (SELECT unnest(range(2000)) AS b)),
-c AS (SELECT d.space, b, score, sum(u.pos)::BIGINT AS pos, sum(1 - u.pos)::BIGINT AS neg FROM d JOIN u ON d.space = u.space AND d.pos = u.pos AND d.j = u.j GROUP BY ALL), k AS (SELECT *, sum(pos) OVER (PARTITION BY space, b ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY space, b ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY space, b) AS p, sum(neg) OVER (PARTITION BY space, b) AS n FROM c),
+{resampling.sql_counts("(SELECT *, item_id AS q_id FROM s)", "space", 2000)},
+c AS (SELECT space, b, score, sum(w * pos)::BIGINT AS pos, sum(w * (1 - pos))::BIGINT AS neg FROM z GROUP BY ALL), k AS (SELECT *, sum(pos) OVER (PARTITION BY space, b ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY space, b ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY space, b) AS p, sum(neg) OVER (PARTITION BY space, b) AS n FROM c),
 f AS (SELECT space, b, min(fp) FILTER (tp >= 0.95::DOUBLE * p) / max(n)::DOUBLE AS fpr FROM k GROUP BY ALL), x AS (SELECT b, max(fpr) FILTER (space = 'A') - max(fpr) FILTER (space = 'Full') AS d FROM f GROUP BY b)
 SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM x""")
 def bootstrap_fpr_diff(spark, sf):
@@ -236,9 +236,8 @@ def bootstrap_fpr_diff(spark, sf):
         if name != "B":
             near = similarity.nearest(tables.id_queries(s).unionByName(tables.ood_queries(s)), tables.gallery(s))
             one = near.select(F.lit(name).alias("space"), "q_id", (F.col("q_label") > 7).cast("int").alias("pos"), F.round(1 - F.col("sim"), 9).alias("score"))
-            drawn = statistics.resampled(one.select("q_id", "pos", "score", "space"), ["pos"], ["q_id"], 2000)
-            out = drawn if out is None else out.unionByName(drawn)
-    wide = metrics.roc(out.withColumn("positive", F.col("pos") == 1), ["space", "b"], weight="w").groupBy("b").pivot("space", ["A", "Full"]).agg(F.max("fpr"))
+            out = one if out is None else out.unionByName(one)
+    wide = resampling.curves(out, ["space"], 2000).groupBy("b").pivot("space", ["A", "Full"]).agg(F.max("fpr"))
     d = wide.select((F.col("A") - F.col("Full")).alias("d"))
     return d.agg(_r(F.avg("d"), "mean"), _r(F.percentile("d", F.lit(0.025)), "ci_lo"), _r(F.percentile("d", F.lit(0.975)), "ci_hi"))
 

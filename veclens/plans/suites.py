@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
-from ..operators import geometry, metrics, openset, similarity, splits, statistics
+from ..operators import geometry, metrics, openset, resampling, sampling, similarity, splits, statistics
 from ..sources import tables
 from .inventory import mixed_of
 from .protocols import _BYSOURCE, _SPACES, _TWO, TAU, label_table, logits, spaces, split_within_source, unchecked
@@ -26,9 +26,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def drawn_galleries(pool: DataFrame, ks: tuple[int, ...], draws: int, seed: int = 42) -> DataFrame:
     """pool with draw: for each k and repeat, k rows of each label in the repeat's order; a number of its own each: repeat * 100 + k's place."""
-    rows = pool.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    place = F.row_number().over(Window.partitionBy("rep", "label").orderBy(tables.shuffled(seed, "rep", "label", "item_id")))
-    each = rows.withColumn("place", place).where(F.col("place") <= max(ks)).withColumn("at", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)))))
+    rows = sampling.drawn(pool.select("item_id", "label", "vec"), ["label"], max(ks), draws, seed)
+    each = rows.withColumn("at", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)))))
     return each.where("place <= at.k").withColumn("draw", (F.col("rep") * 100 + F.col("at.i")).cast("long")).select("item_id", "label", "vec", "draw")
 
 
@@ -115,21 +114,19 @@ _CURVES = """{c} AS (SELECT {by}, score, sum(w * pos)::BIGINT AS pos, sum(w * (1
 _SUMMARY = ", ".join(f"round(avg({c}), 6) AS {c}, round(quantile_cont({c}, 0.025), 6) AS {c}_lo, round(quantile_cont({c}, 0.975), 6) AS {c}_hi" for c in ("auroc", "fpr", "aupr"))
 
 
-def _resamples(rows: str, key: str, by: str) -> str:
+def _resamples(rows: str, by: str) -> str:
     """CTE z: by, pos, score, b, w of each resample of rows (by, pos, q_id, score); known and novel rows are drawn apart."""
-    return f"""un AS (SELECT {by}, pos, score, row_number() OVER (PARTITION BY {by}, pos ORDER BY q_id) AS j, count(*) OVER (PARTITION BY {by}, pos) AS n FROM {rows}),
-ud AS (SELECT {by}, pos, b, ('0x' || substr(md5('42:' || {key} || ':' || pos || ':' || b || ':' || j), 1, 8))::BIGINT % n + 1 AS j FROM un, (SELECT unnest(range({RESAMPLES})) AS b)), z AS (SELECT {by}, b, un.pos, score, 1 AS w FROM ud JOIN un USING ({by}, pos, j))"""
+    return resampling.sql_counts(rows, by, RESAMPLES)
 
 
 def metric_intervals(scores: DataFrame, by: list[str], draws: int = RESAMPLES) -> DataFrame:
     """by, and mean and interval of auroc, fpr and aupr over resamples. scores: by, q_id, pos (0 or 1), score."""
-    each = statistics.resampled(scores, [*by, "pos"], ["q_id"], draws).withColumn("positive", F.col("pos") == 1)
-    m = metrics.roc(each, [*by, "b"], weight="w")
+    m = resampling.curves(scores, by, draws)
     ends = [c for x in ("auroc", "fpr", "aupr") for c in (_r(F.avg(x), x), _r(F.percentile(x, F.lit(0.025)), f"{x}_lo"), _r(F.percentile(x, F.lit(0.975)), f"{x}_hi"))]
     return m.groupBy(*by).agg(*ends)
 
 
-@query(f"""{_BYSOURCE}, rows AS (SELECT 'distance' AS baseline, q_id, pos, score FROM s0), {_resamples("rows", "baseline", "baseline")}, {_CURVES.format(c="cv", by="baseline, b", rows="z")} SELECT {_SUMMARY} FROM cvr""")
+@query(f"""{_BYSOURCE}, rows AS (SELECT 'distance' AS baseline, q_id, pos, score FROM s0), {_resamples("rows", "baseline")}, {_CURVES.format(c="cv", by="baseline, b", rows="z")} SELECT {_SUMMARY} FROM cvr""")
 def bootstrap_metric_ci(spark, sf):
     _, g, q, o = _roles(spark, sf)
     near = similarity.nearest(q.unionByName(o), g).select(F.lit("distance").alias("baseline"), "q_id", (F.col("q_label") > 7).cast("int").alias("pos"), F.round(1 - F.col("sim"), 9).alias("score"))
@@ -176,7 +173,7 @@ fz AS (SELECT item_id, label, list_concat(list_transform(v[1:32], lambda x: x /
 al AS (SELECT 'msp' AS baseline, 0 AS k, q_id, q_label, round(1 - 1 / s, 9) AS score FROM tt UNION ALL SELECT 'energy', 0, q_id, q_label, round(-(top + ln(s)), 9) FROM tt UNION ALL SELECT 'distance', 0, q_id, q_label, round(1 - sim, 9) FROM r WHERE rank = 1 UNION ALL
 SELECT 'fused', 0, q_id, q_label, round(1 - sim, 9) FROM rf WHERE rank = 1 UNION ALL SELECT 'knn', rank, q_id, q_label, round(1 - sim, 9) FROM r WHERE rank IN {_NEIGHBOURS}),
 vz AS (SELECT k, (q_label > 7)::INT AS pos, score, 1 AS w FROM al LEFT JOIN nl ON label = q_label WHERE baseline = 'knn' AND coalesce(val, true)), {_CURVES.format(c="vv", by="k", rows="vz")}, bk AS (SELECT k FROM vvr ORDER BY round(auroc, 9) DESC, k LIMIT 1),
-rows AS (SELECT baseline, k, q_id, (q_label > 7)::INT AS pos, score FROM al LEFT JOIN nl ON label = q_label WHERE NOT coalesce(val, false) AND (baseline <> 'knn' OR k IN (SELECT k FROM bk))), {_resamples("rows", "baseline || ':' || k", "baseline, k")}, {_CURVES.format(c="cv", by="baseline, k, b", rows="z")}
+rows AS (SELECT baseline, k, q_id, (q_label > 7)::INT AS pos, score FROM al LEFT JOIN nl ON label = q_label WHERE NOT coalesce(val, false) AND (baseline <> 'knn' OR k IN (SELECT k FROM bk))), {_resamples("rows", "baseline, k")}, {_CURVES.format(c="cv", by="baseline, k, b", rows="z")}
 SELECT baseline, k::BIGINT AS k, {_SUMMARY} FROM cvr GROUP BY ALL""")
 def ood_suite(spark, sf):
     """Scores of novelty side by side, tested on novel labels that the choice of the k-th neighbour didn't see, each with its intervals."""
@@ -206,12 +203,11 @@ def ood_within_source(spark, sf):
     """Known and novel labels inside each source, a few references of the known ones as its gallery; POOLED ranks all sources' scores together."""
     sides = split_within_source(spark, sf).select("source", "label", (F.col("side") == "OOD").alias("novel"), "refs")
     items = tables.read_embeddings(spark, sf).withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")))
-    at = F.row_number().over(Window.partitionBy("source", "label").orderBy(tables.shuffled(42, "source", "label", "item_id")))
-    x = items.join(sides, ["source", "label"]).withColumn("at", at)
-    known = ~F.col("novel") & (F.col("at") <= F.col("refs"))
-    g, q = x.where(known).select("item_id", "label", "vec", "source"), x.where(~known)
-    marks = q.select(F.col("item_id").alias("q_id"), F.col("source").alias("own"), "novel")
-    near = similarity.matches(q.select("item_id", "label", "vec"), g, 1, by="source").join(marks, "q_id").where("source = own")
+    x = splits.placed(items, ["source", "label"]).drop("n").join(sides, ["source", "label"])
+    known = ~F.col("novel") & (F.col("place") <= F.col("refs"))
+    g, q = (x.where(side).select("item_id", "label", "vec", "source", "novel") for side in (known, ~known))
+    marks = q.select(F.col("item_id").alias("q_id"), "novel")
+    near = similarity.matches(q, g, 1, within="source").join(marks, "q_id")
     z = near.select(F.explode(F.array("source", F.lit("POOLED"))).alias("source"), F.col("novel").alias("positive"), F.round(1 - F.col("sim"), 9).alias("score"))
     n = z.groupBy("source").agg(F.count_if(~F.col("positive")).alias("n_id"), F.count_if("positive").alias("n_ood"))
     return metrics.roc(z, ["source"]).join(n, "source").select("source", _r("auroc"), _r("fpr"), "n_id", "n_ood")

@@ -14,7 +14,7 @@ def folder(spark: SparkSession, name: str) -> str:
     unset and gets a local one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not f"{spark.sparkContext.master}[".startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", shared)

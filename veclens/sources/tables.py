@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import folder
+
 LAST_KNOWN = 7
 
 
@@ -42,3 +44,11 @@ def incremental(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def lookup(names: DataFrame, cache: DataFrame, key: str, value: str, missing: str) -> DataFrame:
     """names with the cached value, or `missing`."""
     return names.join(cache.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(missing)))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again: what it comes from runs once, and a lost executor loses nothing. The table stays
+    as long as results may rest on it, for whoever clears the folder."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
