@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import names, vectors
 from ..operators import metrics, openset, resampling, similarity, splits, statistics
 from ..sources import tables
-from .more import _BEST, _GRID, SETTING, _ood, best_first, grid, grid_predictions
+from .more import _ood
 from .protocols import _BYSOURCE, _LOGITS, _SPACES, _TWO, label_table, logits, spaces, unchecked
 from .queries import _ACC, _FULL, WITH, E, _placed, _r, _roles, _sims, centroids, query
 
@@ -114,42 +114,6 @@ def all_pairs_vs_anchor(spark, sf):
     return statistics.wilcoxon(long, ["space"], "whole", "other").select("space", "n", _r("statistic"), _r("p_value"))
 
 
-def _space_rows(spark, sf, kind: str) -> DataFrame:
-    """space, macro: by nearest row or by nearest centroid."""
-    out = None
-    for name, s in spaces(tables.read_embeddings(spark, sf)).items():
-        g = tables.gallery(s)
-        one = metrics.macro(similarity.nearest(tables.id_queries(s), centroids(g) if kind == "proto" else g)).select(F.lit(name).alias("space"), F.col("macro").alias(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-_SPACE_BOTH = f"""{_SPACES}, r AS (SELECT q.space, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
-FROM n q JOIN n g ON q.space = g.space AND q.item_id % 2 = 1 AND g.item_id % 2 = 0 AND q.label <= 7 AND g.label <= 7), a AS (SELECT space, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL), ra AS (SELECT space, avg(x) AS r1 FROM a GROUP BY space),
-m AS (SELECT space, label, i, avg(x) AS m FROM (SELECT space, label, unnest(list_transform(v, lambda x: x / l)) AS x, unnest(range(1, len(v) + 1)) AS i FROM n WHERE item_id % 2 = 0 AND label <= 7) GROUP BY ALL), c AS (SELECT space, label, list(m ORDER BY i) AS v FROM m GROUP BY space, label),
-p AS (SELECT q.space, q.label AS q_label, c.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, c.v) / (q.l * sqrt(list_dot_product(c.v, c.v))) DESC, c.label) AS rank FROM n q JOIN c USING (space) WHERE q.item_id % 2 = 1 AND q.label <= 7),
-pa AS (SELECT space, avg(x) AS proto FROM (SELECT space, q_label, avg((q_label = g_label)::INT) AS x FROM p WHERE rank = 1 GROUP BY ALL) GROUP BY space)"""
-
-
-@query(f"{_SPACE_BOTH} SELECT space, round(r1, 6) AS r1, round(proto, 6) AS proto FROM ra FULL JOIN pa USING (space)")
-def master_summary(spark, sf):
-    """A row for each space over all result tables, nulls where one has none."""
-    return _space_rows(spark, sf, "r1").join(_space_rows(spark, sf, "proto"), "space", "full").select("space", _r("r1"), _r("proto"))
-
-
-@query(f"{_SPACE_BOTH} SELECT space, round(r1 + proto, 6) AS total FROM ra JOIN pa USING (space) ORDER BY round(r1 + proto, 9) DESC, space LIMIT 1")
-def select_best_space(spark, sf):
-    both = _space_rows(spark, sf, "r1").join(_space_rows(spark, sf, "proto"), "space").withColumn("t", F.col("r1") + F.col("proto"))
-    return both.orderBy(F.desc(F.round("t", 9)), "space").limit(1).select("space", _r("t", "total"))
-
-
-@query(f"{_SPACE_BOTH} SELECT space, metric, round(value, 6) AS value FROM (SELECT space, 'r1' AS metric, r1 AS value FROM ra UNION ALL SELECT space, 'proto', proto FROM pa)")
-def ablation_matrix(spark, sf):
-    """space, metric, value: the long form that reports and charts read."""
-    wide = _space_rows(spark, sf, "r1").join(_space_rows(spark, sf, "proto"), "space", "full")
-    return wide.unpivot("space", ["r1", "proto"], "metric", "value").select("space", "metric", _r("value"))
-
-
 @query("""SELECT o_orderpriority AS metric, round(avg(x), 4) AS mean, round(coalesce(stddev_samp(x), 0), 4) AS std, round(min(x), 4) AS least, round(max(x), 4) AS most, count(*) AS n FROM (SELECT o_orderpriority, o_custkey % 10 AS rep, avg(o_totalprice::DOUBLE) AS x FROM orders GROUP BY ALL) GROUP BY 1""")
 def run_summary(spark, sf):
     """Mean, spread and bounds of a metric over repeats."""
@@ -242,14 +206,6 @@ def bootstrap_fpr_diff(spark, sf):
     return d.agg(_r(F.avg("d"), "mean"), _r(F.percentile("d", F.lit(0.025)), "ci_lo"), _r(F.percentile("d", F.lit(0.975)), "ci_hi"))
 
 
-@query(f"{_GRID}, s AS (SELECT mode, m, tau FROM a ORDER BY {_BEST} LIMIT 1) SELECT q_label, round(avg((label = q_label)::INT), 6) AS accuracy, count(*) AS n FROM b JOIN s USING (mode, m, tau) JOIN vs USING (q_id) WHERE k = 1 AND NOT val GROUP BY q_label")
-def selected_config_eval(spark, sf):
-    """The selected setting on every label's queries that didn't select it. The setting is one row."""
-    best = grid(spark, sf).orderBy(*best_first()).limit(1).select(*SETTING)
-    rows = grid_predictions(spark, sf).where("not val").join(F.broadcast(best), SETTING)
-    return metrics.per_label(rows).select("q_label", _r("accuracy"), "n")
-
-
 # ---- further compositions
 
 
@@ -285,21 +241,3 @@ def incremental_baselines(spark, sf):
     for name, f in (("rehearsal head", rehearsal_head), ("calibrated head", rehearsal_calibrated)):
         out = out.unionByName(f(spark, sf).withColumn("variant", F.lit(name)))
     return out
-
-
-@query(f"""{_SPACE_BOTH}, l AS (SELECT space, metric, value FROM (SELECT space, 'r1' AS metric, r1 AS value FROM ra UNION ALL SELECT space, 'proto', proto FROM pa)) SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) AS n FROM l GROUP BY metric""")
-def seed_sensitivity(spark, sf):
-    """Mean and spread of each measure over several heads: the spaces stand for them."""
-    rows = _space_rows(spark, sf, "r1").join(_space_rows(spark, sf, "proto"), "space").unpivot("space", ["r1", "proto"], "metric", "value")
-    return rows.groupBy("metric").agg(_r(F.avg("value"), "mean"), _r(F.stddev_samp("value"), "std"), _r(F.min("value"), "least"), _r(F.max("value"), "most"), F.count("*").alias("n"))
-
-
-@query(f"""{WITH}, a AS ({_ACC}), y AS (SELECT 'macro' AS metric, avg(accuracy) AS value FROM a UNION ALL SELECT 'micro', avg((q_label = g_label)::INT) FROM r WHERE rank = 1 UNION ALL SELECT 'mean_similarity', avg(sim) FROM r WHERE rank = 1) SELECT metric, round(value, 6) AS value FROM y""")
-def run_report(spark, sf):
-    """The key measures of a run, a row each, from one table of neighbours."""
-    _, g, q, _ = _roles(spark, sf)
-    top = similarity.nearest(q, g)
-    macro = metrics.macro(top).select(F.lit("macro").alias("metric"), F.col("macro").alias("value"))
-    micro = top.agg(F.avg(metrics.hit("correct")).alias("value")).select(F.lit("micro").alias("metric"), "value")
-    sim = top.agg(F.avg("sim").alias("value")).select(F.lit("mean_similarity").alias("metric"), "value")
-    return macro.unionByName(micro).unionByName(sim).select("metric", _r("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
-from ..operators import gram, metrics, patches, similarity
+from ..operators import gram, metrics, patches, scorers, similarity
 from ..sources import files, tables
 from .protocols import _LOGITS, _SPACES, _TWO, TAU, label_table, logits, spaces, unchecked
 from .queries import _CENTRED, _SCORES, WITH, E, _r, _roles, _sims, centred, centroids, query
@@ -175,20 +175,12 @@ def residual_project(spark, sf):
 # ---- scorers
 
 
-def mixed_of(q: DataFrame, g: DataFrame, alpha: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
-    """q_id, q_label, label, score: nearest rows' scores and centroids' similarities mixed; a class without a near row has its centroid's."""
-    own = similarity.class_scores(similarity.matches(q, g, 50), counts=counts).select("q_id", "label", F.col("score").alias("near"))
-    grid = similarity.matches(q, centroids(g), None).select("q_id", "q_label", F.col("g_label").alias("label"), (F.col("sim") / TAU).alias("proto"))
-    both = grid.join(own, ["q_id", "label"], "left")
-    return both.select("q_id", "q_label", "label", (alpha * F.coalesce("near", "proto") + (1 - alpha) * F.col("proto")).alias("score"))
-
-
 @query(f"""{_CENTRED}{_SCORES}, pu AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(list_transform(v, lambda x: x / l)) AS x, unnest(range(1, 65)) AS i FROM cg) GROUP BY ALL), pc AS (SELECT label, list(m ORDER BY i) AS v FROM pu GROUP BY label),
 pg AS (SELECT a.item_id AS q_id, pc.label, list_dot_product(a.v, pc.v) / (a.l * greatest(sqrt(list_dot_product(pc.v, pc.v)), 1e-12)) / 0.07::DOUBLE AS p FROM cq a, pc) SELECT pg.q_id, pg.label, round(0.5::DOUBLE * coalesce(c.score, p) + 0.5::DOUBLE * p, 6) AS score FROM pg LEFT JOIN c ON c.q_id = pg.q_id AND c.label = pg.label""")
 def score_centered_mix(spark, sf):
     items, g, _, _ = _roles(spark, sf)
     own = centred(items, g)
-    return mixed_of(tables.id_queries(own), tables.gallery(own)).select("q_id", "label", _r("score"))
+    return scorers.mixed(tables.id_queries(own), tables.gallery(own)).select("q_id", "label", _r("score"))
 
 
 @query(f"""{WITH}, t AS (SELECT *, max(sim) OVER (PARTITION BY q_id) AS top FROM r WHERE rank <= 50), w AS (SELECT q_id, g_label, sum(exp((sim - top) / 0.07::DOUBLE)) AS w FROM t GROUP BY ALL), p AS (SELECT q_id, w / sum(w) OVER (PARTITION BY q_id) AS p FROM w),

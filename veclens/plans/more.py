@@ -214,57 +214,6 @@ def native_classifier(spark, sf):
 
 # ---- selection, ablations and reports
 
-_GRID = f"""{_CENTRED}, {_sims('q', 'g', 'rw')}, nb AS (SELECT 'raw' AS centre, q_id, q_label, g_label, sim, rank FROM rw WHERE rank <= 50 UNION ALL SELECT 'centered', q_id, q_label, g_label, sim, rank FROM r WHERE rank <= 50), gc AS (SELECT label, count(*) AS n FROM g GROUP BY label),
-vs AS (SELECT item_id AS q_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || label || ':' || item_id)) <= count(*) OVER (PARTITION BY label) // 2 AS val FROM q),
-t AS (SELECT centre, m, tau, q_id, q_label, g_label, sim, max(sim) OVER (PARTITION BY centre, m, tau, q_id, g_label) AS best FROM nb, (SELECT unnest([5, 20, 50]) AS m), (SELECT unnest([0.03, 0.07, 0.2]::DOUBLE[]) AS tau) WHERE rank <= m),
-c0 AS (SELECT centre, m, tau, q_id, q_label, g_label AS label, max(best) / tau + ln(sum(exp((sim - best) / tau))) AS score FROM t GROUP BY centre, m, tau, q_id, q_label, g_label),
-c AS (SELECT centre AS mode, m, tau, q_id, q_label, label, score FROM c0 UNION ALL SELECT CASE centre WHEN 'raw' THEN 'logmeanexp' ELSE 'centered_logmeanexp' END, m, tau, q_id, q_label, label, score - ln(n) FROM c0 JOIN gc USING (label)),
-b AS (SELECT *, row_number() OVER (PARTITION BY mode, m, tau, q_id ORDER BY round(score, 9) DESC, label) AS k FROM c),
-a AS (SELECT mode, m, tau, avg(x) AS macro FROM (SELECT mode, m, tau, q_label, avg((label = q_label)::INT) AS x FROM b JOIN vs USING (q_id) WHERE k = 1 AND val GROUP BY ALL) GROUP BY ALL)"""
-_BEST = "round(macro, 9) DESC, (m = 50)::INT + (tau = 0.07::DOUBLE)::INT DESC, mode, m, tau"
-SETTING = ["mode", "m", "tau"]
-
-
-def grid_predictions(spark, sf) -> DataFrame:
-    """mode, m, tau, q_id, q_label, pred, val of each query in every setting: one table of the 50 nearest of each space serves them all.
-
-    val: half of each label's queries, on which a setting is chosen.
-    """
-    items, g, q, _ = _roles(spark, sf)
-    own = centred(items, g)
-    top = similarity.matches(q, g, 50).withColumn("centre", F.lit("raw")).unionByName(similarity.matches(tables.id_queries(own), tables.gallery(own), 50).withColumn("centre", F.lit("centered")))
-    rows = top.withColumn("m", F.explode(F.array(*map(F.lit, (5, 20, 50))))).where("rank <= m").withColumn("tau", F.explode(F.array(*map(F.lit, (0.03, 0.07, 0.2)))))
-    rows = rows.withColumn("best", F.max("sim").over(Window.partitionBy("centre", "m", "tau", "q_id", "g_label")))
-    c = rows.groupBy("centre", "m", "tau", "q_id", "q_label", F.col("g_label").alias("label")).agg((F.max("best") / F.col("tau") + F.log(F.sum(F.exp((F.col("sim") - F.col("best")) / F.col("tau"))))).alias("sum"))
-    mean = F.struct(F.when(F.col("centre") == "raw", "logmeanexp").otherwise("centered_logmeanexp").alias("mode"), (F.col("sum") - F.log("n")).alias("score"))
-    each = F.explode(F.array(F.struct(F.col("centre").alias("mode"), F.col("sum").alias("score")), mean)).alias("s")
-    c = c.join(g.groupBy("label").agg(F.count("*").alias("n")), "label").select("m", "tau", "q_id", "q_label", F.col("label").alias("pred"), each).select("*", "s.mode", "s.score")
-    place = F.row_number().over(Window.partitionBy(*SETTING, "q_id").orderBy(F.desc(F.round("score", 9)), "pred"))
-    half = splits.placed(q, ["label"]).select(F.col("item_id").alias("q_id"), (F.col("place") <= F.floor(F.col("n") / 2)).alias("val"))
-    return c.withColumn("k", place).where("k = 1").join(half, "q_id").select(*SETTING, "q_id", "q_label", "pred", "val")
-
-
-def grid(spark, sf) -> DataFrame:
-    """mode, m, tau, macro on the validation half."""
-    return metrics.macro(grid_predictions(spark, sf).where("val"), SETTING).select(*SETTING, "macro")
-
-
-def best_first() -> list[Column]:
-    """The order of settings: by accuracy, then the usual ones."""
-    return [F.desc(F.round("macro", 9)), F.desc((F.col("m") == 50).cast("int") + (F.col("tau") == TAU).cast("int")), *map(F.col, SETTING)]
-
-
-@query(f"{_GRID} SELECT mode, m, tau, round(macro, 6) AS macro FROM a")
-def hyperparam_grid(spark, sf):
-    return grid(spark, sf).select(*SETTING, _r("macro"))
-
-
-@query(f"{_GRID} SELECT mode, m, tau, round(macro, 6) AS macro, row_number() OVER (ORDER BY {_BEST}) = 1 AS selected FROM a")
-def select_best_config(spark, sf):
-    first = F.row_number().over(Window.orderBy(*best_first()))  # a row a setting
-    return grid(spark, sf).select(*SETTING, _r("macro"), (first == 1).alias("selected"))
-
-
 @query(f"""{_CENTRED}, rr AS (SELECT a.item_id AS q_id, a.label AS q_label, b.label AS g_label, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) / (a.l * b.l) DESC, b.item_id) AS rank FROM q a, g b),
 a AS (SELECT 'centred' AS mode, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY q_label UNION ALL SELECT 'raw', q_label, avg((q_label = g_label)::INT) FROM rr WHERE rank = 1 GROUP BY q_label)
 SELECT mode, round(avg(x), 6) AS macro FROM a GROUP BY mode""")

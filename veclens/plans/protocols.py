@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import registry
 from ..functions import vectors
 from ..operators import metrics, similarity, splits, statistics
 from ..sources import tables
@@ -98,21 +99,13 @@ def soft_retrieval_eval(spark, sf):
 
 
 def spaces(items: DataFrame) -> dict[str, DataFrame]:
-    """The vectors' halves and the whole as spaces of their own."""
-    return {"A": items.withColumn("vec", F.slice("vec", 1, 32)), "B": items.withColumn("vec", F.slice("vec", 33, 32)), "Full": items}
+    """Every registered space's items; the vectors' halves and the whole are."""
+    return {name: space.build(items) for name, space in registry.SPACES.items()}
 
 
 _SPACES = "WITH e AS (SELECT s AS space, vec_id AS item_id, label, (CASE s WHEN 'A' THEN embedding[1:32] WHEN 'B' THEN embedding[33:64] ELSE embedding END)::DOUBLE[] AS v FROM embeddings, (SELECT unnest(['A', 'B', 'Full']) AS s)), n AS (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS l FROM e)"
 
 
-@query(f"""{_SPACES}, r AS (SELECT q.space, q.label AS q_label, g.label AS g_label, row_number() OVER (PARTITION BY q.space, q.item_id ORDER BY list_dot_product(q.v, g.v) / (q.l * g.l) DESC, g.item_id) AS rank
-FROM n q JOIN n g ON q.space = g.space AND q.item_id % 2 = 1 AND g.item_id % 2 = 0 AND q.label <= 7 AND g.label <= 7), a AS (SELECT space, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY ALL)
-SELECT space, round(avg(x), 6) AS macro, count(*) AS labels FROM a GROUP BY space""")
-def space_ablation(spark, sf):
-    out = [similarity.nearest(tables.id_queries(s), tables.gallery(s)).withColumn("space", F.lit(name)) for name, s in spaces(tables.read_embeddings(spark, sf)).items()]
-    return metrics.macro(out[0].unionByName(out[1]).unionByName(out[2]), ["space"]).select("space", _r("macro"), "labels")
-
-
 _BYSOURCE = f"WITH {E}, p AS (SELECT * FROM q UNION ALL SELECT * FROM o), {_sims('p')}, s0 AS (SELECT q_id, (q_label > 7)::INT AS pos, 'src' || q_id % 3 AS source, round(1 - sim, 9) AS score FROM r WHERE rank = 1)"
 
 
@@ -163,18 +156,6 @@ def largest_gains(spark, sf):
     return best("gain", F.desc("d")).unionByName(best("loss", F.asc("d")))
 
 
-@query(f"""{WITH}, v AS (SELECT k, q_id, q_label, g_label, count(*) AS n, max(sim) AS best FROM r, (SELECT unnest([1, 5, 10, 20]) AS k) WHERE rank <= k GROUP BY ALL), p AS (SELECT k, q_label, g_label AS pred FROM v QUALIFY row_number() OVER (PARTITION BY k, q_id ORDER BY n DESC, best DESC, g_label) = 1),
-a AS (SELECT k, avg(x) AS macro FROM (SELECT k, q_label, avg((pred = q_label)::INT) AS x FROM p GROUP BY ALL) GROUP BY k) SELECT k, round(macro, 6) AS macro, row_number() OVER (ORDER BY round(macro, 9) DESC, k) = 1 AS selected FROM a""")
-def select_best_k(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    top = similarity.matches(q, g, 20).withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 10, 20))))).where("rank <= k")
-    counted = top.groupBy("k", "q_id", "q_label", "g_label").agg(F.count("*").alias("n"), F.max("sim").alias("best"))
-    place = F.row_number().over(Window.partitionBy("k", "q_id").orderBy(F.desc("n"), F.desc("best"), "g_label"))
-    m = metrics.macro(counted.withColumn("at", place).where("at = 1").withColumn("pred", F.col("g_label")), ["k"])
-    first = F.row_number().over(Window.orderBy(F.desc(F.round("macro", 9)), "k"))  # a row a setting
-    return m.select("k", _r("macro"), (first == 1).alias("selected"))
-
-
 @query(f"""{_SPACES} SELECT space, count(*) FILTER (item_id % 2 = 0 AND label <= 7) AS gallery_rows, count(DISTINCT label) FILTER (item_id % 2 = 0 AND label <= 7) AS gallery_labels, count(DISTINCT label) FILTER (item_id % 2 = 1 AND label <= 7) AS id_labels, count(DISTINCT label) FILTER (label > 7) AS ood_labels FROM n GROUP BY space""")
 def protocol_audit(spark, sf):
     g, q, o = F.expr("item_id % 2 = 0 and label <= 7"), F.expr("item_id % 2 = 1 and label <= 7"), F.col("label") > 7

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import names, vectors
 from ..operators import metrics, openset, similarity, splits
+from ..operators.scorers import centred
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,12 +221,6 @@ cv AS (SELECT item_id, label, list_transform(list_zip(v, c), lambda z: z[1] - z[
 cg AS (SELECT * FROM cl WHERE item_id % 2 = 0 AND label <= 7), cq AS (SELECT * FROM cl WHERE item_id % 2 = 1 AND label <= 7), {_sims('cq', 'cg')}"""
 
 
-def centred(items: DataFrame, g: DataFrame) -> DataFrame:
-    """items less the gallery's mean, at unit length. The mean is one row."""
-    mean = vectors.mean_vector(g, [], name="mean")
-    return vectors.scaled(items.crossJoin(F.broadcast(mean)).withColumn("vec", vectors.shifted("vec", "mean")).drop("mean"))
-
-
 @query(f"{_CENTRED} SELECT q_id, g_id, round(sim, 6) AS sim FROM r WHERE rank = 1")
 def center_by_gallery(spark, sf):
     items, g, _, _ = _roles(spark, sf)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import registry
 from ..functions import vectors
 from ..operators import geometry, metrics, openset, resampling, sampling, similarity, splits, statistics
 from ..sources import tables
-from .inventory import mixed_of
 from .protocols import _BYSOURCE, _SPACES, _TWO, TAU, label_table, logits, spaces, split_within_source, unchecked
 from .queries import _CENTROIDS, E, _r, _roles, _sims, centred, centroids, query
 
@@ -337,19 +337,15 @@ bs AS (SELECT mode, size, q_id, q_label, label FROM am QUALIFY row_number() OVER
 @query(f"""{_VARIANTS}, oq AS (SELECT * FROM q UNION ALL SELECT * FROM o), z AS (SELECT 0 AS one, (a.label > 7)::INT AS pos, round(1 - max(list_dot_product(a.v, g.v) / (a.l * g.l)), 9) AS score, 1 AS w FROM oq a, g GROUP BY a.item_id, a.label), {_CURVES.format(c="cv", by="one", rows="z")}
 SELECT mode, round(avg(x) FILTER (size = 'base'), 6) AS r1, round(avg(x) FILTER (size = 'big' AND q_label <= 7), 6) AS old, round(avg(x) FILTER (size = 'big' AND q_label > 7), 6) AS new, round(max(auroc), 6) AS auroc, round(max(fpr), 6) AS fpr FROM ac, cvr GROUP BY mode""")
 def memory_mode_ablation(spark, sf):
-    """Six ways to score the memory: accuracy, what of it stays when ten rows of each novel label join the gallery, and the new labels' own."""
-    items, g, q, o = _roles(spark, sf)
+    """The registered ways to score the memory: accuracy, what of it stays when ten rows of each novel label join the gallery, and the new
+    labels' own."""
+    _, g, q, o = _roles(spark, sf)
     place = F.row_number().over(Window.partitionBy("label").orderBy("item_id"))
     pool = o.where("item_id % 2 = 0").withColumn("at", place).where("at <= 10").drop("at")
     rows = []
     for size, gal, ask in (("base", g, q), ("big", g.unionByName(pool), q.unionByName(o.where("item_id % 2 = 1")))):
-        counts = gal.groupBy("label").agg(F.count("*").alias("n"))
-        for centre in (False, True):
-            a, b = (centred(ask, gal), centred(gal, gal)) if centre else (ask, gal)
-            own = similarity.class_scores(similarity.matches(a, b, 50)).select("q_id", "q_label", "label", "score")
-            mean = own.join(counts, "label").select("q_id", "q_label", "label", (F.col("score") - F.log("n")).alias("score"))
-            for mode, scores in (("centered" if centre else "raw", own), ("centered_logmeanexp" if centre else "logmeanexp", mean), ("centered_prototype_mix" if centre else "prototype_mix", mixed_of(a, b))):
-                rows.append(similarity.best_class(scores.withColumn("score", F.round("score", 9))).select(F.lit(mode).alias("mode"), F.lit(size).alias("size"), "q_label", "pred"))
+        for mode in registry.MODES:
+            rows.append(registry.predicted(mode, ask, gal).select(F.lit(mode).alias("mode"), F.lit(size).alias("size"), "q_label", "pred"))
     x = metrics.per_label(_union(rows), ["mode", "size"])
     mean = lambda c, name: _r(F.avg(F.when(c, F.col("accuracy"))), name)
     big, novel = F.col("size") == "big", F.col("q_label") > tables.LAST_KNOWN
@@ -369,7 +365,7 @@ gn AS (SELECT space, scope, count(*) AS rows, count(DISTINCT label) AS labels FR
 SELECT space, scope, rows, labels, round(proto, 6) AS proto, round((SELECT avg(x) FROM r1 WHERE r1.space = gn.space AND r1.scope = gn.scope), 6) AS r1, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(auroc, 6) AS auroc, round(fpr, 6) AS fpr, round((SELECT avg(x) FROM ac WHERE size = 'big' AND q_label <= 7 AND ac.space = gn.space AND ac.scope = gn.scope), 6) AS old,
 round((SELECT avg(x) FROM ac WHERE size = 'big' AND q_label > 7 AND ac.space = gn.space AND ac.scope = gn.scope), 6) AS new, space = 'Full' AND scope = 'full' AS memorized FROM gn JOIN pa USING (space, scope) JOIN bo USING (space, scope) JOIN cvr USING (space, scope)""")
 def headline(spark, sf):
-    """A row for each space and scope: gallery, centroids, nearest rows with their interval, novelty, and what stays once novel labels join.
+    """A row for each registered space and scope, by the space's scorer: gallery, centroids, nearest rows with their interval, novelty, and what stays once novel labels join.
 
     memorized marks the space whose training saw the gallery's labels, in scopes that hold them all. A native classifier doesn't depend on
     the gallery: `native_classifier` has its figure.
@@ -379,6 +375,7 @@ def headline(spark, sf):
     limit = F.when(F.col("scope") == "full", last["full"]).otherwise(last["id_only"])
     bests, protos, sizes = [], [], []
     for name, s in spaces(tables.read_embeddings(spark, sf)).items():
+        scorer = registry.SPACES[name].scorer
         g, q, o = tables.gallery(s), tables.id_queries(s), tables.ood_queries(s)
         place = F.row_number().over(Window.partitionBy("label").orderBy("item_id"))
         pool = o.where("item_id % 2 = 0").withColumn("at", place).where("at <= 10").drop("at").withColumn("scope", F.explode(F.array(F.lit("full"), F.lit("id_only"))))
@@ -386,7 +383,12 @@ def headline(spark, sf):
         base = scoped.withColumn("part", F.concat(F.col("scope"), F.lit(":base")))
         big = scoped.unionByName(pool).withColumn("part", F.concat(F.col("scope"), F.lit(":big")))
         top = similarity.matches(q.unionByName(o), base.unionByName(big).drop("scope"), 1, by="part")
-        bests.append(top.select(F.lit(name).alias("space"), F.split("part", ":")[0].alias("scope"), F.split("part", ":")[1].alias("size"), "q_id", "q_label", F.col("g_label").alias("pred"), "sim"))
+        top = top.withColumnRenamed("g_label", "pred")
+        if scorer != registry.NEAREST:
+            every = base.unionByName(big)
+            parts = [registry.predicted(scorer, q.unionByName(o), every.where(F.col("part") == p).select("item_id", "label", "vec")).select(F.lit(p).alias("part"), "q_id", "pred") for p in (f"{x}:{y}" for x in last for y in ("base", "big"))]
+            top = top.drop("pred").join(_union(parts), ["part", "q_id"])
+        bests.append(top.select(F.lit(name).alias("space"), F.split("part", ":")[0].alias("scope"), F.split("part", ":")[1].alias("size"), "q_id", "q_label", "pred", "sim"))
         near = similarity.matches(q, centroids(g).withColumn("scope", F.explode(held)), 1, by="scope")
         protos.append(near.select(F.lit(name).alias("space"), "scope", "q_label", F.col("g_label").alias("pred")))
         sizes.append(scoped.groupBy("scope").agg(F.count("*").alias("rows"), F.count_distinct("label").alias("labels")).withColumn("space", F.lit(name)))
