@@ -162,6 +162,36 @@ def _alike(ql: pa.Array, gl: pa.Array) -> np.ndarray:
     return (q[:, None] == g[None, :]) & (q[:, None] >= 0)
 
 
+def _relevant(batch: pa.RecordBatch, i: int) -> Iterator[tuple]:
+    """Of the blocks in a row, 512 queries at a time: their first place, the relevant pairs' places in queries and gallery, all similarities,
+    and both blocks' ids."""
+    (qi, ql, qx), (gi, gl, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
+    same = _alike(ql, gl)
+    for k in range(0, len(qi), 512):
+        yield k, *np.nonzero(same[k : k + 512]), qx[k : k + 512] @ gx.T, qi, gi
+
+
+def bundles(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, bundle: int = BUNDLE, counts: list[int] | None = None) -> DataFrame:
+    """qb, bundle, own: the relevant pairs (q_id, g_id, sim) of each query block, in as many rows as its labels need for about `bundle` pairs
+    each. What two blocks have in common stays together, so a row has no more than that beyond its share."""
+    counts = counts or sizes(queries, gallery)
+    kind = dict(queries.dtypes)["item_id"]
+    qb = F.pmod(F.xxhash64("item_id"), F.lit(_parts(counts[0], min(block, QUERY_BLOCK)))).cast("int").alias("qb")
+    of_label = gallery.groupBy("label").agg(F.count("*").alias("n"))
+    many = queries.join(of_label, "label").groupBy(qb).agg(F.ceil(F.sum("n") / bundle).cast("int").alias("bundles"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for k, a, b, sims, qi, gi in _relevant(batch, i):
+                    if len(a):
+                        found = pa.StructArray.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(sims[a, b])], ["q_id", "g_id", "sim"])
+                        yield pa.RecordBatch.from_arrays([batch.column("qb").slice(i, 1), batch.column("gb").slice(i, 1), pa.ListArray.from_arrays(np.array([0, len(a)], np.int32), found)], ["qb", "gb", "own"])
+
+    found = _pairs(queries, gallery, block, counts=counts).mapInArrow(alike, f"qb int, gb int, own array<struct<q_id:{kind},g_id:{kind},sim:double>>")
+    return found.join(many, "qb").withColumn("bundle", F.col("gb") % F.col("bundles")).groupBy("qb", "bundle").agg(F.flatten(F.collect_list("own")).alias("own"))
+
+
 def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, bundle: int = BUNDLE) -> DataFrame:
     """q_id, q_label, g_id, rank, gallery: where each gallery row of a query's own label stands in the query's full ranking; a row with null
     g_id and rank for a query whose label the gallery doesn't have.
@@ -177,21 +207,12 @@ def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, b
     asked = queries.select(F.col("item_id").alias("q_id"), F.col("label").alias("q_label"))
     done = lambda ranks: asked.join(ranks, "q_id", "left").withColumn("gallery", F.lit(counts[1]).cast("long"))
 
-    def relevant(batch: pa.RecordBatch, i: int):
-        """place, id and gallery id of each relevant pair of the blocks in a row, with their similarities; and the blocks."""
-        (qi, ql, qx), (gi, gl, gx) = (_rows(batch.column(c), i, False) for c in ("qb_rows", "gb_rows"))
-        same = _alike(ql, gl)
-        for k in range(0, len(qi), 512):
-            sims = qx[k : k + 512] @ gx.T
-            a, b = np.nonzero(same[k : k + 512])
-            yield k, a, b, sims, qi, gi
-
     if _parts(counts[1], block) == 1:
 
         def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    for k, a, b, sims, qi, gi in relevant(batch, i):
+                    for k, a, b, sims, qi, gi in _relevant(batch, i):
                         ends = np.searchsorted(a, np.arange(len(sims) + 1))
                         rank = [_nearer(row, gi, row[b[x:y]], gi[b[x:y]]) + 1 for row, x, y in zip(sims, ends[:-1], ends[1:], strict=True) if x < y]
                         yield pa.RecordBatch.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(np.concatenate([np.zeros(0, np.int64), *rank]))], ["q_id", "g_id", "rank"])
@@ -199,21 +220,7 @@ def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, b
         return done(_pairs(queries, gallery, block, counts=counts).mapInArrow(ranked, f"{own}, rank long"))
 
     q_parts = _parts(counts[0], min(block, QUERY_BLOCK))
-    of_label = gallery.groupBy("label").agg(F.count("*").alias("n"))
-    qb = F.pmod(F.xxhash64("item_id"), F.lit(q_parts)).cast("int").alias("qb")
-    bundles = queries.join(of_label, "label").groupBy(qb).agg(F.ceil(F.sum("n") / bundle).cast("int").alias("bundles"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for k, a, b, sims, qi, gi in relevant(batch, i):
-                    if len(a):
-                        found = pa.StructArray.from_arrays([pa.array(qi[k + a]), pa.array(gi[b]), pa.array(sims[a, b])], ["q_id", "g_id", "sim"])
-                        yield pa.RecordBatch.from_arrays([batch.column("qb").slice(i, 1), batch.column("gb").slice(i, 1), pa.ListArray.from_arrays(np.array([0, len(a)], np.int32), found)], ["qb", "gb", "own"])
-
-    found = _pairs(queries, gallery, block, counts=counts).mapInArrow(alike, f"qb int, gb int, own array<struct<q_id:{kinds['item_id']},g_id:{kinds['item_id']},sim:double>>")
-    packed = found.join(bundles, "qb").withColumn("bundle", F.col("gb") % F.col("bundles")).groupBy("qb", "bundle").agg(F.flatten(F.collect_list("own")).alias("own"))
-    rows = packed.join(_blocks(queries, "qb", F.lit(q_parts)), "qb").withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(_parts(counts[1], block) - 1))))
+    rows = bundles(queries, gallery, block, bundle, counts).join(_blocks(queries, "qb", F.lit(q_parts)), "qb").withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(_parts(counts[1], block) - 1))))
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, tuple] = {}
