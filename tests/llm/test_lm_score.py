@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import ROWS, documents, empty
@@ -104,3 +105,47 @@ def test_length_does_not_change_what_is_learned(monkeypatch):
                 for cut, p in ways:
                     np.add.at(want, cut, n * p / sum(p for _, p in ways))
             assert np.allclose(found[0][0], want)
+
+
+def enumerated(word, pieces, prob):
+    return sum(math.prod(prob[i] for i in cut) for cut in _cuts(b" " + word, pieces))
+
+
+def expectation(words, counts, pieces, prob):
+    out = np.zeros(len(prob))
+    for word, n in zip(words, counts, strict=True):
+        ways = [(cut, math.prod(prob[i] for i in cut)) for cut in _cuts(b" " + word, pieces)]
+        for cut, p in ways:
+            np.add.at(out, cut, n * p / sum(p for _, p in ways))
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 2, 100])
+def test_scores_are_sums_over_all_cuts(spark, monkeypatch, most):
+    """The whole model on a small vocabulary, re-estimation and all, cut by cut."""
+    pieces = [b" ", b" a", b"a", b"ab", b"b", b"ba", b"abb"]
+    prior = np.r_[np.arange(1, 8), np.full(256, 0.05)]
+    prior /= prior.sum()
+    monkeypatch.setattr(lm_score, "vocabulary", lambda name=None: (list(pieces), prior.copy()))
+    monkeypatch.setattr(lm_score, "PRIOR", 3.0)
+    rng = np.random.default_rng(6)
+    base = ["ab", "abb", "ba", "a", "abab", "xa", "bb", "bab"]
+    rows = [(i, " ".join(rng.choice(base[: 3 + i % 6], rng.integers(0, 9))), "en", "a", 0, "", "", "", "") for i in range(40)] + [(50, None, "en", "a", 0, "", "", "", "")]
+    counts = Counter(w for r in rows if not out(r[0]) for w in split(r[1]))
+    ends = sum(not out(r[0]) for r in rows)
+    prob = prior
+    for _ in range(lm_score.WARM_ROUNDS):
+        prob = expectation(list(counts), [1.0] * len(counts), pieces, prob) + 3.0 * prior
+        prob /= prob.sum()
+    keys = {w: k for k, w in ((lm_score.tokenise(pa.array([w.decode()])).hashes.view(np.int64)[0], w) for w in counts)}
+    order = sorted(counts, key=lambda w: (-counts[w], keys[w]))[:most]
+    weights = expectation(list(counts), [0.75 if w in order else counts[w] for w in counts], pieces, prob) + 3.0 * prior
+    every = pieces + [b" " + w for w in order if b" " + w not in pieces]
+    full = np.r_[weights[: len(pieces)], np.zeros(len(every) - len(pieces)), weights[len(pieces) :]]
+    for w in order:
+        full[every.index(b" " + w)] += counts[w] - 0.75
+    total = full.sum() + ends
+    want = {r[0]: math.log10(ends / total) + sum(math.log10(enumerated(w, every, full / total)) for w in split(r[1])) for r in rows}
+    for frequent in (1, 100):
+        got = lm_score.score_texts(documents(spark, rows), frequent=frequent, pieces_most=most).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want)

@@ -2,7 +2,9 @@
 
 The pieces of an existing vocabulary weight every way to cut a word into pieces; a forward recursion in log space sums over all of them, so
 a text's score is its marginal probability, not that of one best cut. Piece probabilities start from the vocabulary's own scores and are
-re-estimated from the training documents' words. The base score is an add-one unigram model of whole words.
+re-estimated from the training documents' words. The most frequent words join the vocabulary as pieces of their own, next to the ways to cut
+them; each gives a discount of its count to those. Every word's score is its lattice's, whether training saw it or not. The base score is an
+add-one unigram model of whole words.
 
 Words travel as 64-bit hashes. A bounded table of frequent words is broadcast; only the other words of a document are shuffled, to be
 joined with their counts, and none of them is frequent, so no key is hot.
@@ -16,23 +18,26 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, staged
 from .recompression import _ODD, mix
-from .words import row_slices, tokenise
+from .words import column_of, row_slices, tokenise
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words in the broadcast table at most; they decide what is shuffled, never a result.
 FREQUENT = 65_536
+#: Frequent words that become pieces, at most.
+PIECES = 65_536
 #: Rounds of re-estimation before the one on all words, and the most frequent words that they learn from.
 WARM_ROUNDS, WARM_WORDS = 4, 65_536
 #: Weight of the vocabulary's own scores in each re-estimate, in words.
 PRIOR = 1000.0
-#: What each distinct training word gives of its count to the lattice.
-DISCOUNT = 0.75
+#: What each word that becomes a piece gives of its count to its other cuts, and the longest such word, in bytes.
+DISCOUNT, LONGEST_PIECE = 0.75, 32
 SLICE = 8 << 20
 #: Longest word, in bytes, that is scored among others of its length; longer ones go one by one.
 LONG = 48
@@ -57,6 +62,16 @@ def vocabulary(name: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
     return pieces, weights / weights.sum()
 
 
+def with_words(pieces: list[bytes], weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The pieces and these words as pieces, a blank before each, their weights raised by their counts less the discount. Bytes stay last."""
+    at = {p: i for i, p in enumerate(pieces)}
+    new = [b" " + w for w in words if b" " + w not in at]
+    at.update((p, len(pieces) + i) for i, p in enumerate(new))
+    out = np.r_[weights[: len(pieces)], np.zeros(len(new)), weights[len(pieces) :]]
+    np.add.at(out, np.array([at[b" " + w] for w in words], np.int64), counts - DISCOUNT)
+    return pieces + new, out
+
+
 class Lattice:
     """All ways to cut words into pieces, over arrays of words of one length at a time."""
 
@@ -208,14 +223,6 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], at[1:]
 
 
-def _column(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The pieces data[start:end] as a binary column."""
-    size = end - start
-    at = np.r_[0, np.cumsum(size)]
-    body = data[np.repeat(start - at[:-1], size) + np.arange(at[-1])]
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """key, word, n: each lower-cased word of all texts, counted in each task before the shuffle."""
 
@@ -226,7 +233,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 key, at, n = np.unique(w.hashes, return_index=True, return_counts=True)
                 for k in range(0, len(key), 50_000):
                     i = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000].view(np.int64)), _column(w.data, w.start[i], w.end[i]), pa.array(n[k : k + 50_000].astype(np.int64))], ["key", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000].view(np.int64)), column_of(w.data, w.start[i], w.end[i]), pa.array(n[k : k + 50_000].astype(np.int64))], ["key", "word", "n"])
 
     return docs.select("text").mapInArrow(count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
@@ -236,10 +243,11 @@ def _estimate(lattice: Lattice, expected: np.ndarray, prior: np.ndarray) -> None
     lattice.weigh(weights / weights.sum())
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, frequent: int = FREQUENT, name: str = VOCABULARY) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, frequent: int = FREQUENT, name: str = VOCABULARY, pieces_most: int = PIECES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Words and counts learn from documents that aren't held out. A null or empty text is its end alone. Without training documents all
+    score: the sum over words of their lattices' log probability, and the end's, whose weight is the number of training documents. Words and
+    counts learn from documents that aren't held out. A null or empty text is its end alone. Without training documents all
     counts are 0. Rows that repeat a doc_id and text are scored alike, each for itself; a null doc_id counts as training. A word of any
     length, in any alphabet, has a probability: bytes are pieces, too. Words are told apart by 64-bit hashes. An empty table gives no rows.
     """
@@ -249,41 +257,49 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, frequent:
     n_docs = train.count()
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, n_distinct = (totals.n or 0) + n_docs, totals.v + (n_docs > 0)
-    first = counts.orderBy(F.desc("n"), "key").limit(max(frequent, WARM_WORDS)).toArrow()
+    first = counts.orderBy(F.desc("n"), "key").limit(max(frequent, WARM_WORDS, pieces_most)).toArrow()
     top = first.slice(0, frequent)
     top = top.take(np.argsort(top.column("key").to_numpy().view(np.uint64)))
     keys, times = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
 
     pieces, prior = vocabulary(name)
     lattice = Lattice(pieces, prior)
-    words, warmest = (_bytes(pa.array(x.column("word").to_pylist(), pa.binary())) for x in (top, first.slice(0, WARM_WORDS)))
+    warmest = _bytes(pa.array(first.slice(0, WARM_WORDS).column("word").to_pylist(), pa.binary()))
     for _ in range(WARM_ROUNDS):
         _estimate(lattice, lattice.expected(*warmest, np.ones(len(warmest[1]))), prior)
+    kept = first.slice(0, pieces_most)
+    kept = kept.filter(pc.less_equal(pc.binary_length(kept.column("word")), LONGEST_PIECE))
+    as_piece = np.sort(kept.column("key").to_numpy())
     context = docs.sparkSession.sparkContext
-    warm = context.broadcast(np.exp(lattice.log[:-1]))
+    warm = context.broadcast((np.exp(lattice.log[:-1]), as_piece))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Lattice(pieces, warm.value), np.zeros(len(warm.value))
+        prob, own_pieces = warm.value
+        own, total = Lattice(pieces, prob), np.zeros(len(prob))
         for batch in batches:
-            total += own.expected(*_bytes(batch.column("word")), np.ones(batch.num_rows))
+            key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(float)
+            at = np.minimum(np.searchsorted(own_pieces, key), max(len(own_pieces) - 1, 0))
+            if len(own_pieces):
+                n[own_pieces[at] == key] = DISCOUNT
+            total += own.expected(*_bytes(batch.column("word")), n)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
-    found = counts.select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as pieces
+    found = counts.select("key", "word", "n").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as pieces
     expected = np.zeros(len(prior))
     expected[found.column("piece").to_numpy()] = found.column("n").to_numpy()
-    _estimate(lattice, expected, prior)
+    every, weights = with_words(pieces, expected + PRIOR * prior, kept.column("word").to_pylist(), kept.column("n").to_numpy())
+    all_weights = weights.sum() + max(n_docs, 1)
+    lattice = Lattice(every, weights / all_weights)
+    end_score = float(np.log10(max(n_docs, 1) / all_weights))
     scale = float(n_all + n_distinct + 1)
-    total = max(n_all, 1)
-    left = DISCOUNT * totals.v / total if n_docs and totals.v else 0.5
-    often = np.log10((times - DISCOUNT) / total + left * np.exp(lattice.scores(*words)))
-    model = context.broadcast((np.exp(lattice.log[:-1]), keys, np.log10((times + 1) / scale), often))
+    often = lattice.scores(*_bytes(pa.array(top.column("word").to_pylist(), pa.binary()))) / np.log(10)
+    model = context.broadcast((every, np.exp(lattice.log[:-1]), keys, np.log10((times + 1) / scale), often))
     end_base = float(np.log10((n_docs + 1) / scale))
-    end_score = float(np.log10(n_docs / total)) if n_docs else float(np.log10(0.5))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prob, keys, base, scores = model.value
-        own = Lattice(pieces, prob)
+        own_pieces, prob, keys, base, scores = model.value
+        own = Lattice(own_pieces, prob)
         names = ["doc_id", "print", "head", "key", "n", "n_tokens", "known", "base", "score", "lattice"]
         for batch in batches:
             for part in row_slices(batch, SLICE):
@@ -312,10 +328,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, frequent:
     seen = flat.join(counts.select("key", F.col("n").alias("c")), "key", "left").withColumn("c", F.when(F.col("head"), F.lit(0)).otherwise(F.coalesce("c", F.lit(0))))
     known = F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0))
     base = F.sum(F.col("base") + F.when(F.col("head"), F.lit(0.0)).otherwise(F.col("n") * F.log10((F.col("c") + 1) / scale)))
-    # in log space: words too long for a probability have a logarithm
-    both = F.col("lattice") + float(np.log10(left))
-    word = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / total + F.pow(F.lit(10.0), both))).otherwise(both)
-    score = F.sum(F.col("score") + F.when(F.col("head"), F.lit(0.0)).otherwise(F.col("n") * word))
+    score = F.sum(F.col("score") + F.when(F.col("head"), F.lit(0.0)).otherwise(F.col("n") * F.col("lattice")))
     # repeated rows come in together, and go out one by one
     rows = seen.groupBy("doc_id", "print").agg(F.sum(F.col("head").cast("int")).alias("rows"), F.sum("n_tokens").alias("n_tokens"), known.alias("n_known"), base.alias("base_score"), score.alias("score"))
     rows = rows.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
