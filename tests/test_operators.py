@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions import names, vectors
-from veclens.operators import gram, metrics, similarity, splits
+from veclens.operators import attributes, gram, metrics, similarity, splits
 from veclens.sources import files
 
 
@@ -191,3 +191,25 @@ def test_three_way_split(spark, n, want):
     assert tuple(got.get(k, 0) for k in ("train", "val", "test")) == want
     same = splits.train_val_test(rows.repartition(3), ["label"])
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, splits.train_val_test(rows, ["label"]).collect()))
+
+
+def test_manifest_of_nested_lists(spark):
+    rows = ['{"train": [["a/1.jpg", "x"], ["a/1.jpg", "x"], ["a/2.jpg", null]], "val": []}', '{"test": null, "train": [["b/1.jpg", "y"]]}', None]
+    items = files.manifest_items(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "part int, value string"))
+    assert sorted((r.part, r.split, r.pos, r.path, r.label or "") for r in items.collect()) == [(0, "train", 0, "a/1.jpg", "x"), (0, "train", 1, "a/1.jpg", "x"), (0, "train", 2, "a/2.jpg", ""), (1, "train", 0, "b/1.jpg", "y")]
+    assert [tuple(r) for r in files.manifest_counts(items).collect()] == [("train", 4, 3, 2)]
+    for bad in ('{"train": [["a"]]}', '{"train": [["a", "b", "c"]]}', '[1]', '{"train": 3}'):
+        with pytest.raises(Exception, match="pair of path|MALFORMED|PARSE"):
+            files.manifest_items(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_uninformative_columns(spark):
+    """Forty attributes, some of them of odd names, in every kind of presence."""
+    kinds = {"all": [1.0, 1.0, 1.0], "none": [0.0, 0.5, 0.0], "some": [1.0, 0.0, 1.0], "half": [0.5, 0.5, 0.5], "all known": [1.0, None, 1.0], "none known": [None, 0.5, None], "unknown": [None, None, None], "one": [None, 1.0, 0.0]}
+    columns = {f"{k}.{i}": v for i in range(5) for k, v in kinds.items()}
+    rows = [(label, *(v[i] for v in columns.values())) for i, label in enumerate("xyz")]
+    df = spark.createDataFrame(rows, "label string, " + ", ".join(f"`{c}` double" for c in columns))
+    kept = attributes.informative(df, ["label"])
+    assert kept.columns == ["label", *(c for c in columns if c.split(".")[0] in ("some", "unknown", "one"))]
+    assert attributes.informative(df.select("label"), ["label"]).columns == ["label"]
+    assert attributes.informative(df.limit(0), ["label"]).columns == df.columns

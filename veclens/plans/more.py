@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, vectors
-from ..operators import metrics, similarity, splits
-from ..sources import tables
+from ..operators import attributes, metrics, similarity, splits
+from ..sources import files, tables
 from .protocols import TAU, label_table, unchecked
 from .queries import _ACC, _CENTRED, _CENTROIDS, _FULL, _SCORES, WITH, E, _r, _roles, _scores, _sims, centred, centroids, query
 
 # ---- preparation
 
 
-@query("""SELECT event_type, (props::JSON ->> 'k')::BIGINT // 10 AS bucket, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL""")
+@query("""WITH i AS (SELECT CASE WHEN vec_id % 10 < 7 THEN 'meta-train' WHEN vec_id % 10 = 7 THEN 'meta-val' ELSE 'meta-test' END AS split, 'gallery/' || label || '/' || vec_id // 2 || '.jpg' AS path, 's' || label AS label FROM embeddings) SELECT split, count(*) AS images, count(DISTINCT path) AS paths, count(DISTINCT label) AS labels FROM i GROUP BY split""")
 def read_manifest(spark, sf):
-    """Items of a JSON column, counted by split."""
-    item = F.from_json("props", "k long")["k"]
-    return tables.read(spark, sf, "events").groupBy("event_type", F.floor(item / 10).alias("bucket")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    """Images, paths and labels of each split of a manifest of nested lists, written as JSON first: a part of it for each hundred items."""
+    at = F.col("vec_id") % 10
+    split = F.when(at < 7, "meta-train").when(at == 7, "meta-val").otherwise("meta-test").alias("split")
+    path = F.concat(F.lit("gallery/"), "label", F.lit("/"), F.floor(F.col("vec_id") / 2), F.lit(".jpg"))
+    rows = tables.read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("part"), split, F.array(path, F.concat(F.lit("s"), "label")).alias("item"))
+    lists = rows.groupBy("part", "split").agg(F.collect_list("item").alias("items")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("split", "items"))).alias("m"))
+    where = files.folder(spark, "manifest")
+    lists.select(F.to_json("m").alias("value")).write.text(where)
+    return files.manifest_counts(files.manifest_items(spark.read.text(where)))
 
 
 @query("SELECT event_type, split_ord, count(*) AS n FROM (SELECT event_type, 0::BIGINT AS split_ord FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_type, 1 FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_type, 2 FROM events WHERE event_id % 3 = 2) GROUP BY ALL")
@@ -70,10 +76,15 @@ def status_counts(spark, sf):
     return tables.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("kept"))
 
 
-@query("SELECT p_brand AS attribute, round(avg((p_size > 25)::INT), 6) AS rate FROM part GROUP BY p_brand HAVING avg((p_size > 25)::INT) > 0 AND avg((p_size > 25)::INT) < 1")
+_ROUNDED = "CASE WHEN avg({0}) <= 0.25 THEN 0.0 WHEN avg({0}) >= 0.75 THEN 1.0 ELSE 0.5 END::DOUBLE"
+
+
+@query(f"""SELECT l_partkey, {_ROUNDED.format("(l_quantity > 13)::INT")} AS large, {_ROUNDED.format("(l_returnflag <> 'R')::INT")} AS kept, {_ROUNDED.format("(l_tax < 0.07)::INT")} AS taxed, NULL::DOUBLE AS unknown FROM lineitem GROUP BY l_partkey""")
 def attr_drop_uninformative(spark, sf):
-    """Attributes that are neither always nor never there."""
-    return tables.read(spark, sf, "part").groupBy(F.col("p_brand").alias("attribute")).agg(F.avg((F.col("p_size") > 25).cast("int")).alias("rate")).where("rate > 0 and rate < 1").select("attribute", _r("rate"))
+    """A matrix of six attributes of parts without the two that none or all of them have; one that nobody knows stays."""
+    flags = {"large": F.col("l_quantity") > 13, "kept": F.col("l_returnflag") != "R", "always": F.col("l_quantity") > 0, "never": F.col("l_quantity") < 0, "taxed": F.col("l_tax") < 0.07, "unknown": F.lit(None).cast("boolean")}
+    matrix = tables.read(spark, sf, "lineitem").groupBy("l_partkey").agg(*(F.avg(metrics.hit(c)).alias(n) for n, c in flags.items()))
+    return attributes.informative(matrix.select("l_partkey", *(names.rounded(F.col(n)).alias(n) for n in flags)), ["l_partkey"])
 
 
 @query("SELECT label, item_id FROM (SELECT label, vec_id AS item_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT * FROM embeddings WHERE vec_id % 3 = 0)) WHERE k = 1")

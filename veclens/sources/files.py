@@ -89,3 +89,25 @@ def scoped(gallery: DataFrame, scope: str, known: DataFrame | None = None, least
     if (n := out.agg(F.count_distinct("label")).first()[0]) < least:
         raise ValueError(f"{n} labels in scope {scope!r}, fewer than {least}")
     return out
+
+
+#: A manifest: split -> list of [path, label].
+MANIFEST = "map<string,array<array<string>>>"
+
+
+def manifest_items(texts: DataFrame, column: str = "value") -> DataFrame:
+    """texts' other columns with split, pos, path, label: a row for each item of the nested lists of a manifest, in the order of its list.
+
+    texts: a manifest a row; more rows are more parts of it. An entry that isn't a pair of path and label fails, as does a text that is no
+    manifest; a null or empty list has no items.
+    """
+    parsed = texts.withColumn("splits", F.from_json(column, MANIFEST, {"mode": "FAILFAST"}))
+    lists = parsed.select(*(c for c in texts.columns if c != column), F.explode("splits").alias("split", "items"))
+    each = lists.select("*", F.posexplode("items").alias("pos", "item")).drop("items")
+    label = F.when(F.size("item") == 2, F.col("item")[1]).otherwise(F.raise_error(F.lit("an item of a manifest is a pair of path and label")))
+    return each.select(*(c for c in each.columns if c != "item"), F.col("item")[0].alias("path"), label.cast("string").alias("label"))
+
+
+def manifest_counts(items: DataFrame) -> DataFrame:
+    """split, images, paths, labels: items, and different paths and labels, of each split."""
+    return items.groupBy("split").agg(F.count("*").alias("images"), F.count_distinct("path").alias("paths"), F.count_distinct("label").alias("labels"))
