@@ -41,8 +41,8 @@ from .words import row_slices, tokenise
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Bytes of text of a range of doc_ids; ids and documents of a shard; keys of a group of the index.
 PART_BYTES, SHARD_IDS, SHARD_DOCS, GROUP_KEYS = 32 << 20, 4 << 20, 65_536, 65_536
-#: Text that is turned into arrays at a time, words that a worker's cache holds, and the longest among them, in bytes.
-SLICE, CACHE_WORDS, LONGEST = 1 << 20, 200_000, 64
+#: Text that is turned into arrays at a time, words after which a worker's cache starts anew, and words that are encoded at a time.
+SLICE, CACHE_WORDS, TOGETHER = 2 << 20, 1 << 20, 128
 _CHECK, _STEP, _PRINT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 KEY = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 RECORD = np.dtype([("print", "<u4"), ("part", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("at", "<u8"), ("start", "<u8"), ("rows", "<u8")])
@@ -58,36 +58,63 @@ def _load(path: str) -> Tokenizer:
 
 
 class Encoder:
-    """Ids of whole texts for tokenizers in whose ids white space has no part: a text's ids are those of its words, one after another."""
+    """Ids of whole texts for tokenizers in whose ids white space has no part: a text's ids are those of its words, one after another. Words
+    that a worker has met are looked up by two hashes; new ones are encoded TOGETHER at a time."""
 
     def __init__(self, tokenizer: str):
         self.tok = _load(public_tokenizers.path(tokenizer))
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        made = {w: np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, self.kind) for w in new}
-        self.known.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
-        return [made[w] if w in made else self.known[w] for w in words]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has: by where in the joined words each id comes from."""
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            found = self.tok.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            own = np.searchsorted(starts, np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), side="right") - 1
+            ids.append(np.array(found.ids, self.kind))
+            sizes.append(np.bincount(own, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one row, the end id behind each text's, and how many each text has."""
         w = tokenise(texts)
         first, check = w.hashes, w.hashed(_CHECK)
-        _, at, back = np.unique(first, return_index=True, return_inverse=True)
+        key, at, back = np.unique(first, return_index=True, return_inverse=True)
         odd = np.flatnonzero(check[at[back]] != check)  # another word of the same hash
         back[odd] = len(at) + np.arange(len(odd))
         at = np.r_[at, odd]
-        made = self._words([w.data[w.start[i] : w.end[i]].tobytes() for i in at])
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        begin, each = np.cumsum(size) - size, size[back]
+        if len(self.key) > CACHE_WORDS:
+            self._forget()
+        where = np.minimum(np.searchsorted(self.key, first[at]), max(len(self.key) - 1, 0))
+        there = self.key[where] == first[at] if len(self.key) else np.zeros(len(at), bool)
+        known = there & (self.check[where] == check[at]) if len(self.key) else there
+        raw, fresh = w.data.tobytes(), np.flatnonzero(~known)
+        ids, sizes = self._new([raw[a:b].decode() for a, b in zip(w.start[at[fresh]].tolist(), w.end[at[fresh]].tolist())])
+        flat = np.concatenate([self.flat, ids])
+        begin, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        begin[known], size[known] = self.begin[where[known]], self.size[where[known]]
+        begin[fresh], size[fresh] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        keep = fresh[(fresh < len(key)) & ~there[fresh]]
+        into = np.searchsorted(self.key, first[at[keep]])
+        self.key, self.check = np.insert(self.key, into, first[at[keep]]), np.insert(self.check, into, check[at[keep]])
+        self.begin, self.size, self.flat = np.insert(self.begin, into, begin[keep]), np.insert(self.size, into, size[keep]), flat
+        each = size[back]
         before = np.r_[0, np.cumsum(each)]
-        flat = np.concatenate([np.zeros(0, self.kind), *made])
-        ids = flat[np.repeat(begin[back] - before[:-1], each) + np.arange(before[-1])]
-        return np.insert(ids, before[w.last], self.kind.type(end_id)), before[w.last] - before[w.first] + 1
+        out = flat[np.repeat(begin[back] - before[:-1], each) + np.arange(before[-1])]
+        return np.insert(out, before[w.last], self.kind.type(end_id)), before[w.last] - before[w.first] + 1
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str) -> Encoder:
+    """A worker's own, which keeps the words it has met from one task to the next."""
+    return Encoder(tokenizer)
 
 
 def hashed(ids: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -128,7 +155,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     manifest = {"tokenizer": tokenizer, "end_id": end_id, "bytes": kind.itemsize, "documents": count, "groups": max(1, math.ceil(count / group_keys)), "ids": 0}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, piece = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, piece = encoder(tokenizer), TaskContext.get().partitionId(), 0
         bodies, keys, n_ids, n_docs = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
