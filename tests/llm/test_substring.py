@@ -52,6 +52,25 @@ def test_cut_repeats(spark, window, rounds, reach):
     assert Counter(map(tuple, got)) == brute(rows, window)
 
 
+@pytest.mark.parametrize("bits", [1, 4, 9])
+def test_names_that_stand_for_several_windows(spark, bits):
+    """With names of so few bits nearly every window meets another by name: words alone decide."""
+    rows = rough(7 + bits, 60)
+    got = substring.cut_repeats(documents(spark, rows), 13, bits=bits, bucket_bytes=3000).collect()
+    assert Counter(map(tuple, got)) == brute(rows, 13)
+
+
+def test_rows_without_an_id_or_of_one_id_are_spread(spark):
+    text = " ".join(f"w{k % 50}" for k in range(30))
+    rows = [(None, f"{text} {i}", "en", "a", 0, "", "", "", "") for i in range(2000)] + [(7, f"{i} {text}", "en", "a", 0, "", "", "", "") for i in range(2000)]
+    df = documents(spark, rows)
+    for own in ("doc_id is null", "doc_id = 7"):
+        sizes = [r["count"] for r in df.where(own).groupBy(substring.bucket_of(64).alias("b")).count().collect()]
+        assert len(sizes) == 64 and max(sizes) < 100
+    got = substring.cut_repeats(documents(spark, rows[::20]), bucket_bytes=2000).collect()
+    assert Counter(map(tuple, got)) == brute(rows[::20], 13) and not any(r.n_removed for r in got)
+
+
 def test_no_rows(spark):
     assert substring.cut_repeats(empty(spark)).count() == 0
 
