@@ -49,3 +49,16 @@ def two_way(items: DataFrame, by: list[str], size: Column, names: tuple[str, str
 def sampled(items: DataFrame, by: list[str], k: int, reps: int, seed: int = 42) -> DataFrame:
     """rep, and items: at most k of each group in each of `reps` draws."""
     return sampling.drawn(items, by, k, reps, seed).drop("place")
+
+
+def meta(labels: DataFrame, train: float = 0.6, val: float = 0.1, least: int = 3, seed: int = 42) -> DataFrame:
+    """labels (label, grp, known) with split: known labels are tested on. The others of a group of `least` labels or more are shared out inside
+    it, those of smaller groups go where their group goes; shares are rounded half to even, and the last part takes what is left."""
+    free = labels.where("not known").withColumn("size", F.count("*").over(Window.partitionBy("grp")))
+    inside = placed(free.where(F.col("size") >= least), ["grp"], seed, "grp", "label").select(*labels.columns, "place", "n")
+    small = free.where(F.col("size") < least)
+    groups = placed(small.select("grp").distinct().withColumn("one", F.lit(0)), ["one"], seed, "grp").select("grp", "place", "n")
+    first, second = (F.bround(F.lit(share) * F.col("n"), 0) for share in (train, val))
+    split = F.when(F.col("place") <= first, "train").when(F.col("place") <= first + second, "val").otherwise("test")
+    shared = inside.unionByName(small.join(groups, "grp").select(*labels.columns, "place", "n")).withColumn("split", split).drop("place", "n")
+    return shared.unionByName(labels.where("known").withColumn("split", F.lit("test")))

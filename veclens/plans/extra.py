@@ -62,20 +62,6 @@ def sorted_exports(spark, sf):
     return tables.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).orderBy("l_returnflag", "l_linestatus")
 
 
-@query("""WITH n AS (SELECT p_name AS label, split_part(p_name, ' ', 1) AS grp, bool_or(p_partkey < 5) AS known FROM part GROUP BY p_name), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('42:' || grp || ':' || label)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM n WHERE NOT known),
-s AS (SELECT label, grp, CASE WHEN k <= round_even(0.6::DOUBLE * n, 0) THEN 'train' WHEN k <= round_even(0.6::DOUBLE * n, 0) + round_even(0.1::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM r)
-SELECT label, grp, split FROM s UNION ALL SELECT label, grp, 'test' FROM n WHERE known""")
-def split_meta(spark, sf):
-    """Known labels are tested on; the others are shared out inside their groups, 60 / 10 / 30, the last part taking what is left."""
-    labels = tables.read(spark, sf, "part").groupBy(F.col("p_name").alias("label")).agg(F.max(F.col("p_partkey") < 5).alias("known")).withColumn("grp", F.substring_index("label", " ", 1))
-    free = labels.where("not known")
-    own = Window.partitionBy("grp")
-    placed = free.withColumn("k", F.row_number().over(own.orderBy(tables.shuffled(42, "grp", "label")))).withColumn("n", F.count("*").over(own))
-    first, second = F.bround(F.lit(0.6) * F.col("n"), 0), F.bround(F.lit(0.1) * F.col("n"), 0)
-    split = F.when(F.col("k") <= first, "train").when(F.col("k") <= first + second, "val").otherwise("test")
-    return placed.select("label", "grp", split.alias("split")).unionByName(labels.where("known").select("label", "grp", F.lit("test").alias("split")))
-
-
 # ---- single measures of a ranking
 
 
@@ -227,7 +213,7 @@ def claim_table(spark, sf):
     long = wide.unpivot(["q_label", "whole"], ["a", "b"], "space", "other")
     means = long.groupBy("space").agg(F.avg("whole").alias("mean"), F.avg("other").alias("other_mean"))
     tests = metrics.holm(statistics.wilcoxon(long, ["space"], "whole", "other").withColumn("family", F.lit("spaces")), ["family"], order="space")
-    ci = statistics.mean_interval(wide.select(F.lit("all").alias("g"), "q_label", "whole"), ["g"], "whole", ["q_label"], 200)
+    ci = statistics.mean_interval(wide.select(F.lit("all").alias("g"), "q_label", "whole"), ["g"], "whole", ["q_label"], 5000)
     rows = means.join(tests, "space").crossJoin(F.broadcast(ci.select("ci_lo", "ci_hi")))  # one row
     return rows.select("space", _r("mean"), _r("other_mean"), _r(F.col("mean") - F.col("other_mean"), "delta"), _r("p_value"), _r("p_holm"), _r("ci_lo"), _r("ci_hi"))
 

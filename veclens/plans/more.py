@@ -225,17 +225,6 @@ def native_classifier(spark, sf):
 
 # ---- selection, ablations and reports
 
-@query(f"""{_CENTRED}, rr AS (SELECT a.item_id AS q_id, a.label AS q_label, b.label AS g_label, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) / (a.l * b.l) DESC, b.item_id) AS rank FROM q a, g b),
-a AS (SELECT 'centred' AS mode, q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY q_label UNION ALL SELECT 'raw', q_label, avg((q_label = g_label)::INT) FROM rr WHERE rank = 1 GROUP BY q_label)
-SELECT mode, round(avg(x), 6) AS macro FROM a GROUP BY mode""")
-def centering_ablation(spark, sf):
-    items, g, q, _ = _roles(spark, sf)
-    own = centred(items, g)
-    raw = similarity.nearest(q, g).withColumn("mode", F.lit("raw"))
-    mid = similarity.nearest(tables.id_queries(own), tables.gallery(own)).withColumn("mode", F.lit("centred"))
-    return metrics.macro(raw.unionByName(mid), ["mode"]).select("mode", _r("macro"))
-
-
 @query(f"""{WITH}, a AS (SELECT q_label, avg((q_label = g_label)::INT) AS x FROM r WHERE rank = 1 GROUP BY q_label), s AS (SELECT a.item_id AS q_id, a.label AS q_label, b.label AS g_label, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) / (a.l * b.l) DESC, b.item_id) AS rank FROM q a, g b WHERE a.label <= 3 AND b.label <= 3),
 b AS (SELECT q_label, avg((q_label = g_label)::INT) AS x FROM s WHERE rank = 1 GROUP BY q_label) SELECT round((SELECT avg(x) FROM a), 6) AS whole, round((SELECT avg(x) FROM b), 6) AS small, (SELECT avg(x) FROM a) < (SELECT avg(x) FROM b) AS ok""")
 def cardinality_check(spark, sf):
@@ -246,20 +235,3 @@ def cardinality_check(spark, sf):
     return whole.crossJoin(small).select(_r("whole"), _r("small"), (F.col("whole") < F.col("small")).alias("ok"))  # a row each
 
 
-@query(f"""{WITH}, w AS (SELECT q_label, g_label, count(*) AS n FROM r WHERE rank = 1 GROUP BY ALL) SELECT q_label, sum(n) FILTER (q_label = g_label)::BIGINT AS correct, sum(n) FILTER (q_label <> g_label)::BIGINT AS wrong, max_by(g_label, n * 100 - g_label) FILTER (q_label <> g_label) AS confused_with FROM w GROUP BY q_label""")
-def failure_taxonomy(spark, sf):
-    w = _top(spark, sf).groupBy("q_label", "pred").agg(F.count("*").alias("n"))
-    own, other = F.col("q_label") == F.col("pred"), F.col("q_label") != F.col("pred")
-    return w.groupBy("q_label").agg(F.sum(F.when(own, F.col("n"))).alias("correct"), F.sum(F.when(other, F.col("n"))).alias("wrong"), F.max_by(F.when(other, F.col("pred")), F.when(other, F.col("n") * 100 - F.col("pred"))).alias("confused_with"))
-
-
-@query(f"""WITH {E}, {_sims('q', 'g', 'r')}, f AS (SELECT scope, q_id, q_label, min(rank) FILTER (q_label = g_label) AS first FROM (SELECT 'full' AS scope, q_id, q_label, g_label, rank FROM r UNION ALL
-SELECT 'id_only', q_id, q_label, g_label, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, g_id) FROM r WHERE q_label <= 3 AND g_label <= 3) GROUP BY ALL), a AS (SELECT scope, k, q_label, avg((coalesce(first, 1000000) <= k)::INT) AS x FROM f, (SELECT unnest([1, 5, 20]) AS k) GROUP BY ALL)
-SELECT scope, k, round(avg(x), 6) AS recall FROM a GROUP BY ALL""")
-def scope_diagnosis(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    full = similarity.matches(q, g, 20).withColumn("scope", F.lit("full"))
-    few = similarity.matches(q.where("label <= 3"), g.where("label <= 3"), 20).withColumn("scope", F.lit("id_only"))
-    first = full.unionByName(few).groupBy("scope", "q_id", "q_label").agg(F.min(F.when(F.col("q_label") == F.col("g_label"), F.col("rank"))).alias("first"))
-    at = first.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 20))))).groupBy("scope", "k", "q_label").agg(F.avg(metrics.hit(F.coalesce("first", F.lit(1_000_000)) <= F.col("k"))).alias("x"))
-    return at.groupBy("scope", "k").agg(_r(F.avg("x"), "recall"))

@@ -156,14 +156,6 @@ def largest_gains(spark, sf):
     return best("gain", F.desc("d")).unionByName(best("loss", F.asc("d")))
 
 
-@query(f"""{_SPACES} SELECT space, count(*) FILTER (item_id % 2 = 0 AND label <= 7) AS gallery_rows, count(DISTINCT label) FILTER (item_id % 2 = 0 AND label <= 7) AS gallery_labels, count(DISTINCT label) FILTER (item_id % 2 = 1 AND label <= 7) AS id_labels, count(DISTINCT label) FILTER (label > 7) AS ood_labels FROM n GROUP BY space""")
-def protocol_audit(spark, sf):
-    g, q, o = F.expr("item_id % 2 = 0 and label <= 7"), F.expr("item_id % 2 = 1 and label <= 7"), F.col("label") > 7
-    items = tables.read_embeddings(spark, sf).select("item_id", "label", F.explode(F.array(*map(F.lit, ("A", "B", "Full")))).alias("space"))
-    labels = lambda c, name: F.countDistinct(F.when(c, F.col("label"))).alias(name)
-    return items.groupBy("space").agg(F.count_if(g).alias("gallery_rows"), labels(g, "gallery_labels"), labels(q, "id_labels"), labels(o, "ood_labels"))
-
-
 @query("""SELECT s.p_brand, count(*) AS n, count(*) FILTER (k.p_name IS NOT NULL) AS in_train FROM part s LEFT JOIN (SELECT DISTINCT p_name FROM part WHERE p_partkey % 5 = 0) k USING (p_name) GROUP BY 1""")
 def train_mask(spark, sf):
     part = tables.read(spark, sf, "part").select("p_name", "p_brand", "p_partkey")

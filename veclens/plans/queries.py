@@ -144,12 +144,6 @@ def label_index(spark, sf):
     return part.join(ids, "p_name").select("p_partkey", "p_name", "label_id")
 
 
-@query("""SELECT scope, label, count(*) AS n FROM (SELECT 'id_only' AS scope, label FROM embeddings WHERE vec_id % 2 = 0 AND label IN (0, 1, 2, 3) UNION ALL SELECT 'full', label FROM embeddings WHERE vec_id % 2 = 0 AND label <= 7) GROUP BY 1, 2""")
-def gallery_scope(spark, sf):
-    _, g, _, _ = _roles(spark, sf)
-    return g.withColumn("scope", F.explode(F.when(F.col("label") <= 3, F.array(F.lit("id_only"), F.lit("full"))).otherwise(F.array(F.lit("full"))))).groupBy("scope", "label").agg(F.count("*").alias("n"))
-
-
 _ATTR = "SELECT l_suppkey, avg(CASE l_returnflag WHEN 'R' THEN 1.0::DOUBLE WHEN 'A' THEN 0 ELSE 0.5 END) AS a, avg(CASE l_linestatus WHEN 'O' THEN 1.0::DOUBLE ELSE 0 END) AS b FROM lineitem GROUP BY l_suppkey"
 
 
@@ -367,15 +361,6 @@ def macro_accuracy(spark, sf):
     return metrics.macro(similarity.nearest(q, g)).select(_r("macro"), "labels")
 
 
-@query(f"""{WITH}, f AS (SELECT q_id, q_label, min(rank) FILTER (q_label = g_label) AS first FROM r GROUP BY ALL), a AS (SELECT k, q_label, avg((coalesce(first, 1000000) <= k)::INT) AS x FROM f, (SELECT unnest([1, 5, 20, 100]) AS k) GROUP BY ALL)
-SELECT k, round(avg(x), 6) AS recall FROM a GROUP BY k""")
-def recall_at_k_macro(spark, sf):
-    _, g, q, _ = _roles(spark, sf)
-    first = similarity.matches(q, g, 100).groupBy("q_id", "q_label").agg(F.min(F.when(F.col("q_label") == F.col("g_label"), F.col("rank"))).alias("first"))
-    at = first.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 20, 100))))).groupBy("k", "q_label").agg(F.avg(metrics.hit(F.coalesce("first", F.lit(1_000_000)) <= F.col("k"))).alias("x"))
-    return at.groupBy("k").agg(_r(F.avg("x"), "recall"))
-
-
 _ROC = """, c AS (SELECT {by} score, sum(pos)::BIGINT AS pos, sum(1 - pos)::BIGINT AS neg FROM z GROUP BY ALL),
 k AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM c)
 SELECT {by} round(sum(pos * (n - fp + neg / 2.0::DOUBLE)) / max(p) / max(n), 6) AS auroc, round(min(fp) FILTER (tp >= 0.95::DOUBLE * p) / max(n)::DOUBLE, 6) AS fpr, round(sum(pos * tp / (tp + fp)::DOUBLE) / max(p), 6) AS aupr FROM k {group}"""
