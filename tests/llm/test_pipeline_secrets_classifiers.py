@@ -1,6 +1,9 @@
 import random
 import re
 import string
+import zlib
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.cases import ROWS, SCHEMA, documents, empty
@@ -74,6 +77,26 @@ def test_every_secret_of_a_word(spark):
         assert out[i] == text
 
 
+def test_a_forest_of_labelled_findings(spark):
+    """Findings whose labels only context tells: a forest learns them on one half and tells them on the other, whatever the rules would say."""
+    rng = random.Random(28)
+    rows, truth = [], {}
+    for i in range(1000, 1400):
+        words, run = prose(rng, 30), "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        words[10:10] = [f"cache/objects/{run}", "kept"] if i % 2 else ["session", f'"{run}"', "kept"]
+        rows.append((i, " ".join(words), "en", "a", 0, "", "", "", ""))
+        truth[i] = (run, i % 2 == 0)
+    first, second = (documents(spark, [r for r in rows if r[0] // 2 % 2 == k]) for k in (0, 1))
+    found = secrets.candidates(first, secrets.dictionary(first))
+    mine = {r.doc_id: r for r in found.where("run rlike '[0-9a-f]{32}'").collect()}
+    assert all(r.path == (i % 2) and r.quoted == (1 - i % 2) and r.assigned == 0 for i, r in mine.items())
+    labels = spark.createDataFrame([(i, float(t)) for i, (_, t) in truth.items()], "own long, label double")
+    labelled = found.where("run rlike '[0-9a-f]{32}'").join(labels, F.col("own") == F.col("doc_id")).select(*secrets.FEATURES, "label")
+    got = [r for r in secrets.scan(second, labelled).collect() if truth[r.doc_id][0] in r.run]
+    assert len(got) == 200 and all(0 <= r.probability <= 1 and r.is_secret == (r.probability >= secrets.THRESHOLD) for r in got)
+    assert sum(r.is_secret == truth[r.doc_id][1] for r in got) == 200
+
+
 def test_runs():
     found = lambda word: re.findall(secrets.RUN, word)
     assert found("a" * 15) == [] and found("a" * 14 + "==") == ["a" * 14 + "=="] and found("a" * 16 + "=b") == ["a" * 16]
@@ -91,7 +114,8 @@ def test_language(spark):
     train = documents(spark, [r for r in rows if r[0] is not None and r[0] % 5])
     got = langid.predict(documents(spark, rows), langid.learn(train)).collect()
     assert len(got) == len(rows)
-    assert all(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in got if (r.doc_id or 0) >= 1000)
+    unseen = [r for r in got if (r.doc_id or 0) >= 1000 and r.doc_id % 5 == 0]
+    assert len(unseen) == 40 and all(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in unseen)
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"}
     assert all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in langid.predict(documents(spark), langid.learn(empty(spark))).collect()} == {"und"}
@@ -118,8 +142,8 @@ def test_toxicity(spark):
     docs = documents(spark, rows)
     got = toxicity.score_texts(docs, toxicity.learn(docs, marked)).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    held = [r for r in got if (r.doc_id or 0) >= 1000]
-    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) > 0.97 * len(held)
+    held = [r for r in got if (r.doc_id or 0) >= 1000 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 90 and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) > 0.97 * len(held)
     assert all(r.score == 0 for r in got if r.doc_id in (3, 4, 5))
     assert toxicity.learn(docs, marked.limit(0)) is None
     assert toxicity.learn(documents(spark, [rows[30]] * 400 + rows[31:34]), marked) is not None

@@ -50,7 +50,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, dict_bytes: int = DICT_
     """place, lang, data: a dictionary of each non-null lang, those with the most documents first.
 
     A language learns from at most `train_docs` documents, taken evenly by a hash of doc_id and text, repeated rows once; they share the
-    dictionary's bytes evenly, and a text longer than its share gives pieces of its whole length. Null and empty texts teach nothing.
+    dictionary's bytes evenly, and a text longer than its share gives pieces of its whole length. Null and empty texts teach nothing; an empty
+    table gives no dictionary, and then every text is `und`.
     """
     texts = docs.where("lang is not null and text <> ''")
     h = F.xxhash64("doc_id", "text").alias("h")

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1, sets: bool
 
     A-Z are lower-cased; a text of fewer words than a shingle has one shingle of all its words; a null text or one without words has
     fingerprint zero. Repeated rows and null ids are kept as they are. The first 64 bits are those of XXH64, further ones of its scrambled
-    values. sets: each shingle of a text counts once, and print, a hash of the set, and n, its size, come with it.
+    values. An empty table has none. sets: each shingle of a text counts once, and print, a hash of the set, and n, its size, come with it.
     """
     names = [f"fp_{i}" for i in range(words64)]
     more = ["print", "n"] if sets else []
@@ -135,7 +135,7 @@ def _forest(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray,
 def links(uniq: DataFrame, radius: int, words64: int = 1, block: int = BLOCK, width: int | None = None, quick: tuple[int, int] | None = None) -> DataFrame:
     """(a, b) of node ids: links that connect just what links of `radius` bits or fewer connect. uniq: node, fp_0.., each fingerprint once.
 
-    width: population counts in a band that share a tile; 1 where the radius is small enough to skip tiles.
+    No rows, and a single one, have no links. width: population counts in a band that share a tile; 1 where the radius is small enough to skip tiles.
     """
     width = width or max(1, radius // 4)
     fps = [f"fp_{i}" for i in range(words64)]
@@ -223,7 +223,8 @@ def _alike(values: np.ndarray, sizes: np.ndarray, ids: np.ndarray, alike: tuple[
 def alike_links(docs: DataFrame, groups: DataFrame, shingle: int, most: int = GROUP_SHINGLES) -> DataFrame:
     """(a, b) of doc_ids: links that connect what pairs of alike shingle sets within a group connect. groups: node (a doc_id), n, group.
 
-    All pairs of a group are compared, group by group; a large group in parts, each pair of parts by itself.
+    All pairs of a group are compared, group by group; a large group in parts, each pair of parts by itself. No groups give no links; rows
+    that repeat a doc_id and text count once.
     """
     sizes = groups.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
     members = groups.join(sizes, "group").select(F.col("node").alias("doc_id"), "group", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
@@ -278,7 +279,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without near copies: of each component the row of the smallest doc_id stays, with all its columns.
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Rows with a null doc_id stay; rows that share
-    one doc_id are one document.
+    one doc_id are one document and stay or go together. Null and empty texts have the same, empty, set and so are copies of each other; an
+    empty table stays empty. Other columns, whatever their names, stay as they are.
     """
     gone = copies(docs, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

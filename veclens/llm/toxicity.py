@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS):
     """A model from at most `class_docs` documents of each class, the first by a hash of doc_id and text, none longer than DOC_BYTES.
 
     Rows that repeat a doc_id and text count once, however many they are; of a doc_id's labels the greatest counts. None without rows of
-    both classes.
+    both classes, as with empty tables; then every score is 0.
     """
     ids = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(~held_out(4, 2))
