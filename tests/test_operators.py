@@ -213,3 +213,9 @@ def test_uninformative_columns(spark):
     assert kept.columns == ["label", *(c for c in columns if c.split(".")[0] in ("some", "unknown", "one"))]
     assert attributes.informative(df.select("label"), ["label"]).columns == ["label"]
     assert attributes.informative(df.limit(0), ["label"]).columns == df.columns
+
+
+def test_coverage(spark):
+    expected = [("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "x", 4), ("b", "y", 5), ("c", "x", 6), ("c", "x", 7)]
+    got = files.coverage(spark.createDataFrame(expected, "part string, source string, k int"), spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (6,), (99,)], "k int"), "k")
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 2, 3, 3, "FOUND"), ("b", 2, 1, 2, 1, "1 of 2"), ("c", 1, 0, 2, 1, "MISSING")]

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import names, vectors
 from ..operators import metrics, openset, resampling, similarity, splits, statistics
 from ..sources import tables
 from .more import _ood
 from .protocols import _BYSOURCE, _LOGITS, _SPACES, _TWO, label_table, logits, spaces, unchecked
-from .queries import _ACC, _FULL, WITH, E, _placed, _r, _roles, _sims, centroids, query
+from .queries import _FULL, _placed, _r, _roles, query
 
 # ---- names
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors
 from ..operators import gram, metrics, patches, scorers, similarity
 from ..sources import files, tables
 from .protocols import _LOGITS, _SPACES, _TWO, TAU, label_table, logits, spaces, unchecked

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, vectors
 from ..operators import attributes, metrics, similarity, splits
 from ..sources import files, tables
-from .protocols import TAU, label_table, unchecked
-from .queries import _ACC, _CENTRED, _CENTROIDS, _FULL, _SCORES, WITH, E, _r, _roles, _scores, _sims, centred, centroids, query
+from .protocols import unchecked
+from .queries import _CENTRED, _CENTROIDS, _FULL, _SCORES, WITH, E, _r, _roles, _scores, _sims, centroids, query
 
 # ---- preparation
 

@@ -10,7 +10,7 @@ from .. import registry
 from ..functions import vectors
 from ..operators import metrics, similarity, splits, statistics
 from ..sources import tables
-from .queries import _CENTRED, _CENTROIDS, _SCORES, QUERIES, WITH, E, _placed, _r, _roles, _sims, centred, centroids, query
+from .queries import _CENTROIDS, _SCORES, QUERIES, WITH, E, _placed, _r, _roles, _sims, centroids, query
 
 TAU = 0.07
 

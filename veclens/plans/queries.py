@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import names, vectors
 from ..operators import metrics, openset, similarity, splits
 from ..operators.scorers import centred
-from ..sources import tables
+from ..sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -456,13 +456,16 @@ def common_label_semi(spark, sf):
     return sides.join(both, "label", "left_semi").groupBy("side", "label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT e.o_orderpriority AS part, count(*) AS expected, count(p.o_orderkey) AS produced, CASE WHEN count(*) = count(p.o_orderkey) THEN 'FOUND' ELSE 'MISSING' END AS status
-FROM orders e LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 < 9 OR o_orderpriority LIKE '1%') p USING (o_orderkey) GROUP BY 1""")
+_DONE = "(o_orderpriority LIKE '1%' OR (o_orderstatus = 'F' AND o_orderpriority < '4') OR o_orderkey % 10 < 3)"
+
+
+@query(f"""WITH s AS (SELECT e.o_orderpriority AS part, e.o_orderstatus AS source, count(*) AS e, count(p.o_orderkey) AS p FROM orders e LEFT JOIN (SELECT o_orderkey FROM orders WHERE {_DONE}) p USING (o_orderkey) GROUP BY ALL),
+c AS (SELECT part, count(*) AS sources, count(*) FILTER (e = p) AS found, sum(e)::BIGINT AS expected, sum(p)::BIGINT AS produced FROM s GROUP BY part) SELECT *, CASE WHEN found = sources THEN 'FOUND' WHEN found = 0 THEN 'MISSING' ELSE found || ' of ' || sources END AS status FROM c""")
 def coverage_report(spark, sf):
-    orders = tables.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    done = orders.where("o_orderkey % 10 < 9 or o_orderpriority like '1%'").select("o_orderkey", F.lit(1).alias("done"))
-    counts = orders.join(done, "o_orderkey", "left").groupBy(F.col("o_orderpriority").alias("part")).agg(F.count("*").alias("expected"), F.count("done").alias("produced"))
-    return counts.withColumn("status", F.when(F.col("expected") == F.col("produced"), "FOUND").otherwise("MISSING"))
+    """What is produced of each part, and how many of its sources are whole."""
+    orders = tables.read(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("part"), F.col("o_orderstatus").alias("source"))
+    done = tables.read(spark, sf, "orders").where(_DONE).select("o_orderkey")
+    return files.coverage(orders, done, "o_orderkey")
 
 
 def _placed(by: str, seed: int = 42, source: str = "embeddings") -> str:

@@ -12,8 +12,8 @@ from .. import registry
 from ..functions import vectors
 from ..operators import geometry, metrics, openset, resampling, sampling, similarity, splits, statistics
 from ..sources import tables
-from .protocols import _BYSOURCE, _SPACES, _TWO, TAU, label_table, logits, spaces, split_within_source, unchecked
-from .queries import _CENTROIDS, E, _r, _roles, _sims, centred, centroids, query
+from .protocols import _BYSOURCE, _SPACES, _TWO, TAU, label_table, spaces, split_within_source, unchecked
+from .queries import _CENTROIDS, E, _r, _roles, _sims, centroids, query
 
 #: References for each label, draws of a gallery, draws of references, resamples of a metric.
 KS, STRATEGY_DRAWS, SHOT_DRAWS, RESAMPLES = (1, 3, 5, 10), 100, 50, 1000

@@ -111,3 +111,16 @@ def manifest_items(texts: DataFrame, column: str = "value") -> DataFrame:
 def manifest_counts(items: DataFrame) -> DataFrame:
     """split, images, paths, labels: items, and different paths and labels, of each split."""
     return items.groupBy("split").agg(F.count("*").alias("images"), F.count_distinct("path").alias("paths"), F.count_distinct("label").alias("labels"))
+
+
+def coverage(expected: DataFrame, produced: DataFrame, key: str) -> DataFrame:
+    """part, sources, found, expected, produced, status of each part: which of the sources it is put together from have all their rows.
+
+    expected: part, source, key; produced: key. FOUND: all sources, MISSING: none, else `n of m`. Keys that are produced repeatedly count once;
+    those that nobody expects don't count.
+    """
+    done = produced.select(key).distinct().withColumn("done", F.lit(1))
+    each = expected.join(done, key, "left").groupBy("part", "source").agg(F.count("*").alias("e"), F.count("done").alias("p"))
+    rows = each.groupBy("part").agg(F.count("*").alias("sources"), F.count_if(F.col("e") == F.col("p")).alias("found"), F.sum("e").alias("expected"), F.sum("p").alias("produced"))
+    some = F.concat(F.col("found").cast("string"), F.lit(" of "), F.col("sources").cast("string"))
+    return rows.withColumn("status", F.when(F.col("found") == F.col("sources"), "FOUND").when(F.col("found") == 0, "MISSING").otherwise(some))
