@@ -40,22 +40,30 @@ def space_measures(spark, sf) -> DataFrame:
     proto: by the nearest centroid; r1: macro accuracy; auroc, fpr: of one less the nearest similarity; old, new: accuracy once ten rows of
     each novel label have joined the gallery; transfer: queries of one facet against the other facets' gallery.
     """
-    preds, sims, sizes = [], [], []
+    asked, held, preds, sizes = [], [], [], []
     for name, s in spaces(tables.read_embeddings(spark, sf)).items():
         scorer = registry.SPACES[name].scorer
         g, q, o = tables.gallery(s), tables.id_queries(s), tables.ood_queries(s)
-        big, third = with_novel(g, o), F.col("item_id") % 3 == 0
-        near = similarity.nearest(q.unionByName(o), g)
-        sims.append(near.select(F.lit(name).alias("space"), _novel().alias("positive"), F.round(1 - F.col("sim"), 9).alias("score")))
-        base = near.where(~_novel()).select("q_label", "pred") if scorer == registry.NEAREST else registry.predicted(scorer, q, g)
-        late = registry.predicted(scorer, q.unionByName(o.where("item_id % 2 = 1")), big)
-        moved = registry.predicted(scorer, q.where(third), g.where(~third))
-        for kind, df in (("r1", base), ("proto", similarity.nearest(q, centroids(g))), ("transfer", moved), ("old", late.where(~_novel())), ("new", late.where(_novel()))):
-            preds.append(df.select(F.lit(name).alias("space"), F.lit(kind).alias("kind"), "q_label", "pred"))
+        third, odd = F.col("item_id") % 3 == 0, o.where("item_id % 2 = 1")
+        parts = {"r1": (q.unionByName(o), g), "big": (q.unionByName(odd), with_novel(g, o)), "transfer": (q.where(third), g.where(~third)), "proto": (q, centroids(g))}
+        for size, (ask, rows) in parts.items():
+            if scorer == registry.NEAREST or size in ("r1", "proto"):
+                for rows_, into in ((ask, asked), (rows, held)):
+                    into.append(rows_.select(F.col("item_id").cast("long").alias("item_id"), "label", "vec", F.lit(f"{name}:{size}").alias("part")))
+            if scorer != registry.NEAREST and size != "proto":
+                own = registry.predicted(scorer, ask.where(F.col("label") <= tables.LAST_KNOWN) if size == "r1" else ask, rows)
+                preds.append(own.select(F.lit(name).alias("space"), F.lit(size).alias("size"), "q_label", "pred"))
         sizes.append(g.agg(F.count("*").alias("gallery_rows"), F.count_distinct("label").alias("gallery_labels")).withColumn("space", F.lit(name)))
-    kinds = [k for k in MEASURES if k not in ("auroc", "fpr")]
-    wide = metrics.macro(_union(preds), ["space", "kind"]).groupBy("space").pivot("kind", kinds).agg(F.max("macro"))
-    return _union(sizes).join(wide, "space", "left").join(metrics.roc(_union(sims), ["space"]).drop("aupr"), "space", "left")
+    near = similarity.matches(_union(asked), _union(held), 1, within="part")  # all spaces and galleries in one pass, each in itself
+    near = tables.staged(near.select(F.split("part", ":")[0].alias("space"), F.split("part", ":")[1].alias("size"), "q_label", F.col("g_label").alias("pred"), "sim"), "measures")
+    curve = near.where("size = 'r1'").select("space", _novel().alias("positive"), F.round(1 - F.col("sim"), 9).alias("score"))
+    rows = near.where((F.col("size") != "r1") | ~_novel()).select("space", "size", "q_label", "pred")
+    if preds:
+        own = _union(preds)
+        rows = rows.join(own.select("space", "size").distinct(), ["space", "size"], "left_anti").unionByName(own)
+    kind = F.when(F.col("size") != "big", F.col("size")).when(_novel(), "new").otherwise("old")
+    wide = metrics.macro(rows.withColumn("kind", kind), ["space", "kind"]).groupBy("space").pivot("kind", [k for k in MEASURES if k not in ("auroc", "fpr")]).agg(F.max("macro"))
+    return _union(sizes).join(wide, "space", "left").join(metrics.roc(curve, ["space"]).drop("aupr"), "space", "left")
 
 
 _MEASURED = f"""{_SPACES}, g AS (SELECT * FROM n WHERE item_id % 2 = 0 AND label <= 7), q AS (SELECT * FROM n WHERE item_id % 2 = 1 AND label <= 7), pool AS (SELECT * FROM n WHERE label > 7 AND item_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY space, label ORDER BY item_id) <= 10),
