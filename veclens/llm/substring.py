@@ -1,14 +1,12 @@
 """Substring deduplication: windows of consecutive words that also start in a document with a smaller id are cut.
 
 Recompression names runs and pairs of words alike wherever they stand (recompression.py), so that equal windows have an equal anchor, a
-run of high-level symbols inside them. The steps are all dealt out by a bucket of documents, or by a name:
+run of high-level symbols inside them. Four steps, all dealt out by a bucket of documents, a name or a window's hash:
 
 1. every bucket sends out its anchors; Spark groups them by name, and those that come from one document only rule out their windows;
-2. buckets send the names of the windows whose anchors are shared, and Spark finds the least document of each;
-3. what a document shares with a smaller one is extended to stretches of windows, and each different stretch is sent to the smaller
-   document's bucket and looked for among its words: names only propose, words decide;
-4. a window that isn't there although its name is, is told apart by its words, in every bucket that has the name;
-5. each document cuts its windows whose least document is smaller.
+2. buckets send the windows that are left, by name and by a digest of their words, with the least document of each;
+3. windows of two documents or more go back to their buckets, with the least document overall;
+4. each document cuts its windows whose least document is smaller. Names only propose: windows of one name are told apart by the digest.
 
 Texts are shuffled once, by bucket, and every step reads that exchange. Whole copies of a text with a smaller id are cut without any of
 this. A bucket sends a window once however many of its documents hold it, so that a passage in a third of all documents costs a row a
@@ -17,8 +15,8 @@ bucket; windows over those rows spill and never stand in a Python task.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -38,8 +36,10 @@ WINDOW = 13
 ROUNDS, REACH = 1, 5
 BUCKET_BYTES = 4 << 20
 SLICE = 1 << 20
-_COPY, _FOUND, _EXACT = 0, 1, 2
-_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+_COPY, _FOUND = 0, 1
+#: Bits of a name beyond those that number the bytes of all texts.
+NAME_BITS = 12
+_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def bucket_of(buckets: int) -> Column:
@@ -47,6 +47,24 @@ def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).cast("int")
 
 
+def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
+
+
+def _digests(w: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """64 bits of the MD5 of each window's words, joined by one space, for the windows that start at these words."""
+    raw, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
+    words: dict[int, bytes] = {}
+
+    def word(k: int) -> bytes:
+        if k not in words:
+            words[k] = raw[start[k] : end[k]]
+        return words[k]
+
+    digests = b"".join(hashlib.md5(b" ".join([word(j) for j in range(k, k + window)])).digest()[:8] for k in at.tolist())
+    return np.frombuffer(digests, np.uint64)
+
+
 def _firsts(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """First word, and text, of each window that lies inside one text."""
     counts = np.maximum(w.last - w.first - window + 1, 0)
@@ -71,90 +89,71 @@ def _copies(table: pa.Table, notes: pa.Table) -> np.ndarray:
 
 
 def _found(notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names that came back to the bucket, sorted, with their least documents and those documents' buckets."""
+    """Keys that came back to the bucket, sorted with their checks, and their documents."""
     notes = notes.filter(pc.equal(notes.column("kind"), _FOUND))
-    key = notes.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key, kind="stable")
-    return key[order], *(notes.column(c).fill_null(0).to_numpy()[order] for c in ("doc", "home"))
+    key, check = (notes.column(c).to_numpy().view(np.uint64) for c in ("key", "check"))
+    order = np.lexsort((check, key))
+    return key[order], check[order], notes.column("doc").fill_null(0).to_numpy()[order]
 
 
-def _exact(notes: pa.Table) -> dict[int, dict[bytes, int]]:
-    """Of the names that stand for several windows, by words, the least document."""
-    notes, out = notes.filter(pc.equal(notes.column("kind"), _EXACT)), {}
-    for key, words, doc in zip(notes.column("key").to_numpy().view(np.uint64).tolist(), notes.column("words").cast(pa.binary()).to_pylist(), notes.column("doc").to_pylist(), strict=True):
-        out.setdefault(key, {})[words] = doc
-    return out
-
-
-def _among(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key stands among the sorted ones, and whether it does."""
+def _among(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key with its check stands among the sorted ones, and whether it does."""
     if not len(keys):
         return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return at, keys[at] == key
-
-
-def _once(keys: np.ndarray, docs: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each key once, with its least document, and whether it has two documents or more."""
-    order = np.lexsort((docs, keys))
-    keys, docs, two = keys[order], docs[order], two[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    there = (keys[at] == key) & (checks[at] == check)
+    other = np.flatnonzero((keys[at] == key) & ~there)
+    while len(other):  # different windows of one key stand side by side
+        other = other[at[other] + 1 < len(keys)]
+        at[other] += 1
+        other = other[keys[at[other]] == key[other]]
+        there[other] = checks[at[other]] == check[other]
+        other = other[~there[other]]
+    return at, there
+
+
+def _once(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key and check once, with its least document, and whether it has two documents or more."""
+    order = np.lexsort((docs, checks, keys))
+    keys, checks, docs, two = keys[order], checks[order], docs[order], two[order]
+    new = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    first = np.flatnonzero(np.r_[True, new][: len(keys)])
     if not len(first):
-        return keys, docs, two
+        return keys, checks, docs, two
     last = np.r_[first[1:], len(keys)] - 1
-    return keys[first], docs[first], np.logical_or.reduceat(two, first) | (docs[first] != docs[last])
+    return keys[first], checks[first], docs[first], np.logical_or.reduceat(two, first) | (docs[first] != docs[last])
 
 
 def _rows(bucket: int, parts: list[tuple[np.ndarray, ...]]) -> pa.Table:
-    keys, docs, two = _once(*(np.concatenate([x, *own]) for x, *own in zip(_NOTHING, *parts, strict=True)))
-    return pa.table({"key": pa.array(keys.view(np.int64)), "bucket": pa.array(np.full(len(keys), bucket, np.int32)), "doc": pa.array(docs, pa.int64()), "two": pa.array(two)})
+    """key, check, doc, place: twice the bucket, and one more where two documents of it have the key."""
+    keys, checks, docs, two = _once(*(np.concatenate([x, *own]) for x, *own in zip(_NOTHING, *parts, strict=True)))
+    return pa.table({"key": pa.array(keys.view(np.int64)), "check": pa.array(checks.view(np.int64)), "doc": pa.array(docs, pa.int64()), "place": pa.array((2 * bucket + two).astype(np.int64))})
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """bucket, key, doc, two, least of the keys of two documents or more: a row for each bucket that has the key, and the least document of
-    all with its bucket."""
-    own = Window.partitionBy("key")
-    every = rows.withColumns({"least": F.min(F.struct("doc", "bucket")).over(own), "most": F.max("doc").over(own), "any": F.max("two").over(own)})
-    return every.where("any or least.doc < most").select("bucket", "key", "doc", "two", "least")
-
+    """bucket, key, check, doc, two, least of the keys of two documents or more: a row for each bucket that has the key, and the least document of all."""
+    own, two = Window.partitionBy("key", "check"), F.col("place") % 2 == 1
+    every = rows.withColumns({"least": F.min("doc").over(own), "most": F.max("doc").over(own), "any": F.max(two).over(own)})
+    return every.where("any or least < most").select(F.floor(F.col("place") / 2).cast("int").alias("bucket"), "key", "check", "doc", two.alias("two"), "least")
 
-def _names(words: np.ndarray, window: int, bits: int) -> np.ndarray:
-    return window_hashes(words, window) >> np.uint64(64 - bits)
 
-
-def _between(raw: bytes, w: Words, a: int, b: int) -> bytes:
-    """Words a to b (exclusive), joined by one space; raw: the bytes that they stand in."""
-    return b" ".join(raw[x:y] for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))
-
-
-def _smaller(w: Words, ids: np.ndarray, usable: np.ndarray, found: tuple, window: int, bits: int) -> tuple[np.ndarray, ...]:
-    """Of the windows whose least document is smaller than theirs, by name: their first word, text, name, and the least document's place."""
-    start, text = _firsts(w, window)
-    if not len(found[0]) or not len(start):
-        return start[:0], text[:0], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    name = _names(w.hashes, window, bits)[start]
-    at, there = _among(found[0], name)
-    there &= usable[text]
-    there[there] = found[1][at[there]] < ids[text[there]]
-    return start[there], text[there], name[there], at[there]
-
-
-def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, reach: int = REACH, bucket_bytes: int = BUCKET_BYTES, bits: int = 64) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, reach: int = REACH, bucket_bytes: int = BUCKET_BYTES, bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept: what is left of every text, its words joined by single spaces.
 
     A null or empty text has no words and keeps nothing. Windows are judged on the input. Two rows with one doc_id never cut each other;
     a row with a null doc_id is neither cut nor a reason to cut; both are dealt out by their texts, too, so that no bucket has all of them.
-    Texts shorter than a window stay. An empty table gives no rows; only doc_id and text are read. bits: of a window's name; fewer propose
-    more, and change no result, as words decide.
+    Texts shorter than a window stay. An empty table gives no rows; only doc_id and text are read. bits: of names, as many as number all
+    bytes and NAME_BITS more by default, so that the share of windows that a name proposes by chance is alike at every size; fewer propose
+    more, and change no result, as 64 bits of the MD5 of a window's own words decide.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    bucket = bucket_of(buckets).alias("bucket")
+    bucket, bits = bucket_of(buckets).alias("bucket"), bits or min(64, size.bit_length() + NAME_BITS)
 
     digest = docs.where("doc_id is not null and text <> ''").select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("key"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    copies = digest.join(first, "digest").where("doc_id > least").select(F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(_COPY).alias("kind"), "key", F.col("doc_id").alias("doc"), F.lit(0).alias("home"), F.lit(None).cast("string").alias("words"))
+    copies = digest.join(first, "digest").where("doc_id > least").select(F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(_COPY).alias("kind"), "key", F.lit(0).cast("long").alias("check"), F.col("doc_id").alias("doc"))
 
     placed = docs.select(bucket, "doc_id", "text").groupBy("bucket")
 
@@ -165,77 +164,38 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, rea
             start, anchor = anchors(w.hashes, w.first, w.last, window, rounds, reach)
             text = np.searchsorted(w.last, start, side="right")
             keep = ~missing[text]
-            found.append(_once(anchor[keep], ids[text[keep]], np.zeros(keep.sum(), bool)))
+            found.append(_once(_short(anchor, bits)[keep], np.zeros(keep.sum(), np.uint64), ids[text[keep]], np.zeros(keep.sum(), bool)))
         return _rows(key[0].as_py(), found)
 
     def send_windows(key, table: pa.Table, notes: pa.Table) -> pa.Table:
         skip, found = _copies(table, notes), []
-        keys = _found(notes)[0]
+        keys, checks, _ = _found(notes)
         for part in row_slices(table.filter(pa.array(~skip)) if len(keys) else table.slice(0, 0), SLICE):
             (ids, missing), w = _ids(part), tokenise(part.column("text"))
             hashes = w.hashes
             start, anchor = anchors(hashes, w.first, w.last, window, rounds, reach)
             text = np.searchsorted(w.last, start, side="right")
-            keep = _among(keys, anchor)[1] & ~missing[text]
+            keep = _among(keys, checks, _short(anchor, bits), np.zeros(len(anchor), np.uint64))[1] & ~missing[text]
             at = start[keep]
-            found.append(_once(_names(hashes, window, bits)[at], ids[text[keep]], np.zeros(len(at), bool)))
+            found.append(_once(_short(window_hashes(hashes, window), bits)[at], _digests(w, at, window), ids[text[keep]], np.zeros(len(at), bool)))
         return _rows(key[0].as_py(), found)
 
-    def claim(_, table: pa.Table, notes: pa.Table) -> pa.Table:
-        skip, found = _copies(table, notes), _found(notes)
-        claims: set[tuple[int, int, bytes]] = set()
-        for part in row_slices(table.filter(pa.array(~skip)) if len(found[0]) else table.slice(0, 0), SLICE):
-            (ids, missing), w = _ids(part), tokenise(part.column("text"))
-            start, text, _, at = _smaller(w, ids, ~missing, found, window, bits)
-            raw = w.data.tobytes()
-            new = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1]) | (found[1][at[1:]] != found[1][at[:-1]])][: len(start)])
-            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(start)], strict=False):
-                claims.add((int(found[2][at[i]]), int(found[1][at[i]]), _between(raw, w, int(start[i]), int(start[j - 1]) + window)))
-        home, doc, words = zip(*sorted(claims), strict=True) if claims else ((), (), ())
-        return pa.table({"home": pa.array(home, pa.int32()), "doc": pa.array(doc, pa.int64()), "words": pa.array(words, pa.binary()).cast(pa.string())})
-
-    def verify(_, table: pa.Table, claims: pa.Table) -> pa.Table:
-        """Names of windows that the document isn't found to hold."""
-        wanted, texts, failed = set(claims.column("doc").to_pylist()), {}, set()
-        for i, raw in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if i in wanted:
-                texts.setdefault(i, []).append(b" ".join([b"", *(raw or b"").split(), b""]))
-        for i, words in zip(claims.column("doc").to_pylist(), claims.column("words").cast(pa.binary()).to_pylist(), strict=True):
-            if not any(b" " + words + b" " in t for t in texts.get(i, ())):
-                split = words.split(b" ")
-                names = _names(tokenise(pa.array([words], pa.binary())).hashes, window, bits)
-                for k, name in enumerate(names.tolist()):  # the stretch may be in pieces, each window of which is there
-                    if not any(b" ".join([b"", *split[k : k + window], b""]) in t for t in texts.get(i, ())):
-                        failed.add(name)
-        return pa.table({"key": pa.array(np.array(sorted(failed), np.uint64).view(np.int64))})
-
-    def tell(key, table: pa.Table, notes: pa.Table) -> pa.Table:
-        """Words and least document of each window of the names that stand for several."""
-        skip, keys, out = _copies(table, notes), _found(notes)[0], {}
-        for part in row_slices(table.filter(pa.array(~skip)) if len(keys) else table.slice(0, 0), SLICE):
-            (ids, missing), w = _ids(part), tokenise(part.column("text"))
-            start, text = _firsts(w, window)
-            name, raw = _names(w.hashes, window, bits)[start] if len(start) else np.zeros(0, np.uint64), w.data.tobytes()
-            for k in np.flatnonzero(_among(keys, name)[1] & ~missing[text]):
-                one = int(name[k]), _between(raw, w, int(start[k]), int(start[k]) + window)
-                out[one] = min(out.get(one, int(ids[text[k]])), int(ids[text[k]]))
-        names, words = ([x[i] for x in out] for i in (0, 1))
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "key": pa.array(np.array(names, np.uint64).view(np.int64)), "words": pa.array(words, pa.binary()).cast(pa.string()), "doc": pa.array(list(out.values()), pa.int64())})
-
-    def cut(_, table: pa.Table, notes: pa.Table) -> pa.Table:
-        found, exact = _found(notes), _exact(notes)
+    def cut(key, table: pa.Table, notes: pa.Table) -> pa.Table:
+        keys, checks, least = _found(notes)
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
         for part in row_slices(table, SLICE):
             (ids, missing), w = _ids(part), tokenise(part.column("text"))
-            start, text, name, _ = _smaller(w, ids, ~missing, found, window, bits)
-            if exact:
-                raw, keep = w.data.tobytes(), np.ones(len(start), bool)
-                for k in np.flatnonzero(np.isin(name, np.array(list(exact), np.uint64))):
-                    keep[k] = exact[int(name[k])].get(_between(raw, w, int(start[k]), int(start[k]) + window), ids[text[k]]) < ids[text[k]]
-                start = start[keep]
+            start, text = _firsts(w, window)
             gone = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + window, -1)
+            if len(keys) and len(start):
+                name = _short(window_hashes(w.hashes, window), bits)[start]
+                near = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
+                asked = np.flatnonzero((keys[near] == name) & ~missing[text])
+                at, there = _among(keys, checks, name[asked], _digests(w, start[asked], window))
+                there[there] = least[at[there]] < ids[text[asked[there]]]
+                cut_at = start[asked[there]]
+                np.add.at(gone, cut_at, 1)
+                np.add.at(gone, cut_at + window, -1)
             keep = np.cumsum(gone)[:-1] == 0
             for copy, raw, a, b in zip(_copies(part, notes), part.column("text").cast(pa.binary()).to_pylist(), w.first, w.last, strict=True):
                 if copy and b - a >= window:
@@ -247,19 +207,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, rea
                 out["n_removed"].append(n)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
 
-    def noted(rows: DataFrame, doc: Column, kind: int = _FOUND, home: Column | None = None, words: Column | None = None) -> DataFrame:
-        none = F.lit(None)
-        return rows.select("bucket", F.lit(kind).alias("kind"), "key", doc.alias("doc"), (F.lit(0) if home is None else home).alias("home"), (none.cast("string") if words is None else words).alias("words"))
+    def noted(rows: DataFrame, doc: Column) -> DataFrame:
+        return rows.select("bucket", F.lit(_FOUND).alias("kind"), "key", "check", doc.alias("doc"))
 
-    row, nobody = "key long, bucket int, doc long, two boolean", F.lit(None).cast("long")
+    row = "key long, check long, doc long, place long"
     sent = placed.cogroup(copies.groupBy("bucket")).applyInArrow(send_anchors, row)
-    notes = copies.unionByName(noted(_shared(sent), nobody))
-    shared = _shared(placed.cogroup(notes.groupBy("bucket")).applyInArrow(send_windows, row))
-    late = copies.unionByName(noted(shared.where("two or doc > least.doc"), F.col("least.doc"), home=F.col("least.bucket")))
-    claims = placed.cogroup(late.groupBy("bucket")).applyInArrow(claim, "home int, doc long, words string").distinct()
-    failed = placed.cogroup(claims.groupBy("home")).applyInArrow(verify, "key long").distinct()
-    several = copies.unionByName(noted(shared.join(failed, "key", "left_semi"), nobody))
-    told = placed.cogroup(several.groupBy("bucket")).applyInArrow(tell, "bucket int, key long, words string, doc long")
-    exact = told.withColumn("doc", F.min("doc").over(Window.partitionBy("key", "words")))
-    notes = late.unionByName(noted(exact, F.col("doc"), _EXACT, words=F.col("words")))
-    return placed.cogroup(notes.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    notes = copies.unionByName(noted(_shared(sent), F.lit(None).cast("long")))
+    sent = placed.cogroup(notes.groupBy("bucket")).applyInArrow(send_windows, row)
+    late = noted(_shared(sent).where("two or doc > least"), F.col("least"))
+    return placed.cogroup(copies.unionByName(late).groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
