@@ -66,7 +66,7 @@ def sorted_exports(spark, sf):
 
 def _ranked(spark, sf) -> DataFrame:
     _, g, q, _ = _roles(spark, sf)
-    return metrics.ranked_quality(similarity.relevant_ranks(q, g))
+    return metrics.quality(similarity.relevant_quality(q, g, depth=5))
 
 
 @query(f"{_FULL} SELECT q_id, round(mrr, 6) AS mrr FROM y WHERE mrr IS NOT NULL")

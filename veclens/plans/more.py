@@ -158,7 +158,7 @@ def aupr(spark, sf):
 @query(f"{_FULL} SELECT q_label, round(avg(mrr), 6) AS mrr, round(avg(first_rank), 6) AS mean_first_rank, round(avg(hit10), 6) AS hit10, round(avg(purity5), 6) AS purity5 FROM y GROUP BY q_label")
 def mean_first_rank(spark, sf):
     _, g, q, _ = _roles(spark, sf)
-    y = metrics.ranked_quality(similarity.relevant_ranks(q, g))
+    y = metrics.quality(similarity.relevant_quality(q, g, depth=5))
     return y.groupBy("q_label").agg(_r(F.avg("mrr"), "mrr"), _r(F.avg(F.coalesce("first_rank", F.col("gallery") + 1)), "mean_first_rank"), _r(F.avg("hit10"), "hit10"), _r(F.avg("purity5"), "purity5"))
 
 
