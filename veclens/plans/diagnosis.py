@@ -82,7 +82,7 @@ j AS (SELECT space, scope, mode, r1, auroc, fpr FROM ac JOIN cvr USING (space, s
 def centering_ablation(spark, sf):
     """What centring does to accuracy and novelty, in every space and scope."""
     g, q = sides(spark, sf)
-    top = nearest_of(q, g, 1)
+    top = tables.staged(nearest_of(q, g, 1).select("space", "scope", "mode", "q_label", "g_label", "sim"), "nearest")
     by, novel = ["space", "scope", "mode"], F.col("q_label") > tables.LAST_KNOWN
     r1 = metrics.macro(top.where(~novel).withColumn("pred", F.col("g_label")), by).select(*by, F.col("macro").alias("r1"))
     rows = r1.join(metrics.roc(top.select(*by, novel.alias("positive"), F.round(1 - F.col("sim"), 9).alias("score")), by), by)

@@ -239,7 +239,7 @@ def selected_config_eval(spark, sf):
         if s["mode"].startswith("centered"):
             g, ask = centred(g, g), centred(ask, g)
         counts = g.groupBy("label").agg(F.count("*").alias("n")) if "logmeanexp" in s["mode"] else None
-        top = _near(ask, g, s["m"])
+        top = tables.staged(_near(ask, g, s["m"]), "near") if size == "base" else _near(ask, g, s["m"])
         best = similarity.best_class(similarity.class_scores(top, s["tau"], counts).withColumn("score", F.round("score", 7)))
         if size == "base":
             curve = metrics.roc(top.where("rank = 1").select(_novel().alias("positive"), F.round(1 - F.col("sim"), 9).alias("score")))
