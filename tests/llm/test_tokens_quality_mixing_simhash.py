@@ -126,6 +126,13 @@ def test_mixed_takes_repeated_rows_once_each(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_the_mix_has_a_short_plan(spark):
+    """Targets and tree are worked out once and written: the driver plans neither their windows nor the tree's levels with the joins."""
+    docs = spark.createDataFrame([(i, "a b c d " * 4, f"s{i % 3}") for i in range(64)], "doc_id long, text string, source string")
+    plan = mixing.mixed(docs, block_words=2, shard_blocks=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4 and "lo#" not in plan and plan.count("Generate ") <= 6
+
+
 def _fingerprint(text, shingle=3):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([b" ".join(words)] if words else [])

@@ -145,7 +145,8 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
     """
     sized = staged(sizes(docs, by_text), "sizes").withColumn("key", _key())
     goals = targets(sized.drop("key"), weights, cap).withColumn("goal", F.round("target").cast("long"))
-    goals = goals.withColumns({"runs": F.ceil(F.col("docs") / RUN_DOCS).cast("long"), "quota": F.ceil(F.col("goal") / block_words).cast("long")})
+    # written, as is the owner of each block, so that no plan holds the windows over sources four times, nor the tree beside the joins
+    goals = staged(goals.withColumns({"runs": F.ceil(F.col("docs") / RUN_DOCS).cast("long"), "quota": F.ceil(F.col("goal") / block_words).cast("long")}), "goals")
     shards = max(1, math.ceil((goals.agg(F.sum("quota")).first()[0] or 0) / shard_blocks))
 
     # the line of each source: runs of a hashed order, then places within a run
@@ -173,7 +174,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
     quotas = order.groupBy().agg(F.sort_array(F.collect_list(F.struct("place", "quota"))).alias("q")).select(F.transform("q", lambda x: x["quota"]).alias("quotas"))
     leaves = split_quotas(quotas, shards, seed).select("shard", F.posexplode(F.arrays_zip("quotas", "starts")).alias("place", "n")).where("n.quotas > 0")
     dealt = leaves.join(order, "place").select("key", "quota", "shard", F.explode(F.sequence(F.col("n.starts"), F.col("n.starts") + F.col("n.quotas") - 1)).alias("rank"))
-    owner = dealt.select("key", _shuffled(F.col("rank"), F.col("quota"), F.lit(seed + 1), F.col("key")).alias("block"), "shard")
+    owner = staged(dealt.select("key", _shuffled(F.col("rank"), F.col("quota"), F.lit(seed + 1), F.col("key")).alias("block"), "shard"), "owner")
 
     out = used.join(owner, ["key", "block"], "left")
     local = Window.partitionBy("shard", F.when(F.col("shard").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4096)))).orderBy(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("key"), F.col("print"), F.col("pass")), "doc_id", "print", "pass")
