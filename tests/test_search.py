@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veclens.operators import metrics, similarity
+from veclens.operators import metrics, resampling, similarity
 
 ITEMS = "item_id long, label int, vec array<double>"
 
@@ -76,3 +76,15 @@ def test_as_many_groups_whatever_the_size():
     """The gallery is shuffled once a group, so that more queries must not make more groups before one is full."""
     groups = [similarity._parts(n, similarity._rows_of(n, 50)) for n in (10_000, 100_000, 600_000, 1_000_000)]
     assert max(groups) <= similarity.GROUPS and min(groups) > similarity.GROUPS // 2
+
+
+def test_what_resampled_scores_come_from_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(50).selectExpr("id as q_id", "cast(id % 2 as int) as pos", "cast(id as double) as score", "'x' as k").mapInArrow(counted, "q_id long, pos int, score double, k string")
+    assert resampling.curves(scores, ["k"], 3).count() == 3 and seen.value == 50

@@ -87,7 +87,7 @@ def curves(scores: DataFrame, by: list[str], draws: int, seed: int = 42) -> Data
     kinds = dict(scores.dtypes)
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
     rows = scores.select(*by, F.col("q_id").cast("long").alias("q_id"), F.col("pos").cast("long").alias("pos"), F.col("score").cast("double").alias("score")).dropna()
-    rows = staged(in_ranges(rows, by, "score", RANGE_ROWS), "ranges")
+    rows = staged(in_ranges(staged(rows, "scores"), by, "score", RANGE_ROWS), "ranges")  # what the scores come from runs once
     parts = rows.groupBy(*by, "range")
 
     def total(key, table):
