@@ -88,3 +88,20 @@ def test_what_resampled_scores_come_from_runs_once(spark):
 
     scores = spark.range(50).selectExpr("id as q_id", "cast(id % 2 as int) as pos", "cast(id as double) as score", "'x' as k").mapInArrow(counted, "q_id long, pos int, score double, k string")
     assert resampling.curves(scores, ["k"], 3).count() == 3 and seen.value == 50
+
+
+def test_settings_are_scored_where_the_rows_are(spark, small_groups, monkeypatch):
+    """Each setting's classes are those of `class_scores` over its nearest rows, and no found row is shuffled or repeated for a setting."""
+    monkeypatch.setattr(similarity, "TOGETHER", 25)
+    q, g = rows(30, 7, 4), [(i, label or 0, v) for i, label, v in rows(80, 8, 4, 1000)]
+    q, g = (spark.createDataFrame(x, ITEMS).withColumn("part", F.concat(F.lit("k"), F.col("item_id") % 2)) for x in (q, g))
+    top, counts = similarity.matches(q, g, 30, block=16, within="part").withColumn("sim", F.round("sim", 9)), g.groupBy("label").agg(F.count("*").alias("n"))
+    found = similarity.settled(top, counts, "part", (3, 20), (0.07, 0.2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("MapInArrow", plan.index("MapInArrow") + 10)].count("Exchange") <= plan[: plan.index("MapInArrow", plan.index("MapInArrow") + 10)].count("BroadcastExchange") * 2
+    got = {(r.m, r.tau, r["mean"], r.q_id): (r.part, r.q_label, r.pred) for r in found.collect()}
+    assert len(got) == 8 * 30
+    near = top.withColumn("at", F.expr("row_number() over (partition by part, q_id order by sim desc, g_id)"))
+    for m, tau, mean in ((3, 0.07, False), (3, 0.2, True), (20, 0.07, True), (20, 0.2, False)):
+        scores = similarity.class_scores(near.where(F.col("at") <= m), tau, counts if mean else None).withColumn("score", F.round("score", 7))
+        assert all(got[m, tau, mean, r.q_id] == (f"k{r.q_id % 2}", r.q_label, r.pred) for r in similarity.best_class(scores).collect())

@@ -171,30 +171,23 @@ def _near(q: DataFrame, g: DataFrame, m: int) -> DataFrame:
 
 
 def grid_predictions(spark, sf) -> DataFrame:
-    """head, mode, m, tau, q_id, q_label, pred, val of each query in every setting: one table of the 50 nearest of each head and space serves
-    them all. The head `none` has the vectors as they are.
-
-    val: half of each label's queries, on which a setting is chosen.
-    """
-    items, g, q, _ = _roles(spark, sf)
-    x = items.withColumn("head", F.lit("none")).unionByName(headed(spark, sf))
-    own = centred(x, tables.gallery(x), "head")
-    top = _union([_near(tables.id_queries(df), tables.gallery(df), 50).withColumn("centre", F.lit(name)) for df, name in ((x, "raw"), (own, "centered"))])
-    rows = top.withColumn("m", F.explode(F.array(*map(F.lit, (5, 20, 50))))).where("rank <= m").withColumn("tau", F.explode(F.array(*map(F.lit, (0.03, 0.07, 0.2)))))
-    by = ["head", "centre", "m", "tau", "q_id"]
-    rows = rows.withColumn("best", F.max("sim").over(Window.partitionBy(*by, "g_label")))
-    c = rows.groupBy(*by, "q_label", F.col("g_label").alias("label")).agg((F.max("best") / F.col("tau") + F.log(F.sum(F.exp((F.col("sim") - F.col("best")) / F.col("tau"))))).alias("sum"))
-    mean = F.struct(F.when(F.col("centre") == "raw", "logmeanexp").otherwise("centered_logmeanexp").alias("mode"), (F.col("sum") - F.log("n")).alias("score"))
-    each = F.explode(F.array(F.struct(F.col("centre").alias("mode"), F.col("sum").alias("score")), mean)).alias("s")
-    c = c.join(g.groupBy("label").agg(F.count("*").alias("n")), "label").select("head", "m", "tau", "q_id", "q_label", F.col("label").alias("pred"), each).select("*", "s.mode", "s.score")
-    place = F.row_number().over(Window.partitionBy(*SETTING, "q_id").orderBy(F.desc(F.round("score", 7)), "pred"))
-    half = splits.placed(q, ["label"]).select(F.col("item_id").alias("q_id"), (F.col("place") <= F.floor(F.col("n") / 2)).alias("val"))
-    return c.withColumn("k", place).where("k = 1").join(half, "q_id").select(*SETTING, "q_id", "q_label", "pred", "val")
+    """head, mode, m, tau, q_id, q_label, pred of the queries that choose a setting, half of each label's, in every setting: one search of each
+    head and space serves them all, and scores them where it finds them. The head `none` has the vectors as they are."""
+    _, g, q, _ = _roles(spark, sf)
+    half = splits.placed(q, ["label"]).where(F.col("place") <= F.floor(F.col("n") / 2)).select(*q.columns)
+    kept = tables.staged(g.unionByName(half), "choosing")
+    x = kept.withColumn("head", F.lit("none")).unionByName(heads.projected(kept, heads.fitted(tables.gallery(kept), SEEDS)))
+    counts, out = g.groupBy("label").agg(F.count("*").alias("n")), []
+    for df, raw in ((x, True), (centred(x, tables.gallery(x), "head"), False)):
+        top = similarity.matches(tables.id_queries(df), tables.gallery(df), 60, within="head").withColumn("sim", F.round("sim", 9))
+        mean, one = ("logmeanexp", "raw") if raw else ("centered_logmeanexp", "centered")
+        out.append(similarity.settled(top, counts, "head", (5, 20, 50), (0.03, 0.07, 0.2)).withColumn("mode", F.when(F.col("mean"), mean).otherwise(one)))
+    return _union(out).select(*SETTING, "q_id", "q_label", "pred")
 
 
 def grid(spark, sf) -> DataFrame:
     """head, mode, m, tau, macro on the validation half."""
-    return metrics.macro(grid_predictions(spark, sf).where("val"), SETTING).select(*SETTING, "macro")
+    return metrics.macro(grid_predictions(spark, sf), SETTING).select(*SETTING, "macro")
 
 
 def best_first() -> list[Column]:
