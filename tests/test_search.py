@@ -54,6 +54,29 @@ def test_nearest_in_groups_against_plain(spark, small_groups, m):
     assert len(each) == 3 * 40 and {r["count"] for r in each} <= {min(m, sum(j % 3 == k for j, *_ in g)) for k in range(3)}
 
 
+@pytest.mark.parametrize("m", [1, 5])
+@pytest.mark.parametrize("near", [1e-9, 0.0])
+def test_single_precision_decides_nothing(spark, small_groups, monkeypatch, m, near):
+    """Rows that only double precision tells apart are ranked by it, copies by their ids; products of double precision are few."""
+    monkeypatch.setattr(similarity, "TILE", 32)
+    rng = np.random.default_rng(11)
+    own = rng.standard_normal(16)
+    g = [(1000 + i, i % 3, (own + near * rng.standard_normal(16) if i % 4 == 0 else rng.standard_normal(16)).tolist()) for i in range(200)]
+    q = [(i, 0, (own + 0.3 * rng.standard_normal(16) if i % 2 else rng.standard_normal(16)).tolist()) for i in range(30)]
+    got = {(r.q_id, r["rank"]): r.g_id for r in similarity.matches(spark.createDataFrame(q, ITEMS), spark.createDataFrame(g, ITEMS), m, block=64).collect()}
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    for i, _, v in q:
+        want = sorted((-round(float(unit(w) @ unit(v)), 14), j) for j, _, w in g)[:m]
+        assert [got[i, k + 1] for k in range(m)] == [j for _, j in want]
+    x, y = (np.stack([unit(v) for v in rng.standard_normal((n, 64))]) for n in (50, 1000))
+    sims = x @ y.T
+    row, at = similarity._close(x.astype(np.float32), y.astype(np.float32), np.full(50, -np.inf), m, [(3, int(sims[3].argmax()), int(sims[3].argmax()) + 1)])
+    sims[3, sims[3].argmax()] = -np.inf
+    found = set(zip(row.tolist(), at.tolist(), strict=True))
+    assert found >= {(r, int(c)) for r in range(50) for c in np.argsort(-sims[r])[:m]} and len(found) < 50 * m + 50
+    assert np.allclose(similarity._products(x, y, row, at), sims[row, at], rtol=0, atol=1e-14)
+
+
 def test_repeated_ids_and_vectors_that_are_not_finite(spark):
     q = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [float("nan"), 1.0])]
     g = [(5, 0, [1.0, 0.0]), (6, 1, [0.6, 0.8]), (7, 0, [float("inf"), 0.0])]
