@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in links (a, b): component is the smallest node that it reaches.
 
     Links with a null end and loops are ignored; repeated links count once; no links give no rows. Nothing but a count and a checksum
-    comes to the driver; each round is written to the shared folder.
+    comes to the driver; each half of a round is written to the shared folder, so that no plan holds one star for each use of it in another.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     links, before = staged(links.distinct(), "links"), None
@@ -33,4 +33,4 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state.n:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
-        links = staged(_star(_star(links, True), False), "links")
+        links = staged(_star(staged(_star(links, True), "stars"), False), "links")

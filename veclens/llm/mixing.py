@@ -194,6 +194,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     mark = {"__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__key": _key(), "__print": F.col("print")}
     uses = draws(docs, by_text=True, **options).where("shard is not null")
     uses = uses.select(*(c.alias(n) for n, c in mark.items()), (F.col("size") / F.col("copies")).cast("long").alias("one"), *(F.col(c).alias(f"mix_{c}") for c in ("pass", "words", "shard", "position")))
+    uses = staged(uses, "uses")  # without texts; so the plan of what places the uses isn't beside that of the texts' joins
     rows = docs.where("text is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("print"))
     new = ["mix_pass", "mix_words", "mix_shard", "mix_position", "mix_copy"]
     own = {f"__own{i}": c for i, c in enumerate(docs.columns) if c not in new}
