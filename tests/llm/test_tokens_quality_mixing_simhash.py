@@ -225,6 +225,27 @@ def test_near_copies_are_those_of_their_shingles(spark, most):
     assert simhash.deduplicated(empty(spark)).count() == 0
 
 
+def test_only_sets_whose_sizes_allow_it_are_compared(spark):
+    sizes = [4, 8, 12, 100, 404, 5000, 4 * 10**6]
+    rows = [(10 * k + i, 63 << (6 * k + 8) | i, n * of // 4) for k, n in enumerate(sizes) for i, of in enumerate((4, 5, 8))]
+    uniq = spark.createDataFrame(rows, "node long, fp_0 long, n long")
+    linked = lambda **alike: {frozenset(r) for r in simhash.links(uniq, 2, **alike).collect()}
+    assert linked(alike=simhash.ALIKE) == {frozenset((10 * k, 10 * k + 1)) for k in range(len(sizes))}
+    assert len(linked()) > len(sizes)
+
+
+def test_bits_over_half():
+    rng = np.random.default_rng(3)
+    size = np.array([0, 1, 2, 254, 255, 256, 0, 510, 511, 3, 700_000, 0])
+    ends = np.cumsum(size)
+    hashes = rng.integers(0, 1 << 64, ends[-1], dtype=np.uint64)
+    got = simhash._bits_over_half(hashes, ends)
+    for end, n, print_ in zip(ends, size, got, strict=True):
+        bits = np.unpackbits(hashes[end - n : end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+        assert int(print_) == sum(1 << i for i in range(64) if 2 * bits[i] > n)
+    assert not simhash._bits_over_half(np.zeros(0, np.uint64), np.zeros(3, int)).any()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

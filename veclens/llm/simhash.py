@@ -11,6 +11,7 @@ shingle sets themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,30 +28,42 @@ from .recompression import mix
 
 #: Fingerprints in a block of a tile, about.
 BLOCK = 4096
-#: Rows of one side that are compared at a time.
-STRIP = 256
+#: Rows of either side that are compared at a time: few, so that what is counted stays in a core's cache.
+STRIP, WIDE = 64, 4096
+#: Bands of set sizes from one size to the greatest that may be alike.
+BANDS = 4
+#: Pieces of up to 255 hashes whose bits are counted at a time.
+PIECES = 1 << 11
 #: Shingles of a group of candidates that are compared at a time, about.
 GROUP_SHINGLES = 1 << 18
 #: The least Jaccard similarity of near copies, as a fraction.
 ALIKE = (4, 5)
 SEED = 42
 _STEP = 0x9E3779B97F4A7C15
+_LANES = 0x0101010101010101
 
 
 def _bits_over_half(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per run of hashes (ends: where each ends), the fingerprint whose bits are set in over half of them."""
-    out = np.zeros(len(ends), np.uint64)
     counts = np.diff(ends, prepend=0)
-    total = np.zeros((len(ends), 64), np.int64)
-    for start in range(0, len(hashes), 1 << 17):  # long texts in pieces
-        part = hashes[start : start + (1 << 17)]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first, last = np.searchsorted(ends, [start, start + len(part) - 1], side="right")
-        cuts = np.maximum(np.r_[0, ends[first:last]] - start, 0)
-        keep = np.flatnonzero(np.diff(np.r_[cuts, len(part)]) > 0)
-        total[first + keep] += np.add.reduceat(bits, cuts[keep], axis=0, dtype=np.int32)
-    for bit in range(64):
-        out |= (2 * total[:, bit] > counts).astype(np.uint64) << np.uint64(bit)
+    pieces = -(-counts // 255)  # a byte holds what a piece counts for a bit, so eight bits are counted in one sum
+    run = np.repeat(np.arange(len(ends)), pieces)
+    at = (ends - counts)[run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    out = np.zeros(len(ends), np.uint64)
+    if not len(at):
+        return out
+    set_ = np.empty((8, len(at), 8), np.uint8)
+    for k in range(0, len(at), PIECES):  # long texts in parts
+        own = at[k : k + PIECES]
+        part = hashes[own[0] : at[k + PIECES] if k + PIECES < len(at) else len(hashes)]
+        for bit in range(8):
+            set_[bit, k : k + PIECES] = np.add.reduceat(part >> np.uint64(bit) & np.uint64(_LANES), own - own[0]).view(np.uint8).reshape(-1, 8)
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    some = run[first]
+    for bit in range(8):
+        over = 2 * np.add.reduceat(set_[bit], first, axis=0, dtype=np.int64) > counts[some, None]
+        for byte in range(8):
+            out[some] |= over[:, byte].astype(np.uint64) << np.uint64(8 * byte + bit)
     return out
 
 
@@ -103,14 +116,16 @@ def _forest(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray,
     label = np.arange(n + (0 if same else len(b)))
     shift = 0 if same else n
     found: list[tuple[int, int]] = []
+    columns = np.ascontiguousarray(b[:, :words].T)
     for start in range(0, n, STRIP):
-        strip = a[start : start + STRIP]
-        first = start if same else 0
-        far = np.zeros((len(strip), len(b) - first), np.uint8 if words < 4 else np.uint16)
-        for k in range(words):
-            far += np.bitwise_count(strip[:, k, None] ^ b[None, first:, k])
-        x, y = np.nonzero(far <= most)
-        x, y = x + start, y + first
+        strip, near = a[start : start + STRIP], []
+        for first in range(start if same else 0, len(b), WIDE):
+            far = np.bitwise_count(strip[:, 0, None] ^ columns[0, None, first : first + WIDE]).astype(np.uint8 if words < 4 else np.uint16, copy=False)
+            for k in range(1, words):
+                far += np.bitwise_count(strip[:, k, None] ^ columns[k, None, first : first + WIDE])
+            x, y = np.nonzero(far <= most)
+            near.append((x + start, y + first))
+        x, y = map(np.concatenate, zip(*near, strict=True))
         if words < a.shape[1]:
             close = np.bitwise_count(a[x] ^ b[y]).sum(axis=1) <= radius
             x, y = x[close], y[close]
@@ -132,17 +147,25 @@ def _forest(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray,
     return [(int(ids[i]), int(root[label[i]])) for i in sorted({i for pair in found for i in pair}) if ids[i] != root[label[i]]]
 
 
-def links(uniq: DataFrame, radius: int, words64: int = 1, block: int = BLOCK, width: int | None = None, quick: tuple[int, int] | None = None) -> DataFrame:
+def links(uniq: DataFrame, radius: int, words64: int = 1, block: int = BLOCK, width: int | None = None, quick: tuple[int, int] | None = None, alike: tuple[int, int] | None = None) -> DataFrame:
     """(a, b) of node ids: links that connect just what links of `radius` bits or fewer connect. uniq: node, fp_0.., each fingerprint once.
 
     No rows, and a single one, have no links. width: population counts in a band that share a tile; 1 where the radius is small enough to skip tiles.
+    alike: only sets of such a Jaccard similarity or more are to be linked, n being their sizes. Tiles are then bands of sizes, as one set
+    holds at least that share of the other's size; those further apart aren't compared.
     """
     width = width or max(1, radius // 4)
     fps = [f"fp_{i}" for i in range(words64)]
-    h1, h2 = _halves(words64)
-    tiled = uniq.select("node", *fps, F.floor(h1 / width).cast("int").alias("p1"), F.floor(h2 / width).cast("int").alias("p2"))
-    most = (32 * words64) // width + 1
-    # at most `most` squared rows, whatever the input: a fingerprint has no other population counts
+    gap = lambda d: max(0, (abs(d) - 1) * width + 1) if d else 0  # noqa: E731  the least difference of counts in bands d apart
+    if alike:
+        bands = (1 - 1e-9) * BANDS / math.log(alike[1] / alike[0])  # a little wider, so that rounding parts none that may be alike
+        p1, p2, near = F.floor(F.log(F.greatest("n", F.lit(1))) * bands), F.lit(0), [(d, 0) for d in range(BANDS + 1)]
+    else:
+        p1, p2 = (F.floor(h / width) for h in _halves(words64))
+        most = (32 * words64) // width + 1
+        near = [(d1, d2) for d1 in range(0, most + 1) for d2 in range(-most, most + 1) if (d1, d2) >= (0, 0) and gap(d1) + gap(d2) <= radius]
+    tiled = uniq.select("node", *fps, p1.cast("int").alias("p1"), p2.cast("int").alias("p2"))
+    # few rows, whatever the input: a fingerprint has no other population counts, and sizes grow by a factor from band to band
     tiles = tiled.groupBy("p1", "p2").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     blocks = (
         tiled.join(F.broadcast(tiles), ["p1", "p2"])
@@ -151,8 +174,6 @@ def links(uniq: DataFrame, radius: int, words64: int = 1, block: int = BLOCK, wi
         .agg(F.collect_list(F.struct("node", *fps)).alias("rows"))
     )
     blocks = staged(blocks.withColumn("salt", F.xxhash64("p1", "p2", "part")), "tiles")
-    gap = lambda d: max(0, (abs(d) - 1) * width + 1) if d else 0  # noqa: E731  the least difference of counts in bands d apart
-    near = [(d1, d2) for d1 in range(0, most + 1) for d2 in range(-most, most + 1) if (d1, d2) >= (0, 0) and gap(d1) + gap(d2) <= radius]
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("d1"), F.lit(b).alias("d2")) for a, b in near)))
     pairs = (
         blocks.select("p1", "p2", "part", steps.alias("d"))
@@ -262,13 +283,13 @@ def copies(docs: DataFrame, shingle: int = 5, words64: int = 10, radius: int = 1
     """doc_id, component_id of every document with an id: the smallest doc_id that pairs of shingle sets of Jaccard similarity 0.8 or more reach.
 
     Fingerprints only gather candidates: of two sets of that similarity about 15 bits in a hundred differ, at most 19 (four shingles of
-    five), so 170 of 640, and 48 of the first 128, are five standard deviations and more beyond. What they connect is compared whole,
-    set by set. Equal sets are one node; texts without words are equal. Rows that share one doc_id are one document.
+    five), so 170 of 640, and 48 of the first 128, are five standard deviations and more beyond. Only sets whose sizes allow that similarity
+    are compared. What they connect is compared whole, set by set. Equal sets are one node; texts without words are equal. Rows that share one doc_id are one document.
     """
     fps = [f"fp_{i}" for i in range(words64)]
     marked = staged(fingerprints(docs, shingle, words64, sets=True).where("doc_id is not null"), "fingerprints")
     uniq = staged(marked.groupBy("print", "n", *fps).agg(F.min("doc_id").alias("node")), "nodes")
-    reach = components(links(uniq, radius, words64, block, quick=quick)).withColumnRenamed("component", "group")
+    reach = components(links(uniq, radius, words64, block, quick=quick, alike=ALIKE)).withColumnRenamed("component", "group")
     groups = staged(uniq.groupBy("node").agg(F.sum("n").alias("n")).join(reach, "node"), "groups")
     equal = marked.join(uniq.select("print", "n", *fps, "node"), ["print", "n", *fps]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     reach = components(alike_links(docs, groups, shingle, most).unionByName(equal.where("a <> b")))
