@@ -101,6 +101,16 @@ def test_as_many_groups_whatever_the_size():
     assert max(groups) <= similarity.GROUPS and min(groups) > similarity.GROUPS // 2
 
 
+def test_a_large_label_makes_no_more_groups(spark, small_groups, monkeypatch):
+    """The gallery is shuffled, and its blocks copied in memory, once a group, however few similarities a task may hold."""
+    groups, passing = [], similarity._passing
+    monkeypatch.setattr(similarity, "_passing", lambda asked, held, keys, order: (groups.append(asked.select(*keys).distinct().count()), passing(asked, held, keys, order))[1])
+    q, g = spark.createDataFrame(rows(60, 1, 3), ITEMS), spark.createDataFrame(rows(200, 2, 3, 1000), ITEMS)
+    found = [{tuple(r) for r in similarity.relevant_quality(q, g, block=16, held=held).collect()} for held in (1 << 20, 70)]
+    assert groups[0] == groups[1] and found[0] == found[1] and len(found[0]) == 60
+    assert similarity._cuts(np.array([3, 3, 3, 9, 1, 1]), 6) == [0, 2, 3, 4, 6] and similarity._cuts(np.array([7]), 6) == [0, 1]
+
+
 def test_what_resampled_scores_come_from_runs_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
